@@ -74,7 +74,7 @@ VIEWS = {
   from nation join region on n_regionkey = r_regionkey""",
     "paid": """
   select *, greatest(coalesce(amountPaidOnBuildingClaim, 0), 0) as building,
-    greatest(coalesce(amountPaidOnBuildingClaim, 0), 0) + greatest(coalesce(amountPaidOnContentsClaim, 0), 0) as both,
+    greatest(coalesce(amountPaidOnBuildingClaim, 0), 0) + greatest(coalesce(amountPaidOnContentsClaim, 0), 0) as both_paid,
     cast(greatest(coalesce(amountPaidOnBuildingClaim, 0), 0) * 100 as hugeint) as building_cents,
     cast((greatest(coalesce(amountPaidOnBuildingClaim, 0), 0)
         + greatest(coalesce(amountPaidOnContentsClaim, 0), 0)) * 100 as hugeint) as both_cents,

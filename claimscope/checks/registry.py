@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimscope.checks import report_checks
+from claimscope.checks import expression_checks, load_checks, report_checks, set_checks
 from claimscope.checks.standins import Standins
 
-MODULES = (report_checks,)
+MODULES = (load_checks, expression_checks, set_checks, report_checks)
 
 
 def presentable(df: DataFrame) -> DataFrame:

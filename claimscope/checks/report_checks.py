@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from claimscope.checks.oracle_parts import dbl, quo, real9, scaled, scheme_case, with_views
 from claimscope.checks.standins import FIRST_YEAR, LAST_YEAR, Standins
 from claimscope.functions.landcover import COST_SCHEME, FLOOD_TYPE_SCHEME, severity_scheme, storm_scheme
 from claimscope.plans import reports as R
 from claimscope.plans import summaries as S
+from claimscope.plans.tables import Tables
+from claimscope.sources.tables import stored
 
 # Parameters that make the stand-ins exercise every branch.
 FIRST = 1996
@@ -28,15 +28,20 @@ GENERIC_SQL = "(floodEvent is null or lower(floodEvent) not in ('promo', 'small'
 
 
 def trend(s: Standins):
-    return R.macro_trend(s.tables, first_year=FIRST, base_year=BASE)
+    return R.macro_trend(s, first_year=FIRST, base_year=BASE)
 
 
 def buckets(s: Standins):
-    return R.impervious_buckets(s.tables, first_year=FIRST, base_year=BASE)
+    return R.impervious_buckets(s, first_year=FIRST, base_year=BASE)
 
 
 def storms(s: Standins):
-    return R.storm_control(s.tables, generic=GENERIC, min_claims=STORM_CLAIMS, base_year=BASE)
+    return R.storm_control(s, generic=GENERIC, min_claims=STORM_CLAIMS, base_year=BASE)
+
+
+def exported_storms(s: Standins):
+    """The storm report as written and read back: its summaries read it several times."""
+    return stored(storms(s), "storm-report")
 
 
 # --- oracle pieces shared by a report and its summaries -----------------------
@@ -110,7 +115,7 @@ def reports():
 
     # real payments carry 13 decimals here: cents (2) times the 14-decimal ratio, rounded
     real13 = "((2 * sum(cents) * r14 + 1000) // 2000)"
-    yield "report_archetype_cost", lambda s: R.archetype_cost(s.tables, base_year=BASE), with_views(
+    yield "report_archetype_cost", lambda s: R.archetype_cost(s, base_year=BASE), with_views(
         f"""select land_archetype, cast(sum(n) as bigint) as total_claims_in_archetype,
           cast(nullif(sum(damaged), 0) as bigint) as true_total_claims_in_archetyp,
           {quo("sum(cents)", "sum(n) * 100")} as avg_nominal_payout_all_claims,
@@ -132,14 +137,14 @@ def reports():
           {quo("real", "n * 1000000000")} as "{AVG_BUCKET}", {scaled("real", 9)} as "{SUM_BUCKET}" from buckets""",
         {"buckets": BUCKETS},
     )
-    yield "report_flash_vs_river", lambda s: R.flash_vs_river(s.tables), with_views(
+    yield "report_flash_vs_river", lambda s: R.flash_vs_river(s), with_views(
         f"select environment_type, flood_type, n as total_incidents, pct as percent_of_environment from ({MIX_SHARE})",
         {"mix": MIX},
     )
     yield "report_storm_control", storms, with_views(f"select {STORM_COLUMNS} from storms", STORM_VIEWS)
     yield (
         "report_bucket_frequency_real",
-        lambda s: R.bucket_frequency_real(s.tables, year=BASE, base_year=BASE),
+        lambda s: R.bucket_frequency_real(s, year=BASE, base_year=BASE),
         with_views(
             f"""select bucket as "{R.BUCKET}", n as "Total Claims",
               {per_hundred("policies")} as "Claims per 100 Policies",
@@ -151,15 +156,15 @@ def reports():
     nominal = f"""select bucket as "{R.BUCKET}", n as "Total Claims",
       {quo("cents", "n * 100")} as "Average Payout Per Claim ($)", {scaled("cents * 100", 4)} as "Total Payouts"
       %s from one_year"""
-    yield "report_bucket_nominal", lambda s: R.bucket_nominal(s.tables, year=BASE), with_views(
+    yield "report_bucket_nominal", lambda s: R.bucket_nominal(s, year=BASE), with_views(
         nominal % "", {"one_year": BUCKET_YEAR}
     )
-    yield "report_flash_vs_river_counts", lambda s: R.flash_vs_river_counts(s.tables), with_views(
+    yield "report_flash_vs_river_counts", lambda s: R.flash_vs_river_counts(s), with_views(
         "select environment_type, flood_type, n as total_incidents from mix", {"mix": MIX}
     )
     yield (
         "report_storm_nominal",
-        lambda s: R.storm_nominal(s.tables, generic=GENERIC, min_claims=GROUP_CLAIMS),
+        lambda s: R.storm_nominal(s, generic=GENERIC, min_claims=GROUP_CLAIMS),
         with_views(
             f"""select storm_id, floodEventName, environment_type, cast(sum(n) as bigint) as total_claims,
               {quo("sum(cents)", "sum(n) * 100")} as avg_payout
@@ -173,7 +178,7 @@ def reports():
             },
         ),
     )
-    yield "report_trend_nominal", lambda s: R.trend_nominal(s.tables, first_year=FIRST), with_views(
+    yield "report_trend_nominal", lambda s: R.trend_nominal(s, first_year=FIRST), with_views(
         f"""select yearOfLoss, count(*) as total_claims, {scaled("sum(both_cents) * 100", 4)} as total_paid_out,
           {quo("sum(waterDepth)", "count(waterDepth)")} as average_water_depth_inches,
           {quo("count(*) filter (primaryResidenceIndicator)", "count(*)")} as pct_primary_residence
@@ -181,7 +186,7 @@ def reports():
     )
     yield (
         "report_bucket_frequency_nominal",
-        lambda s: R.bucket_frequency_nominal(s.tables, year=BASE),
+        lambda s: R.bucket_frequency_nominal(s, year=BASE),
         with_views(
             nominal % f', {per_hundred("floored")} as "Claims per 100 Policies"',
             {"one_year": BUCKET_YEAR},
@@ -194,7 +199,7 @@ def reports():
     yield (
         "report_damage_severity",
         lambda s: R.damage_severity(
-            replace(s.tables, land=s.sparse_land),
+            Tables(s.claims, s.crosswalk, s.sparse_land, s.index),
             first_year=FIRST,
             min_claims=GROUP_CLAIMS,
             scheme=SEVERITY,
@@ -214,7 +219,7 @@ def reports():
             group by 1 having count(*) > {GROUP_CLAIMS}"""
         ),
     )
-    yield "report_sprawl_delta", lambda s: R.sprawl_delta(s.tables, **SPRAWL), with_views(
+    yield "report_sprawl_delta", lambda s: R.sprawl_delta(s, **SPRAWL), with_views(
         f"""select zcta as "ZCTA Code", {dbl("growth * 100", 2)} as "Impervious Growth (%)",
           before as "Claims (1995-1996)", after as "Claims (2000-2001)",
           {quo("after", "before", 2)} as "Post-Paving Claim Multiplier"
@@ -231,7 +236,7 @@ def reports():
     )
     yield (
         "report_trend_real_preagg",
-        lambda s: R.trend_real_preaggregated(s.tables, first_year=FIRST, base_year=BASE),
+        lambda s: R.trend_real_preaggregated(s, first_year=FIRST, base_year=BASE),
         with_views(
             f"""select yearOfLoss, n as total_claims, {scaled("cents * 100", 4)} as nominal_payout,
               {scaled(real9("cents"), 9)} as real_payout_{BASE}_dollars
@@ -279,12 +284,12 @@ def summaries():
           cast(cast(pct as decimal(6,1)) as varchar), '%)') end) as "{f} label" """
         for f in ("Flash Flood (Rain Accumulation)", "River/Stream Overflow")
     )
-    yield "summary_flood_type_mix", lambda s: S.flood_type_mix(R.flash_vs_river(s.tables)), with_views(
+    yield "summary_flood_type_mix", lambda s: S.flood_type_mix(R.flash_vs_river(s)), with_views(
         f"select environment_type, {flood_columns} from ({MIX_SHARE}) group by environment_type", {"mix": MIX}
     )
     average13 = "((2 * cast(real as hugeint) * 10000 + damaged) // (2 * damaged))"
     middle = "filter (place in ((m + 1) // 2, m // 2 + 1))"
-    yield "summary_storm_environment", lambda s: S.storm_environment(storms(s), BASE), with_views(
+    yield "summary_storm_environment", lambda s: S.storm_environment(exported_storms(s), BASE), with_views(
         f"""select split_part(environment_type, '. ', 2) as env_short,
           replace(split_part(environment_type, '. ', 2), ' (', chr(10) || '(') as env_label,
           cast(sum(n) as bigint) as total_incidents_sum,
@@ -299,7 +304,7 @@ def summaries():
               count(a) over (partition by environment_type) as m from averages""",
         },
     )
-    yield "summary_top_storms", lambda s: S.top_storms(storms(s)), with_views(
+    yield "summary_top_storms", lambda s: S.top_storms(exported_storms(s)), with_views(
         f"""select {STORM_COLUMNS}, split_part(environment_type, '. ', 2) as env_short from storms
         where floodEventName in (select floodEventName from storms where floodEventName is not null
           group by 1 order by sum(n) desc, floodEventName limit 5)""",

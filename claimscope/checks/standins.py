@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from claimscope import constants as K
 from claimscope.functions.text import zip5
-from claimscope.plans.tables import Tables
+from claimscope.sources.tables import read_table
 
 FIRST_YEAR, LAST_YEAR = 1995, 2001
 
@@ -29,14 +29,17 @@ def _share(percent: str) -> Column:
 
 
 class Standins:
-    """Stand-in tables of one test-data folder."""
+    """Stand-in tables of one test-data folder; reports take it in place of a warehouse."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._base: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._base:
+            self._base[name] = read_table(self.spark, f"{self.sf_dir}/{name}.parquet")
+        return self._base[name]
 
     @cached_property
     def claims(self) -> DataFrame:
@@ -148,7 +151,3 @@ class Standins:
     def sparse_land(self) -> DataFrame:
         """Only some land years, so that losses fall between them."""
         return self.land.filter(F.col("YEAR").isin(1995, 1998, 2001))
-
-    @cached_property
-    def tables(self) -> Tables:
-        return Tables(self.claims, self.crosswalk, self.land, self.index, self.counties)

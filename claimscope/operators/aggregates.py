@@ -76,51 +76,38 @@ def weighted_average(df: DataFrame, keys: Sequence[str], total: str, weight: str
     return sums.select(*keys, F.when(F.col("_weight") > 0, value).otherwise(zero).alias(to))
 
 
-def exact_median(df: DataFrame, key: str, value: str, to: str, levels: int = 2, slices: int = 1024) -> DataFrame:
+def exact_median(df: DataFrame, key: str, value: str, to: str, slices: int = 1000) -> DataFrame:
     """Exact median per group without holding a whole group in one task.
 
-    Values are counted first, so copies cost one row. Each level cuts the span of every
-    group's remaining values into equal slices, counts per slice, and keeps only those
-    holding the middle ranks, remembering how many values lie below. What remains is
-    ranked exactly, however much or little the levels removed.
+    Values are counted first, so copies cost one row. Approximate quantiles, a sketch of
+    bounded size, then cut every group into slices of about equal weight; rows are
+    counted per slice, and only the slices that hold the middle ranks are sorted. The
+    sketch merely decides where to cut: the ranks themselves are counted exactly.
     """
-    left = (
+    counted = (
         df.filter(F.col(key).isNotNull() & F.col(value).isNotNull())
         .groupBy(F.col(key).alias("_key"), F.col(value).alias("_value"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    middle = left.groupBy("_key").agg(F.sum("_n").alias("_size")).select(
-        "_key",
-        F.expr("(_size + 1) div 2").alias("_low"),
-        F.expr("_size div 2 + 1").alias("_high"),
-        F.lit(0).cast("bigint").alias("_below"),
+    points = [i / slices for i in range(1, slices)]
+    cuts = counted.groupBy("_key").agg(
+        F.percentile_approx("_value", points, 10 * slices).alias("_cuts"), F.sum("_n").alias("_size")
     )
-    for _ in range(levels):
-        left, middle = _narrow(left, middle, slices)
-    upto = F.col("_below") + F.sum("_n").over(Window.partitionBy("_key").orderBy("_value"))
-    ranked = left.join(middle, "_key").withColumn("_upto", upto)
-    covers_middle = (F.col("_upto") - F.col("_n") < F.col("_high")) & (F.col("_upto") >= F.col("_low"))
-    ends = ranked.filter(covers_middle).groupBy("_key").agg(F.min("_value").alias("_a"), F.max("_value").alias("_b"))
-    return ends.select(F.col("_key").alias(key), ((F.col("_a") + F.col("_b")) / 2).alias(to))
-
-
-def _narrow(left: DataFrame, middle: DataFrame, slices: int) -> tuple[DataFrame, DataFrame]:
-    """Keep the slices of each group's value span that hold its middle ranks."""
-    span = left.groupBy("_key").agg(
-        F.min("_value").cast("double").alias("_min"), F.max("_value").cast("double").alias("_max")
-    )
-    width = F.col("_max") - F.col("_min")
-    place = F.try_divide((F.col("_value").cast("double") - F.col("_min")) * slices, width)
-    sliced = left.join(span, "_key").withColumn("_slice", F.coalesce(F.floor(place), F.lit(0)))
-    # at most slices + 1 rows per group reach this window
-    counted = sliced.groupBy("_key", "_slice").agg(F.sum("_n").alias("_n"))
+    above = F.expr("size(filter(_cuts, c -> c <= _value))")
+    sliced = counted.join(cuts, "_key").select("_key", "_value", "_n", "_size", above.alias("_slice"))
+
+    # at most ``slices`` rows per group reach this window
+    per_slice = sliced.groupBy("_key", "_size", "_slice").agg(F.sum("_n").alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy("_key").orderBy("_slice"))
-    ranked = counted.withColumn("_upto", upto).join(middle, "_key")
-    below = F.col("_below") + F.col("_upto") - F.col("_n")
-    kept = ranked.filter((below < F.col("_high")) & (F.col("_below") + F.col("_upto") >= F.col("_low")))
-    chosen = kept.groupBy("_key", "_low", "_high").agg(
-        F.min("_slice").alias("_first"), F.max("_slice").alias("_last"), F.min(below).alias("_below")
+    low, high = F.expr("(_size + 1) div 2"), F.expr("_size div 2 + 1")
+    holds_middle = (F.col("_below") < high) & (F.col("_below") + F.col("_n") >= low)
+    middle = per_slice.withColumn("_below", upto - F.col("_n")).filter(holds_middle).select("_key", "_slice", "_below")
+
+    rank = F.col("_below") + F.sum("_n").over(Window.partitionBy("_key", "_slice").orderBy("_value"))
+    ranked = sliced.join(middle, ["_key", "_slice"]).withColumn("_rank", rank)
+    ends = ranked.filter((F.col("_rank") - F.col("_n") < high) & (F.col("_rank") >= low))
+    return (
+        ends.groupBy("_key")
+        .agg(F.min("_value").alias("_a"), F.max("_value").alias("_b"))
+        .select(F.col("_key").alias(key), ((F.col("_a") + F.col("_b")) / 2).alias(to))
     )
-    inside = F.col("_slice").between(F.col("_first"), F.col("_last"))
-    remaining = sliced.join(chosen, "_key").filter(inside).select("_key", "_value", "_n")
-    return remaining, chosen.select("_key", "_low", "_high", "_below")

@@ -50,7 +50,10 @@ from claimscope.operators.joins import (
     with_latest_land_year,
 )
 from claimscope.operators.windows import previous_year_value, share_of_total
-from claimscope.plans.tables import Tables
+from claimscope.plans.tables import Tables as FrameTables
+from claimscope.plans.tables import Warehouse
+
+Tables = FrameTables | Warehouse
 
 BUCKET = "Percent Impervious Surface"
 YEAR = "yearOfLoss"

@@ -3,30 +3,61 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from claimscope.sources.tables import read_table
 
-# folder names below a warehouse
-FOLDERS = {
-    "claims": "claims",
-    "crosswalk": "zip_to_zcta",
-    "land": "land_cover",
-    "index": "price_index",
-    "counties": "counties",
-}
-
 
 @dataclass(frozen=True)
 class Tables:
+    """Tables given as DataFrames. Reports read only the ones they need."""
+
     claims: DataFrame
     crosswalk: DataFrame
     land: DataFrame
     index: DataFrame
-    counties: DataFrame
+    counties: DataFrame | None = None
+
+
+class Warehouse:
+    """The same tables as written by the load job, each opened when first asked for."""
+
+    FOLDERS = {
+        "claims": "claims",
+        "crosswalk": "zip_to_zcta",
+        "land": "land_cover",
+        "index": "price_index",
+        "counties": "counties",
+    }
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.path = path
+
+    def folder(self, name: str) -> str:
+        return f"{self.path.rstrip('/')}/{self.FOLDERS[name]}"
+
+    def _open(self, name: str) -> DataFrame:
+        return read_table(self.spark, self.folder(name))
+
+    @cached_property
+    def claims(self) -> DataFrame:
+        return self._open("claims")
+
+    @cached_property
+    def crosswalk(self) -> DataFrame:
+        return self._open("crosswalk")
+
+    @cached_property
+    def land(self) -> DataFrame:
+        return self._open("land")
+
+    @cached_property
+    def index(self) -> DataFrame:
+        return self._open("index")
 
-    @classmethod
-    def open(cls, spark: SparkSession, warehouse: str) -> Tables:
-        """Tables written by the load job."""
-        return cls(**{name: read_table(spark, f"{warehouse}/{folder}") for name, folder in FOLDERS.items()})
+    @cached_property
+    def counties(self) -> DataFrame:
+        return self._open("counties")

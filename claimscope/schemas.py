@@ -6,10 +6,32 @@ file order is kept apart from the typed table schema.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import types as T
 
 from claimscope.constants import LAND_CLASSES
 
+_SIMPLE = {
+    "string": T.StringType(),
+    "boolean": T.BooleanType(),
+    "smallint": T.ShortType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "date": T.DateType(),
+    "timestamp_ntz": T.TimestampNTZType(),
+}
+
+
+def columns(text: str) -> T.StructType:
+    """A schema from ``name type, name type``; unlike a DDL string it needs no session."""
+    fields = []
+    for name, kind, precision, scale in re.findall(r"(\w+) (\w+)(?:\((\d+),(\d+)\))?", text):
+        dtype = T.DecimalType(int(precision), int(scale)) if precision else _SIMPLE[kind]
+        fields.append(T.StructField(name, dtype))
+    return T.StructType(fields)
+
+
 # --- fixed values: claims table, in table order ------------------------------
 CLAIMS_DDL = """
 asOfDate timestamp_ntz, amountPaidOnBuildingClaim decimal(12,2),
@@ -70,16 +92,16 @@ rentalPropertyIndicator state reportedCity reportedZipCode countyCode censusTrac
 censusBlockGroupFips latitude longitude id
 """.split()
 
-CLAIMS = T.StructType.fromDDL(CLAIMS_DDL)
+CLAIMS = columns(CLAIMS_DDL)
 CLAIM_DATES = ("originalConstructionDate", "originalNBDate", "dateOfLoss", "asOfDate")
 
-CROSSWALK = T.StructType.fromDDL(
+CROSSWALK = columns(
     "zip_code string, po_name string, state string, zip_type string, zcta string, zip_join_type string"
 )
 
 # The index file holds the first two columns; a dumped table holds all three.
-PRICE_INDEX_FILE = T.StructType.fromDDL("observation_date date, cpi_value decimal(10,3)")
-PRICE_INDEX = T.StructType.fromDDL("observation_date date, cpi_value decimal(10,3), cpi_year int")
+PRICE_INDEX_FILE = columns("observation_date date, cpi_value decimal(10,3)")
+PRICE_INDEX = columns("observation_date date, cpi_value decimal(10,3), cpi_year int")
 
 LAND_COVER = T.StructType(
     [T.StructField("ZCTA20", T.StringType()), T.StructField("YEAR", T.IntegerType())]
@@ -111,7 +133,3 @@ PLACE_CODES = T.StructType(
     ]
 )
 
-
-def as_text(schema: T.StructType, names: list[str] | None = None) -> T.StructType:
-    """The same columns as plain text, for landing raw cells unread."""
-    return T.StructType([T.StructField(n, T.StringType()) for n in names or schema.names])

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimscope.session import scratch_path
+
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A whole Parquet table; Spark prunes columns and partitions per query."""
@@ -41,3 +43,14 @@ def write_by_year(df: DataFrame, path: str, year: str = "yearOfLoss", then_by: S
         .parquet(path)
     )
     return path
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The same rows, written once to the shared folder and read back.
+
+    For results that several later steps read: nothing is computed twice, and a lost
+    executor costs no recomputation.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return read_table(df.sparkSession, path)
