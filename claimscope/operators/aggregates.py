@@ -76,35 +76,40 @@ def weighted_average(df: DataFrame, keys: Sequence[str], total: str, weight: str
     return sums.select(*keys, F.when(F.col("_weight") > 0, value).otherwise(zero).alias(to))
 
 
-def exact_median(df: DataFrame, key: str, value: str, to: str, slices: int = 1000) -> DataFrame:
-    """Exact median per group without holding a whole group in one task.
+def exact_median(df: DataFrame, key: str, value: str, to: str, around: float = 0.0005) -> DataFrame:
+    """Exact median per group without sorting a whole group in one task.
 
-    Values are counted first, so copies cost one row. Approximate quantiles, a sketch of
-    bounded size, then cut every group into slices of about equal weight; rows are
-    counted per slice, and only the slices that hold the middle ranks are sorted. The
-    sketch merely decides where to cut: the ranks themselves are counted exactly.
+    Two approximate quantiles just below and above the median, from a sketch of bounded
+    size, cut every group in three; copies of a value are first merged into one counted
+    row. Counting the rows per part tells which part holds the middle ranks, and only
+    that part, usually a thousandth of the group, is sorted. The sketch merely decides
+    where to cut: the ranks themselves are counted exactly.
+
+    ``df`` is read twice; give a stored table if it is costly to compute.
     """
-    counted = (
-        df.filter(F.col(key).isNotNull() & F.col(value).isNotNull())
-        .groupBy(F.col(key).alias("_key"), F.col(value).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+    present = df.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).select(
+        F.col(key).alias("_key"), F.col(value).alias("_value")
     )
-    points = [i / slices for i in range(1, slices)]
-    cuts = counted.groupBy("_key").agg(
-        F.percentile_approx("_value", points, 10 * slices).alias("_cuts"), F.sum("_n").alias("_size")
+    accuracy = int(5 / around)
+    cuts = present.groupBy("_key").agg(
+        F.percentile_approx("_value", [0.5 - around, 0.5 + around], accuracy).alias("_cuts"),
+        F.count(F.lit(1)).alias("_size"),
     )
-    above = F.expr("size(filter(_cuts, c -> c <= _value))")
-    sliced = counted.join(cuts, "_key").select("_key", "_value", "_n", "_size", above.alias("_slice"))
+    counted = present.groupBy("_key", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    part = F.when(F.col("_value") < F.col("_cuts")[0], 0).when(F.col("_value") <= F.col("_cuts")[1], 1).otherwise(2)
+    parted = counted.join(cuts, "_key").select("_key", "_value", "_n", "_size", part.alias("_part"))
 
-    # at most ``slices`` rows per group reach this window
-    per_slice = sliced.groupBy("_key", "_size", "_slice").agg(F.sum("_n").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy("_key").orderBy("_slice"))
+    # three rows per group at most
+    sizes = parted.groupBy("_key", "_size", "_part").agg(F.sum("_n").alias("_rows"))
+    upto = F.sum("_rows").over(Window.partitionBy("_key").orderBy("_part"))
     low, high = F.expr("(_size + 1) div 2"), F.expr("_size div 2 + 1")
-    holds_middle = (F.col("_below") < high) & (F.col("_below") + F.col("_n") >= low)
-    middle = per_slice.withColumn("_below", upto - F.col("_n")).filter(holds_middle).select("_key", "_slice", "_below")
-
-    rank = F.col("_below") + F.sum("_n").over(Window.partitionBy("_key", "_slice").orderBy("_value"))
-    ranked = sliced.join(middle, ["_key", "_slice"]).withColumn("_rank", rank)
+    middle = (
+        sizes.withColumn("_below", upto - F.col("_rows"))
+        .filter((F.col("_below") < high) & (F.col("_below") + F.col("_rows") >= low))
+        .select("_key", "_part", "_below")
+    )
+    rank = F.col("_below") + F.sum("_n").over(Window.partitionBy("_key", "_part").orderBy("_value"))
+    ranked = parted.join(middle, ["_key", "_part"]).withColumn("_rank", rank)
     ends = ranked.filter((F.col("_rank") - F.col("_n") < high) & (F.col("_rank") >= low))
     return (
         ends.groupBy("_key")

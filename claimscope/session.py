@@ -17,6 +17,7 @@ def local_session(cores: str = "8", shuffle_partitions: str = "8", memory: str =
         SparkSession.builder.master(f"local[{cores}]")
         .appName("claimscope")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", shuffle_partitions)

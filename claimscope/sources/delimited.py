@@ -45,9 +45,9 @@ def read_inferred(spark: SparkSession, path: str) -> DataFrame:
 def read_text_columns(
     spark: SparkSession, path: str, names: list[str], sep: str = ",", header: bool = True
 ) -> DataFrame:
-    """Every cell as raw text. Empty cells are NULL; a quoted empty cell stays ``''``."""
+    """Every cell as raw text. Empty cells and ``\\N`` are NULL; a quoted empty cell stays ``''``."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return _reader(spark, sep, header).option("emptyValue", "").schema(schema).csv(path)
+    return _reader(spark, sep, header).option("nullValue", r"\N").schema(schema).csv(path)
 
 
 def read_raw_claims(spark: SparkSession, path: str) -> DataFrame:
