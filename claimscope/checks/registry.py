@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,12 @@ def presentable(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+@lru_cache(maxsize=8)
+def standins(spark: SparkSession, sf_dir: str) -> Standins:
+    """Stand-ins are lazy plans; building them once per session saves reading footers again."""
+    return Standins(spark, sf_dir)
+
+
 def _all():
     for module in MODULES:
         yield from module.checks()
@@ -35,7 +42,7 @@ def _all():
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(build):
-        return lambda spark, sf_dir: presentable(build(Standins(spark, sf_dir)))
+        return lambda spark, sf_dir: presentable(build(standins(spark, sf_dir)))
 
     return {name: bind(build) for name, build, _ in _all()}
 

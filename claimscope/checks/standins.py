@@ -45,11 +45,12 @@ class Standins:
     def claims(self) -> DataFrame:
         """Line items with negative, missing and zero payments, blank event numbers, padded
         ZIP+4 codes and an id that is not unique."""
-        price = F.col("l_extendedprice").cast("decimal(12,2)")
-        discount = F.col("l_discount").cast("decimal(3,2)")
+        price, discount = F.col("_price"), F.col("_discount")
         padded_zip = F.concat(F.lit(" "), code5(F.col("o_custkey")), F.lit("-1234 "))
         return (
             self.base("lineitem")
+            .withColumn("_price", F.col("l_extendedprice").cast("decimal(12,2)"))
+            .withColumn("_discount", F.col("l_discount").cast("decimal(3,2)"))
             .join(self.base("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(self.base("part"), F.col("l_partkey") == F.col("p_partkey"))
             .join(self.base("customer"), F.col("o_custkey") == F.col("c_custkey"))

@@ -11,11 +11,21 @@ from pyspark.sql import types as T
 from claimscope import schemas
 from claimscope.functions.lenient import lenient
 from claimscope.functions.text import blank_to_null, zip5
+from claimscope.sources.delimited import LANDED
 
 
 def conform(raw: DataFrame, schema: T.StructType, blank_numeric: str = "null") -> DataFrame:
-    """Bind columns by name, in table order, with forgiving casts."""
-    return raw.select(*[lenient(F.col(f"`{f.name}`"), f.dataType, blank_numeric).alias(f.name) for f in schema])
+    """Bind columns by name, in table order, with forgiving casts.
+
+    A landing-order column, if there is one, passes through.
+    """
+    cells = [lenient(F.col(f"`{f.name}`"), f.dataType, blank_numeric).alias(f.name) for f in schema]
+    return raw.select(*cells, *[c for c in raw.columns if c == LANDED])
+
+
+def keep_first(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One row per key: the first landed, where the landing order is known."""
+    return keep_one(df, key, [c for c in df.columns if c == LANDED]).drop(LANDED)
 
 
 def clean_claims(raw: DataFrame, blank_numeric: str = "null") -> DataFrame:
@@ -30,17 +40,17 @@ def with_clean_zip(claims: DataFrame) -> DataFrame:
 def clean_crosswalk(raw: DataFrame) -> DataFrame:
     """Blank areas become NULL; one row per postal code."""
     typed = conform(raw, schemas.CROSSWALK).withColumn("zcta", blank_to_null(F.col("zcta")))
-    return keep_one(typed, ["zip_code"])
+    return keep_first(typed, ["zip_code"])
 
 
 def clean_land_cover(raw: DataFrame, blank_numeric: str = "null") -> DataFrame:
     """One row per area and year."""
-    return keep_one(conform(raw, schemas.LAND_COVER, blank_numeric), ["ZCTA20", "YEAR"])
+    return keep_first(conform(raw, schemas.LAND_COVER, blank_numeric), ["ZCTA20", "YEAR"])
 
 
 def clean_price_index(raw: DataFrame, blank_numeric: str = "null") -> DataFrame:
     """One row per observation date, with its year."""
-    return keep_one(with_index_year(conform(raw, schemas.PRICE_INDEX_FILE, blank_numeric)), ["observation_date"])
+    return keep_first(with_index_year(conform(raw, schemas.PRICE_INDEX_FILE, blank_numeric)), ["observation_date"])
 
 
 def with_index_year(index: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ class RawFiles:
 
 
 def _text(spark: SparkSession, path: str, schema, sep: str = ",") -> DataFrame:
-    return delimited.read_text_columns(spark, path, schema.names, sep)
+    return delimited.with_landing_order(delimited.read_text_columns(spark, path, schema.names, sep))
 
 
 def load(spark: SparkSession, raw: RawFiles, warehouse: str, blank_numeric: str = "null") -> Warehouse:

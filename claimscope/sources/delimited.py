@@ -7,10 +7,13 @@ splits over many tasks. A declared schema keeps Spark from reading the file twic
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimscope import schemas
 
+LANDED = "_landed"
+
 
 def _reader(spark: SparkSession, sep: str, header: bool):
     return (
@@ -50,6 +53,19 @@ def read_text_columns(
     return _reader(spark, sep, header).option("nullValue", r"\N").schema(schema).csv(path)
 
 
+def with_landing_order(raw: DataFrame) -> DataFrame:
+    """Add each row's place in its files, for choosing the first of several equal keys.
+
+    File and split offset order the splits; the running id orders rows within a split.
+    """
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return raw.select("*", place.alias(LANDED))
+
+
 def read_raw_claims(spark: SparkSession, path: str) -> DataFrame:
     """The claims feed as text, in file order."""
     return read_text_columns(spark, path, schemas.CLAIMS_FILE_ORDER)

@@ -109,7 +109,7 @@ def raw_files(tmp_path):
     land_row = ["00501", "2019"] + [cell for k in range(16) for cell in ("10", "0.6000000000000" if k == 5 else "0.0")]
     return RawFiles(
         claims=put("claims.csv", ",".join(schemas.CLAIMS_FILE_ORDER) + "\n" + "\n".join(claims) + "\n"),
-        crosswalk=put("crosswalk.csv", "a,b,c,d,e,f\n00501,H,NY,P,00501,Zip matches ZCTA\n"),
+        crosswalk=put("crosswalk.csv", "a,b,c,d,e,f\n00501,H,NY,P,00501,Zip matches ZCTA\n00501,A,NY,P,00999,Zip matches ZCTA\n"),
         land=put("land.tsv", "\t".join(schemas.LAND_COVER.names) + "\n" + "\t".join(land_row) + "\n"),
         index=put("index.csv", INDEX),
         places=put("places.csv", ",".join(f'"{n}"' for n in schemas.PLACE_CODES.names) + "\nNY,Suffolk,H,NY,36,103,36103,1,361031\n"),
@@ -124,6 +124,8 @@ def test_load_job_and_reports_over_it(spark, tmp_path, raw_files):
     assert claims["c12019"]["dateOfLoss"] == dt.datetime(2019, 3, 1)
     assert claims["c22019"]["dateOfLoss"] is None and claims["c22019"]["waterDepth"] is None
     assert house.counties.collect()[0]["county_name"] == "Suffolk"
+    # of two rows for one code, the first in the file stays, as in a keyed bulk load
+    assert [tuple(r)[:2] for r in house.crosswalk.collect()] == [("00501", "H")]
     counted, repeated = audit(spark, raw_files, house)
     assert tuple(counted.collect()[0]) == (4, 4, 0)
     assert [tuple(r) for r in repeated.collect()] == [("c3", 2)]
