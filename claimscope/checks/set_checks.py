@@ -46,6 +46,12 @@ ENVIRONMENTS = f"""select m.clean_zip, m.yearOfLoss, m.zcta, environment_type, c
     on m.zcta = l.ZCTA20 and m.yearOfLoss = l.YEAR group by 1, 2, 3, 4"""
 
 
+def storm_counts(s: Standins):
+    """Claims per storm id and event name."""
+    known = s.claims.withColumn("storm_id", R.storm_id()).filter(F.col("storm_id").isNotNull())
+    return known.groupBy("storm_id", "floodEvent").agg(A.claim_count().alias("claims"))
+
+
 def join_checks():
     yield (
         "join_crosswalk",
@@ -109,7 +115,7 @@ def join_checks():
             s.claims.select(
                 "id", R.storm_id().alias("storm_id"), X.fold(R.storm_id(), False).alias("storm_key")
             ),
-            R.major_storms(s.claims, GENERIC, STORM_CLAIMS, False),
+            R.major_storms(storm_counts(s), GENERIC, STORM_CLAIMS, False),
             "storm_key",
         ).drop("storm_key"),
         with_views(

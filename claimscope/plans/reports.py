@@ -52,6 +52,7 @@ from claimscope.operators.joins import (
 from claimscope.operators.windows import previous_year_value, share_of_total
 from claimscope.plans.tables import Tables as FrameTables
 from claimscope.plans.tables import Warehouse
+from claimscope.sources.tables import stored
 
 Tables = FrameTables | Warehouse
 
@@ -170,12 +171,13 @@ def storm_id() -> Column:
     return first_identity(*[F.col(c) for c in STORM_TEXT])
 
 
-def major_storms(
-    claims: DataFrame, generic: Sequence[str], min_claims: int, case_sensitive: bool
-) -> DataFrame:
-    """Keys of the storms with more than ``min_claims`` claims, generic names not counted."""
-    named = claims.filter(storm_id().isNotNull() & is_named(F.col("floodEvent"), generic, case_sensitive))
-    sizes = named.groupBy(fold(storm_id(), case_sensitive).alias("storm_key")).agg(A.claim_count().alias("claims"))
+def major_storms(counted: DataFrame, generic: Sequence[str], min_claims: int, case_sensitive: bool) -> DataFrame:
+    """Keys of the storms with more than ``min_claims`` claims, generic names not counted.
+
+    ``counted`` holds claims per storm id, event name and whatever else.
+    """
+    named = counted.filter(is_named(F.col("floodEvent"), generic, case_sensitive))
+    sizes = named.groupBy(fold(F.col("storm_id"), case_sensitive).alias("storm_key")).agg(F.sum("claims").alias("claims"))
     return sizes.filter(F.col("claims") > min_claims).select("storm_key")
 
 
@@ -217,17 +219,22 @@ def storm_control(
 
     Generic names are left out when storms are sized but not from the detail rows. A
     name that varies within a storm yields one row per name.
+
+    The first-level sums serve twice, to size the storms and as detail, so they are stored:
+    the claims are scanned once.
     """
     scheme = scheme or storm_scheme()
-    majors = major_storms(t.claims, generic, min_claims, case_sensitive)
-    by_zip = _storms_by_zip(
-        t.claims,
-        case_sensitive,
-        claims=A.claim_count(),
-        building_claims=A.building_claim_count(),
-        nominal=A.building_paid(),
+    by_zip = stored(
+        _storms_by_zip(
+            t.claims,
+            case_sensitive,
+            claims=A.claim_count(),
+            building_claims=A.building_claim_count(),
+            nominal=A.building_paid(),
+        ),
+        "storms-by-zip",
     )
-    detail = keep_members(by_zip, majors, "storm_key")
+    detail = keep_members(by_zip, major_storms(by_zip, generic, min_claims, case_sensitive), "storm_key")
     by_area = _storms_by_area(detail, t.crosswalk, case_sensitive, "claims", "building_claims", "nominal")
     placed = with_land(by_area, t.land, scheme.label().alias("environment_type"))
     priced = with_index(placed, with_baseline(t.index, base_year))
