@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimscope.llm import language, lines, merkle, mixing, packing, planes, quality, simhash, sql, tokens, urls
+from claimscope.llm import language, lines, lm, merkle, mixing, packing, planes, quality, simhash, sql, tokens, urls
 from claimscope.llm.common import documents
 
 
@@ -40,6 +40,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -69,6 +73,7 @@ QUERIES = (
     op2_quality_rules,
     op3_line_dedup,
     op4_packing,
+    op5_lm_scoring,
     op6_simhash,
     op7_mixing,
     op8_token_planes,
