@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import claimscope
 from claimscope.session import scratch_path
 
 # What separates words, as a regular expression of either engine.
@@ -28,11 +32,29 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package's source to the executors, once per Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_claimscope_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(claimscope.__file__))
+    archive = os.path.join(tempfile.mkdtemp(), "claimscope.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    context._claimscope_shipped = True
+
+
 def map_arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` over batches of few rows, so that very long texts fit a worker.
 
     Lowers the session's ``spark.sql.execution.arrow.maxRecordsPerBatch`` where it is higher.
     """
+    ship_package(df.sparkSession)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
