@@ -103,7 +103,7 @@ def edits(a: Column, b: Column) -> Column:
     """
 
     def parts(print_: Column) -> Column:
-        return F.transform(F.slice(F.split(print_, ":"), 2, 2**31 - 1), lambda s: F.split(s, "/"))
+        return let(F.split(print_, ":"), lambda x: F.transform(F.slice(x, F.lit(2), F.size(x)), lambda s: F.split(s, "/")))
 
     def differing(x: Column, y: Column) -> Column:
         def within(k: Column) -> Column:
