@@ -38,6 +38,10 @@ LAND_SQL = "ZCTA20, YEAR, " + ", ".join(
         "PROP_DECIDUOUSFOREST PROP_EVERGREENFOREST PROP_PASTUREHAY PROP_MIXEDFOREST PROP_SHRUBSCRUB PROP_CULTCROPS"
     ).split()
 )
+# A depth with .5 after it, rounded half away from zero.
+HALF_AWAY = "case when waterDepth < 0 then waterDepth - 1 else waterDepth + 1 end"
+DEPTH_OR_NULL = f"""cast(case when causeOfDamage = '1' then {HALF_AWAY} when causeOfDamage in ('2', '3', '4') then null
+  else waterDepth end as int) as waterDepth"""
 LINE_KEY = ["l_orderkey", "l_linenumber"]
 IMPOSSIBLE = "0000-00-00"
 
@@ -91,10 +95,26 @@ def zero_dates(s: Standins):
     return clean.dates_or_null(raw, list(spoiled), T.DateType())
 
 
+def spoiled_depth():
+    """Depths as a careless clerk writes them, in another way for each cause."""
+    depth, cause = F.col("waterDepth").cast("string"), F.col("causeOfDamage")
+    return (
+        F.when(cause == "1", F.concat(depth, F.lit(".5")))
+        .when(cause == "2", F.concat(depth, F.lit("abc")))
+        .when(cause == "3", F.lit("40000000000"))
+        .when(cause == "4", F.lit(""))
+        .otherwise(F.concat(F.lit(" "), depth, F.lit(".0 ")))
+    )
+
+
 def blanks_as_zero(s: Standins):
-    schema = columns("id string, amountPaidOnContentsClaim decimal(12,2), amountPaidOnBuildingClaim decimal(12,2)")
+    schema = columns(
+        "id string, amountPaidOnContentsClaim decimal(12,2), amountPaidOnBuildingClaim decimal(12,2), waterDepth int"
+    )
     raw = s.claims.select(
-        "id", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in schema.names[1:]]
+        "id",
+        *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in schema.names[1:3]],
+        spoiled_depth().alias("waterDepth"),
     )
     return clean.conform(raw, schema, blank_numeric="zero")
 
@@ -132,7 +152,8 @@ def by_catalogue(s: Standins):
     fields = [(n, CATALOGUE_TYPES.get(t, t), n == "id") for n, t in df.dtypes]
     path = scratch_path(s.spark, "catalogue")
     s.spark.createDataFrame([(fields,)], catalogue.CATALOGUE_SCHEMA).coalesce(1).write.json(path)
-    raw = delimited.read_text_columns(s.spark, landed(s, df, "untyped"), df.columns)
+    spoiled = s.claims.withColumn("waterDepth", spoiled_depth()).select(*CELLS)
+    raw = delimited.read_text_columns(s.spark, landed(s, spoiled, "untyped"), df.columns)
     return catalogue.cast_by_catalogue(raw, catalogue.read_catalogue(s.spark, path))
 
 
@@ -202,7 +223,9 @@ def checks():
     )
     yield "blank_numeric_to_zero", blanks_as_zero, with_views(
         f"""select id, {dbl("coalesce(amountPaidOnContentsClaim, 0)")} as amountPaidOnContentsClaim,
-          {dbl("coalesce(amountPaidOnBuildingClaim, 0)")} as amountPaidOnBuildingClaim from claims"""
+          {dbl("coalesce(amountPaidOnBuildingClaim, 0)")} as amountPaidOnBuildingClaim,
+          cast(case causeOfDamage when '1' then {HALF_AWAY} when '2' then waterDepth when '3' then 2147483647
+            when '4' then 0 else waterDepth end as int) as waterDepth from claims"""
     )
     yield "load_sorted_final", sorted_final, with_views(f"select {CELLS_SQL} from claims order by id")
     yield (
@@ -236,7 +259,11 @@ def checks():
         f"""select clean_zip, count(*) as claims, {dbl("sum(amountPaidOnBuildingClaim)")} as paid from claims
         where yearOfLoss = {BASE} group by clean_zip"""
     )
-    yield "sample_random_n", lambda s: quality.random_sample(cells(s), 1000), None
+    drawn = ", ".join(f"coalesce(cast({c} as varchar), '~')" for c in CELLS)
+    yield "sample_random_n", lambda s: quality.random_sample(cells(s), 1000), with_views(
+        f"""select {CELLS_SQL} from (select *, concat_ws('|', {drawn}) as cells from claims)
+        order by cast(('0x' || substr(md5('1|' || cells), 1, 13)) as bigint), cells limit 1000"""
+    )
     yield "export_result_csv", exported, with_views(
         f"""select yearOfLoss, n as total_claims, {scaled(real9("cents"), 9)} as real_total_paid_out_{BASE},
           {quo("severe", "n")} as pct_severe_above_ground_floods, {quo("basement", "n")} as pct_basement_floods,
@@ -244,7 +271,9 @@ def checks():
         from trend join ratios on yearOfLoss = cpi_year""",
         {"trend": TREND},
     )
-    yield "cast_by_catalogue", by_catalogue, with_views(f"select {CELLS_SQL} from claims")
+    yield "cast_by_catalogue", by_catalogue, with_views(
+        f"""select {CELLS_SQL.replace("waterDepth", DEPTH_OR_NULL)} from claims"""
+    )
     yield "row_count_by_table", counts, with_views(
         " union all ".join(
             f"select '{t}' as table_name, count(*) as row_count from {t}"

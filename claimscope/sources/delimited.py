@@ -1,7 +1,8 @@
 """Quoted text files.
 
-Rows never span lines in these feeds, so ``multiLine`` stays off and one large file
-splits over many tasks. A declared schema keeps Spark from reading the file twice.
+A quote inside a quoted cell is written twice, on both sides. Rows seldom span lines in
+these feeds, so ``multi_line`` is off unless asked for and one large file splits over many
+tasks. A declared schema keeps Spark from reading the file twice.
 """
 
 from __future__ import annotations
@@ -13,44 +14,67 @@ from pyspark.sql import types as T
 from claimscope import schemas
 
 LANDED = "_landed"
+MALFORMED = "_malformed"
 
 
-def _reader(spark: SparkSession, sep: str, header: bool):
+def _reader(spark: SparkSession, sep: str, header: bool, multi_line: bool = False):
     return (
         spark.read.option("sep", sep)
         .option("quote", '"')
+        .option("escape", '"')
+        .option("multiLine", multi_line)
         .option("header", header)
         .option("enforceSchema", True)
         .option("dateFormat", "yyyy-MM-dd")
     )
 
 
-def read_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_typed(
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False
+) -> DataFrame:
     """Comma-separated file with a header line; columns bind by position."""
-    return _reader(spark, ",", True).schema(schema).csv(path)
+    return _reader(spark, ",", True, multi_line).schema(schema).csv(path)
 
 
-def read_tab_separated(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_tab_separated(
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False
+) -> DataFrame:
     """Tab-separated file with a header line; columns bind by position."""
-    return _reader(spark, "\t", True).schema(schema).csv(path)
+    return _reader(spark, "\t", True, multi_line).schema(schema).csv(path)
 
 
-def read_headerless(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_headerless(
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False
+) -> DataFrame:
     """Comma-separated dump without a header line."""
-    return _reader(spark, ",", False).schema(schema).csv(path)
+    return _reader(spark, ",", False, multi_line).schema(schema).csv(path)
 
 
-def read_inferred(spark: SparkSession, path: str) -> DataFrame:
+def read_inferred(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """An exported result. Inference reads the file twice: for small files only."""
-    return _reader(spark, ",", True).option("inferSchema", True).csv(path)
+    return _reader(spark, ",", True, multi_line).option("inferSchema", True).csv(path)
 
 
 def read_text_columns(
-    spark: SparkSession, path: str, names: list[str], sep: str = ",", header: bool = True
+    spark: SparkSession,
+    path: str,
+    names: list[str],
+    sep: str = ",",
+    header: bool = True,
+    multi_line: bool = False,
+    malformed: bool = False,
 ) -> DataFrame:
-    """Every cell as raw text. Empty cells and ``\\N`` are NULL; a quoted empty cell stays ``''``."""
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return _reader(spark, sep, header).option("nullValue", r"\N").schema(schema).csv(path)
+    """Every cell as raw text. Empty cells and ``\\N`` are NULL; a quoted empty cell stays ``''``.
+
+    A row with too few cells is filled up with NULL and one with too many is cut. With
+    ``malformed`` the column of that name holds the text of such rows, and NULL for others.
+    """
+    fields = [T.StructField(n, T.StringType()) for n in names]
+    reader = _reader(spark, sep, header, multi_line).option("nullValue", r"\N")
+    if malformed:
+        fields.append(T.StructField(MALFORMED, T.StringType()))
+        reader = reader.option("columnNameOfCorruptRecord", MALFORMED)
+    return reader.schema(T.StructType(fields)).csv(path)
 
 
 def with_landing_order(raw: DataFrame) -> DataFrame:
@@ -66,9 +90,11 @@ def with_landing_order(raw: DataFrame) -> DataFrame:
     return raw.select("*", place.alias(LANDED))
 
 
-def read_raw_claims(spark: SparkSession, path: str) -> DataFrame:
+def read_raw_claims(
+    spark: SparkSession, path: str, multi_line: bool = False, malformed: bool = False
+) -> DataFrame:
     """The claims feed as text, in file order."""
-    return read_text_columns(spark, path, schemas.CLAIMS_FILE_ORDER)
+    return read_text_columns(spark, path, schemas.CLAIMS_FILE_ORDER, multi_line=multi_line, malformed=malformed)
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False, sep: str = ",", header: bool = True) -> str:
@@ -80,6 +106,7 @@ def write_csv(df: DataFrame, path: str, one_file: bool = False, sep: str = ",",
     (
         out.write.option("header", header)
         .option("sep", sep)
+        .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
