@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,6 +26,11 @@ def reconcile(landing: DataFrame, final: DataFrame) -> DataFrame:
     )
 
 
+def head(df: DataFrame, rows: int = 5) -> DataFrame:
+    """The first rows, as a look at a table: as many as asked for, in no order of their own."""
+    return df.limit(rows)
+
+
 def profile(df: DataFrame) -> DataFrame:
     """Type, non-NULL and NULL count of every column, in one pass over the table."""
     total = F.count(F.lit(1)).alias("_rows")
@@ -42,17 +48,27 @@ def profile(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(F.array(*entries)))
 
 
+def draw(seed: int, columns: Sequence[str]) -> tuple[Column, Column]:
+    """A number from 0 to 1 that follows from the seed and a row's cells, and the cells as text."""
+    cells = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("~")) for c in columns])
+    digits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), cells)), 1, 13), 16, 10)
+    return digits.cast("bigint").cast("double") / F.lit(float(1 << 52)), cells
+
+
 def random_sample(df: DataFrame, rows: int, seed: int = 1) -> DataFrame:
     """Exactly ``rows`` rows (all, if there are fewer) in seeded random order.
 
-    Sorting by a random draw would make every task send its best ``rows`` rows to one
-    final task. A cut-off expected to pass slightly more than ``rows`` draws over the
-    whole table keeps that merge small. Should too few pass, the cut-off is lifted,
-    so the result never falls short.
+    A row's place follows from the seed and its cells, so neither the partitioning nor a
+    retried task changes the sample; equal rows tie, and either may stand for the other.
+
+    Sorting all rows by the draw would make every task send its best ``rows`` rows to one
+    final task. A cut-off expected to pass slightly more than ``rows`` keeps that merge
+    small. Where it passes too few, as among many equal rows, all rows take part.
     """
     margin = rows + 10 * rows**0.5 + 100
-    drawn = df.withColumn("_draw", F.rand(seed))
+    number, cells = draw(seed, df.columns)
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    drawn = df.select("*", number.alias("_draw"), cells.alias("_cells"))
     passes = F.col("_draw") * total <= F.lit(margin)
     enough = drawn.filter(passes).agg((F.count(F.lit(1)) >= rows).alias("enough")).scalar()
-    return drawn.filter(passes | ~enough).orderBy("_draw").limit(rows).drop("_draw")
+    return drawn.filter(passes | ~enough).orderBy("_draw", "_cells").limit(rows).drop("_draw", "_cells")

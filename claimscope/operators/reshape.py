@@ -1,21 +1,42 @@
-"""Long to wide. Column values are always given, so no extra job looks them up and the
-schema does not depend on the data."""
+"""Long to wide.
+
+Column values are given, so that the schema does not depend on the data, or all those that
+occur are taken, which costs a job to look them up. A given list that misses a value is an
+error, not a gap. Rows with NULL in the column of values have no cell.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def pivot_cells(df: DataFrame, rows: str, columns: str, values: Sequence, cell: str) -> DataFrame:
+def occurring(df: DataFrame, column: str) -> list:
+    """The values of a column in order: as many as the matrix will have columns."""
+    return [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
+
+
+def only_known(column: str, values: Sequence) -> Column:
+    """The column; a value outside ``values`` stops the query."""
+    name = F.col(f"`{column}`")
+    message = F.concat(F.lit(f"{column} has a value that is not listed: "), name.cast("string"))
+    return F.when(name.isNull() | name.isin(list(values)), name).otherwise(F.raise_error(message))
+
+
+def _wide(df: DataFrame, rows: str, columns: str, values: Sequence):
+    return df.withColumn(columns, only_known(columns, values)).groupBy(rows).pivot(columns, list(values))
+
+
+def pivot_cells(df: DataFrame, rows: str, columns: str, values: Sequence | None, cell: str) -> DataFrame:
     """Matrix of single cells. Absent cells are NULL; two rows for one cell are an error."""
     clash = F.raise_error(F.lit(f"more than one row for a cell of {rows} by {columns}"))
     only = F.when(F.count(F.lit(1)) > 1, clash.cast(df.schema[cell].dataType)).otherwise(F.max(cell))
-    return df.groupBy(rows).pivot(columns, list(values)).agg(only)
+    return _wide(df, rows, columns, occurring(df, columns) if values is None else values).agg(only)
 
 
-def pivot_mean(df: DataFrame, rows: str, columns: str, values: Sequence, cell: str) -> DataFrame:
-    """Matrix of means."""
-    return df.groupBy(rows).pivot(columns, list(values)).agg(F.avg(cell))
+def pivot_mean(df: DataFrame, rows: str, columns: str, values: Sequence | None, *cells: str) -> DataFrame:
+    """Matrix of means; of several cells, with columns named ``value_cell``."""
+    listed = occurring(df, columns) if values is None else values
+    return _wide(df, rows, columns, listed).agg(*[F.avg(c).alias(c) for c in cells])

@@ -12,15 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimscope import constants as K
-from claimscope.functions.landcover import density_band
+from claimscope.functions.landcover import FLOOD_TYPE_SCHEME, Scheme, density_band
 from claimscope.functions.text import count_label, without_rank_prefix, wrapped_label
 from claimscope.operators.aggregates import exact_median, weighted_average
-from claimscope.operators.ordering import declared_rank, in_declared_order, rows_of_top_keys
-from claimscope.operators.reshape import pivot_cells, pivot_mean
+from claimscope.operators.ordering import in_declared_order, rows_of_top_keys
+from claimscope.operators.reshape import only_known, pivot_cells, pivot_mean
 from claimscope.plans.reports import BUCKET
 
-LAND_YEARS = tuple(range(K.FIRST_LAND_YEAR, K.LAST_LAND_YEAR + 1))
-
 
 def trend_series(trend: DataFrame, base_year: int = K.BASE_YEAR) -> DataFrame:
     """Both trend charts: counts, real total and the three shares in percent."""
@@ -60,37 +58,46 @@ def band_trend(buckets: DataFrame) -> DataFrame:
     )
 
 
-def heatmap(buckets: DataFrame, cell: str, years: Sequence[int] = LAND_YEARS) -> DataFrame:
-    """Bucket by year matrix, highest bucket first."""
+def heatmap(buckets: DataFrame, cell: str, years: Sequence[int] | None = None) -> DataFrame:
+    """Bucket by year matrix, highest bucket first.
+
+    Without ``years`` there is a column for every year of the report, looked up when the
+    matrix is built. Given years must hold all of the report's.
+    """
     typed = buckets.withColumn("Year", F.col("Year").cast("int"))
     return pivot_cells(typed, BUCKET, "Year", years, cell).orderBy(F.desc(BUCKET))
 
 
-def heatmap_volume(buckets: DataFrame, years: Sequence[int] = LAND_YEARS) -> DataFrame:
+def heatmap_volume(buckets: DataFrame, years: Sequence[int] | None = None) -> DataFrame:
     """Claims by bucket and year."""
     return heatmap(buckets, "Total Claims", years)
 
 
-def heatmap_severity(buckets: DataFrame, years: Sequence[int] = LAND_YEARS, base_year: int = K.BASE_YEAR) -> DataFrame:
+def heatmap_severity(
+    buckets: DataFrame, years: Sequence[int] | None = None, base_year: int = K.BASE_YEAR
+) -> DataFrame:
     """Average payment by bucket and year."""
     return heatmap(buckets, f"Avg Payout per Claim ({base_year} Dollars)", years)
 
 
 def flood_type_mix(
     mix: DataFrame,
-    environments: Sequence[str] = K.FLOOD_TYPE_LABELS[:2],
+    scheme: Scheme = FLOOD_TYPE_SCHEME,
     flood_types: Sequence[str] = (K.RAIN_LABEL, K.RIVER_LABEL),
 ) -> DataFrame:
     """Percent, count and bar label per environment (in declared order) and flood type.
 
-    A cell without a positive percentage has no label.
+    ``scheme`` is the one the report was made with. An environment or flood type that it
+    does not declare stops the query. A cell without a positive percentage has no label.
     """
-
-    def matrix(value: str, suffix: str) -> DataFrame:
-        wide = pivot_mean(mix, "environment_type", "flood_type", flood_types, value)
-        return wide.withColumnsRenamed({f: f"{f} {suffix}" for f in flood_types})
-
-    both = matrix("percent_of_environment", "percent").join(matrix("total_incidents", "incidents"), "environment_type")
+    environments = [rule.label for rule in scheme.rules]
+    known = mix.withColumn("environment_type", only_known("environment_type", environments))
+    both = pivot_mean(
+        known, "environment_type", "flood_type", flood_types, "percent_of_environment", "total_incidents"
+    ).withColumnsRenamed(
+        {f"{f}_percent_of_environment": f"{f} percent" for f in flood_types}
+        | {f"{f}_total_incidents": f"{f} incidents" for f in flood_types}
+    )
     labels = {
         f"{f} label": F.when(
             F.col(f"{f} percent") > 0,
@@ -101,11 +108,6 @@ def flood_type_mix(
     return in_declared_order(both.withColumns(labels), "environment_type", environments)
 
 
-def flood_type_rank(environments: Sequence[str] = K.FLOOD_TYPE_LABELS[:2]):
-    """Sort position of an environment in the chart."""
-    return declared_rank("environment_type", environments)
-
-
 def storm_environment(storms: DataFrame, base_year: int = K.BASE_YEAR) -> DataFrame:
     """Incidents per environment with the plain mean and median of its group averages,
     most incidents first."""
