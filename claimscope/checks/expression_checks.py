@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimscope import constants as K
-from claimscope.checks.oracle_parts import DEVELOPED, dbl, quo, scheme_case, with_views
+from claimscope.checks.oracle_parts import COST_CASE, DEVELOPED, FLOOD_TYPE_CASE, STORM_CASE, dbl, quo, severity_case, with_views
 from claimscope.checks.report_checks import BASE, FIRST, GENERIC, GENERIC_SQL, MIX, MIX_SHARE, TREND, trend
 from claimscope.checks.standins import Standins
 from claimscope.functions import landcover as L
@@ -66,7 +66,7 @@ def filters():
             F.col("environment_type") != "Mixed"
         ),
         with_views(
-            f"""select * from (select ZCTA20, YEAR, {scheme_case(L.FLOOD_TYPE_SCHEME)} as environment_type from land)
+            f"""select * from (select ZCTA20, YEAR, {FLOOD_TYPE_CASE} as environment_type from land)
             where environment_type <> 'Mixed'"""
         ),
     )
@@ -110,19 +110,20 @@ def values():
         "classify_archetype_3way",
         on_land(half=L.COST_SCHEME.label, two_fifths=L.FLOOD_TYPE_SCHEME.label),
         with_views(
-            f"""select ZCTA20, YEAR, {scheme_case(L.COST_SCHEME)} as half,
-            {scheme_case(L.FLOOD_TYPE_SCHEME)} as two_fifths from land"""
+            f"""select ZCTA20, YEAR, {COST_CASE} as half,
+            {FLOOD_TYPE_CASE} as two_fifths from land"""
         ),
     )
-    for name, scheme in (
-        ("classify_archetype_6way", L.storm_scheme()),
-        ("classify_archetype_5way", L.severity_scheme(high="0.3", wet="0.3")),
-    ):
-        yield (
-            name,
-            on_land(label=scheme.label),
-            with_views(f"select ZCTA20, YEAR, {scheme_case(scheme)} as label from land"),
-        )
+    yield (
+        "classify_archetype_6way",
+        on_land(label=L.storm_scheme().label),
+        with_views(f"select ZCTA20, YEAR, {STORM_CASE} as label from land"),
+    )
+    yield (
+        "classify_archetype_5way",
+        on_land(label=L.severity_scheme().label, lower=L.severity_scheme(high="0.3", wet="0.3").label),
+        with_views(f"select ZCTA20, YEAR, {severity_case()} as label, {severity_case('0.3', '0.3')} as lower from land"),
+    )
     yield (
         "bucket_decile_pct",
         on_land(bucket=L.impervious_percent),
@@ -222,7 +223,7 @@ def scalars():
         with_views(
             f"""select ZCTA20, YEAR, split_part(label, '. ', 2) as {short},
             replace(split_part(label, '. ', 2), ' (', chr(10) || '(') as {label}
-            from (select *, {scheme_case(L.storm_scheme())} as label from land)"""
+            from (select *, {STORM_CASE} as label from land)"""
         ),
     )
     yield (

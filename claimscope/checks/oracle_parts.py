@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import re
 
-from claimscope.functions.landcover import Scheme
-
 _CODE5 = "lpad(cast({} as varchar), 5, '0')"
 DEVELOPED = "PROP_DEV_LOWINTENSITY + PROP_DEV_MEDINTENSITY + PROP_DEV_HIINTENSITY"
 
@@ -142,10 +140,25 @@ def real9(cents: str, r14: str = "r14") -> str:
     return f"((2 * ({cents}) * {r14} + {step}) // (2 * {step}))"
 
 
-def scheme_case(scheme: Scheme) -> str:
-    """A land scheme as a CASE expression."""
-    branches = []
-    for rule in scheme.rules:
-        sign = ">=" if rule.inclusive else ">"
-        branches.append(f"when {' + '.join(rule.shares)} {sign} {rule.threshold} then '{rule.label}'")
-    return f"case {' '.join(branches)} else '{scheme.otherwise}' end"
+# Land classes in their own words: shares, limits and labels are spelled out here once more,
+# so that a wrong rule in the library cannot agree with itself.
+_URBAN = "PROP_DEV_MEDINTENSITY + PROP_DEV_HIINTENSITY"
+_WET = "PROP_HERBWET + PROP_WOODYWET"
+_WOODS = "PROP_SHRUBSCRUB + PROP_MIXEDFOREST + PROP_EVERGREENFOREST + PROP_DECIDUOUSFOREST"
+COST_CASE = f"""case when {_URBAN} > 0.5 then 'Highly Developed (>50%)'
+  when {_WET} + PROP_DECIDUOUSFOREST > 0.5 then 'Highly Natural/Wetland (>50%)' else 'Mixed/Other' end"""
+FLOOD_TYPE_CASE = f"""case when {_URBAN} > 0.4 then 'High Concrete'
+  when {_WET} + PROP_DECIDUOUSFOREST > 0.4 then 'High Natural' else 'Mixed' end"""
+STORM_CASE = f"""case when {_WET} >= 0.25 then '1. Wetland Buffer (High Absorption)'
+  when {_URBAN} >= 0.5 then '2. Dense Urban (Concrete Shield)'
+  when PROP_DEV_LOWINTENSITY + {_URBAN} >= 0.5 then '3. Suburban Sprawl'
+  when {_WOODS} >= 0.5 then '4. Forest/Wildland (Natural Sponge)'
+  when PROP_CULTCROPS + PROP_PASTUREHAY >= 0.5 then '5. Agricultural/Rural (Moderate Runoff)'
+  else '6. Mixed/Transition Zone' end"""
+
+
+def severity_case(high: str = "0.5", wet: str = "0.5") -> str:
+    return f"""case when PROP_DEV_HIINTENSITY >= {high} then '1. Concrete Jungle (High Intensity)'
+      when PROP_DEV_LOWINTENSITY + {_URBAN} >= 0.5 then '2. Suburban Sprawl'
+      when {_WET} >= {wet} then '3. Swamp/Wetland'
+      when {_WOODS} >= 0.5 then '4. Forest/Wildland (Natural Sponge)' else '5. Mixed/Transition Zone' end"""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from claimscope.checks.oracle_parts import dbl, quo, real9, scaled, scheme_case, with_views
+from claimscope.checks.oracle_parts import COST_CASE, FLOOD_TYPE_CASE, STORM_CASE, dbl, quo, real9, scaled, severity_case, with_views
 from claimscope.checks.standins import FIRST_YEAR, LAST_YEAR, Standins
-from claimscope.functions.landcover import COST_SCHEME, FLOOD_TYPE_SCHEME, severity_scheme, storm_scheme
+from claimscope.functions.landcover import severity_scheme
 from claimscope.plans import reports as R
 from claimscope.plans import summaries as S
 from claimscope.plans.tables import Tables
@@ -23,7 +23,7 @@ AVG_BUCKET = f"Avg Payout per Claim ({BASE} Dollars)"
 SUM_BUCKET = f"Total Payouts ({BASE} Dollars)"
 AVG_STORM = f"avg_building_payout_{BASE}_dollars"
 SUM_STORM = f"total_building_payout_{BASE}_dollars"
-STORM_ENV = scheme_case(storm_scheme())
+STORM_ENV = STORM_CASE
 GENERIC_SQL = "(floodEvent is null or lower(floodEvent) not in ('promo', 'small'))"
 
 
@@ -58,7 +58,7 @@ BUCKETS = f"""select m.yearOfLoss as y, b.bucket, count(*) as n, sum(m.both_cent
 
 MIX = f"""select environment_type, case when causeOfDamage = '2' then 'River/Stream Overflow'
       else 'Flash Flood (Rain Accumulation)' end as flood_type, count(*) as n
-  from mapped m join (select ZCTA20, YEAR, {scheme_case(FLOOD_TYPE_SCHEME)} as environment_type from land) l
+  from mapped m join (select ZCTA20, YEAR, {FLOOD_TYPE_CASE} as environment_type from land) l
     on m.zcta = l.ZCTA20 and m.yearOfLoss = l.YEAR
   where causeOfDamage in ('2', '4') and environment_type <> 'Mixed' group by 1, 2"""
 
@@ -99,8 +99,8 @@ def per_hundred(policies: str) -> str:
     return rate_percent("n", policies)
 
 
-def pivot_sql(cell: str) -> str:
-    cells = ", ".join(f'max(case when y = {y} then {cell} end) as "{y}"' for y in YEARS)
+def pivot_sql(cell: str, years=YEARS) -> str:
+    cells = ", ".join(f'max(case when y = {y} then {cell} end) as "{y}"' for y in years)
     return f'select bucket as "{R.BUCKET}", {cells} from buckets group by bucket'
 
 
@@ -122,7 +122,7 @@ def reports():
           {quo("sum(real)", "sum(n) * 10000000000000")} as avg_{BASE}_payout_all_claims,
           {quo("sum(cents)", "sum(damaged) * 100")} as true_nominal_payout_all_claims,
           {quo("sum(real)", "sum(damaged) * 10000000000000")} as true_avg_{BASE}_building_payout
-        from by_zip z join (select ZCTA20, YEAR, {scheme_case(COST_SCHEME)} as land_archetype from land) l
+        from by_zip z join (select ZCTA20, YEAR, {COST_CASE} as land_archetype from land) l
           on z.zcta = l.ZCTA20 and z.yearOfLoss = l.YEAR group by land_archetype""",
         {
             "by_zip": f"""select clean_zip, zcta, yearOfLoss, count(*) as n,
@@ -213,7 +213,7 @@ def reports():
                     from (select distinct yearOfLoss as y from claims where yearOfLoss >= {FIRST}) m2
                       join (select distinct YEAR from land where YEAR in (1995, 1998, 2001)) l2 on l2.YEAR <= m2.y
                     group by 1) latest on m.yearOfLoss = latest.y
-              join (select ZCTA20, YEAR, {scheme_case(SEVERITY)} as environment_type from land) l
+              join (select ZCTA20, YEAR, {severity_case("0.3", "0.3")} as environment_type from land) l
                 on m.zcta = l.ZCTA20 and l.YEAR = latest.land_year
             where zip_join_type = 'Zip matches ZCTA' and buildingPropertyValue > 0 and yearOfLoss >= {FIRST}
             group by 1 having count(*) > {GROUP_CLAIMS}"""
@@ -271,8 +271,8 @@ def summaries():
         from buckets group by 1, 2""",
         {"buckets": BUCKETS},
     )
-    yield "summary_heatmap_volume", lambda s: S.heatmap_volume(buckets(s), YEARS), with_views(
-        pivot_sql("n"), {"buckets": BUCKETS}
+    yield "summary_heatmap_volume", lambda s: S.heatmap_volume(buckets(s)), with_views(
+        pivot_sql("n", range(FIRST, LAST_YEAR + 1)), {"buckets": BUCKETS}
     )
     yield "summary_heatmap_severity", lambda s: S.heatmap_severity(buckets(s), YEARS, BASE), with_views(
         pivot_sql(quo("real", "n * 1000000000")), {"buckets": BUCKETS}

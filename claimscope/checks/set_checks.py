@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimscope import constants as K
-from claimscope.checks.oracle_parts import DEVELOPED, dbl, quo, scaled, scheme_case, with_views
+from claimscope.checks.oracle_parts import DEVELOPED, FLOOD_TYPE_CASE, STORM_CASE, dbl, quo, scaled, with_views
 from claimscope.checks.report_checks import (
     AVG_BUCKET,
     BASE,
@@ -28,7 +28,7 @@ from claimscope.operators import aggregates as A
 from claimscope.operators import joins, ordering, reshape, windows
 from claimscope.plans import reports as R
 
-ENVIRONMENT = scheme_case(L.storm_scheme())
+ENVIRONMENT = STORM_CASE
 SPRAWL_YEARS = (1997, 1999)
 
 
@@ -208,7 +208,7 @@ def aggregate_checks():
     )
     yield (
         "agg_max_text",
-        grouped(["clean_zip"], name=lambda: F.max("floodEvent")),
+        lambda s: A.largest(s.claims, ["clean_zip"], "floodEvent", "name"),
         with_views("select clean_zip, max(floodEvent) as name from claims group by 1"),
     )
     yield (
@@ -336,9 +336,13 @@ def aggregate_checks():
             from claims group by clean_zip, level"""
         ),
     )
+    # A maximum over text cannot use hash aggregation: the claims are first counted per text.
+    summed = """select floodEvent, max(eventDesignationNumber) as last_number, yearOfLoss, clean_zip, sum(n) as n
+      from (select floodEvent, eventDesignationNumber, yearOfLoss, clean_zip, count(id) as n
+            from {claims} group by 1, 2, 3, 4) group by 1, 3, 4"""
     ordinal = """select floodEvent, max(eventDesignationNumber) as last_number, yearOfLoss, clean_zip, count(id) as n
-      from {} group by 1, 3, 4"""
-    yield "group_by_ordinal", with_sql(ordinal.format("{claims}")), with_views(ordinal.format("claims"))
+      from claims group by 1, 3, 4"""
+    yield "group_by_ordinal", with_sql(summed), with_views(ordinal)
     yield (
         "group_with_constant_keys",
         lambda s: A.roll_up(
@@ -442,8 +446,8 @@ def ordering_checks():
     yearly = "select yearOfLoss, count(*) as n from claims group by 1"
     yield (
         "sort_single",
-        lambda s: s.claims.groupBy("clean_zip").agg(A.claim_count().alias("n")).orderBy(F.desc("n")),
-        with_views("select clean_zip, count(*) as n from claims group by 1 order by n desc"),
+        lambda s: s.claims.groupBy("clean_zip").agg(A.claim_count().alias("n")).orderBy(F.desc("n"), "clean_zip"),
+        with_views("select clean_zip, count(*) as n from claims group by 1 order by n desc, clean_zip"),
     )
     yield (
         "sort_multi_mixed",
@@ -476,11 +480,13 @@ def ordering_checks():
             s.land.select("ZCTA20", "YEAR", L.FLOOD_TYPE_SCHEME.label().alias("environment_type")),
             "environment_type",
             order[:2],
+            "ZCTA20",
+            "YEAR",
         ).withColumn("rank", ordering.declared_rank("environment_type", order)),
         with_views(
             f"""select ZCTA20, YEAR, environment_type,
               cast(case environment_type when 'High Concrete' then 1 else 2 end as bigint) as rank
-            from (select ZCTA20, YEAR, {scheme_case(L.FLOOD_TYPE_SCHEME)} as environment_type from land)
+            from (select ZCTA20, YEAR, {FLOOD_TYPE_CASE} as environment_type from land)
             where environment_type <> 'Mixed' order by rank"""
         ),
     )

@@ -67,6 +67,15 @@ def roll_up(df: DataFrame, keys: Sequence[str | Column], *sums: str) -> DataFram
     return df.groupBy(*keys).agg(*[F.sum(s).alias(s) for s in sums])
 
 
+def largest(df: DataFrame, keys: Sequence[str], text: str, to: str) -> DataFrame:
+    """The last text in order per group.
+
+    A maximum over text sorts its rows. Taking the distinct texts of each group first, by
+    hash and inside each task, leaves a small summary to sort.
+    """
+    return df.groupBy(*keys, text).agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(F.max(text).alias(to))
+
+
 def weighted_average(df: DataFrame, keys: Sequence[str], total: str, weight: str, to: str, digits: int = RATE_DIGITS) -> DataFrame:
     """Total over weight per group; 0 where the weight is not positive."""
     sums = df.groupBy(*keys).agg(F.sum(total).alias("_total"), F.sum(weight).alias("_weight"))
@@ -77,42 +86,45 @@ def weighted_average(df: DataFrame, keys: Sequence[str], total: str, weight: str
 
 
 def exact_median(df: DataFrame, key: str, value: str, to: str, around: float = 0.0005) -> DataFrame:
-    """Exact median per group without sorting a whole group in one task.
+    """Exact median per group; only values close to the middle are shuffled.
 
-    Two approximate quantiles just below and above the median, from a sketch of bounded
-    size, cut every group in three; copies of a value are first merged into one counted
-    row. Counting the rows per part tells which part holds the middle ranks, and only
-    that part, usually a thousandth of the group, is sorted. The sketch merely decides
-    where to cut: the ranks themselves are counted exactly.
+    Two approximate quantiles just below and above the median, from a sketch of bounded size
+    per group, cut every group in three. Inside each task the rows below and within the cuts
+    are counted, and only the values within, about a thousandth of the group, leave the
+    task, merged into one counted row per value. The sketch merely decides where to cut, with an
+    error of a fifth of ``around`` at most; the ranks are counted exactly, and a middle rank
+    outside the cuts would stop the query.
 
     ``df`` is read twice; give a stored table if it is costly to compute.
     """
     present = df.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).select(
         F.col(key).alias("_key"), F.col(value).alias("_value")
     )
-    accuracy = int(5 / around)
     cuts = present.groupBy("_key").agg(
-        F.percentile_approx("_value", [0.5 - around, 0.5 + around], accuracy).alias("_cuts"),
+        F.percentile_approx("_value", [0.5 - around, 0.5 + around], int(5 / around)).alias("_cuts"),
         F.count(F.lit(1)).alias("_size"),
     )
-    counted = present.groupBy("_key", "_value").agg(F.count(F.lit(1)).alias("_n"))
-    part = F.when(F.col("_value") < F.col("_cuts")[0], 0).when(F.col("_value") <= F.col("_cuts")[1], 1).otherwise(2)
-    parted = counted.join(cuts, "_key").select("_key", "_value", "_n", "_size", part.alias("_part"))
-
-    # three rows per group at most
-    sizes = parted.groupBy("_key", "_size", "_part").agg(F.sum("_n").alias("_rows"))
-    upto = F.sum("_rows").over(Window.partitionBy("_key").orderBy("_part"))
+    # Attached to every row; one row per group, so Spark broadcasts it wherever that is small.
+    parted = present.join(cuts.select(F.col("_key").alias("_group"), "_cuts", "_size"), F.col("_key") == F.col("_group"))
+    # The sketch works on doubles: compare as doubles, with room for what rounding moves a cut.
+    kind = df.schema[value].dataType
+    step = 10.0 ** -kind.scale if kind.typeName() == "decimal" else 0.0
+    near = F.col("_value").cast("double")
+    low_cut, high_cut = (F.col("_cuts")[k].cast("double") for k in (0, 1))
+    low_cut, high_cut = low_cut - F.abs(low_cut) * 1e-12 - step, high_cut + F.abs(high_cut) * 1e-12 + step
+    part = F.when(near < low_cut, -1).when(near <= high_cut, 0).otherwise(1)
+    shown = F.when(part == 0, F.col("_value"))
+    counted = parted.groupBy("_key", "_size", part.alias("_part"), shown.alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+
+    # Rows below the cuts carry no value: one row per group and task, first in order.
+    order = Window.partitionBy("_key").orderBy("_part", "_value")
+    ranked = counted.withColumn("_rank", F.sum("_n").over(order))
     low, high = F.expr("(_size + 1) div 2"), F.expr("_size div 2 + 1")
-    middle = (
-        sizes.withColumn("_below", upto - F.col("_rows"))
-        .filter((F.col("_below") < high) & (F.col("_below") + F.col("_rows") >= low))
-        .select("_key", "_part", "_below")
-    )
-    rank = F.col("_below") + F.sum("_n").over(Window.partitionBy("_key", "_part").orderBy("_value"))
-    ranked = parted.join(middle, ["_key", "_part"]).withColumn("_rank", rank)
     ends = ranked.filter((F.col("_rank") - F.col("_n") < high) & (F.col("_rank") >= low))
+    outside = F.raise_error(F.lit("a middle rank lies outside the cuts of the sketch"))
     return (
         ends.groupBy("_key")
-        .agg(F.min("_value").alias("_a"), F.max("_value").alias("_b"))
+        .agg(F.min("_value").alias("_a"), F.max("_value").alias("_b"), F.max(F.abs("_part")).alias("_out"))
+        .withColumn("_a", F.when(F.col("_out") == 0, F.col("_a")).otherwise(outside.cast(kind)))
         .select(F.col("_key").alias(key), ((F.col("_a") + F.col("_b")) / 2).alias(to))
     )

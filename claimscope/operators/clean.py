@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,14 +68,20 @@ def dates_or_null(raw: DataFrame, columns: Sequence[str] = schemas.CLAIM_DATES,
 def keep_one(df: DataFrame, key: Sequence[str], prefer: Sequence[str] = ()) -> DataFrame:
     """One row per key: the first by ``prefer``, then by all other columns.
 
-    A minimum over whole rows combines inside each task before the shuffle, so a key
-    with a third of all rows sends one row per task; ranking rows in a window would
-    send them all to one task.
+    The keys are counted by hash, on the key columns alone. Rows whose key occurs once pass
+    through; only the others go through a minimum over whole rows, which combines inside
+    each task, so a key with a third of all rows sends one row per task. ``df`` is read
+    three times; give a stored table if it is costly to compute. NULL is a key like others.
     """
     rest = [c for c in df.columns if c not in key and c not in prefer]
-    ordered = [*prefer, *rest]
-    picked = df.groupBy(*key).agg(F.min(F.struct(*ordered)).alias("_row"))
-    return picked.select(*[F.col(c) if c in key else F.col(f"_row.{c}") for c in df.columns])
+    if not [*prefer, *rest]:
+        return df.select(*key).distinct()
+    repeated = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    repeated = repeated.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)])
+    single = df.join(repeated, same, "left_anti")
+    several = df.join(repeated, same, "left_semi").groupBy(*key).agg(F.min(F.struct(*prefer, *rest)).alias("_row"))
+    return single.unionByName(several.select(*[F.col(c) if c in key else F.col(f"_row.{c}") for c in df.columns]))
 
 
 def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:

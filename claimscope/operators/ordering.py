@@ -15,9 +15,13 @@ def declared_rank(column: str, order: Sequence[str]) -> Column:
     return F.nullif(F.array_position(F.array(*[F.lit(o) for o in order]), F.col(column)), F.lit(0))
 
 
-def in_declared_order(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
-    """Only the declared values, sorted as declared."""
-    return df.filter(F.col(column).isin(list(order))).orderBy(declared_rank(column, order))
+def in_declared_order(df: DataFrame, column: str, order: Sequence[str], *then: str) -> DataFrame:
+    """Only the declared values, sorted as declared, then by ``then``.
+
+    Without ``then`` the rows of one value end up in one task; name columns that tell them
+    apart wherever there may be many.
+    """
+    return df.filter(F.col(column).isin(list(order))).orderBy(declared_rank(column, order), *then)
 
 
 def top_keys(df: DataFrame, key: str, measure: str, n: int) -> DataFrame:
