@@ -1,7 +1,9 @@
-"""``spark-submit`` entry: load raw files, or export a report as CSV.
+"""``spark-submit`` entry: load raw files, audit a load, or export a report or summary as CSV.
 
     python -m claimscope load WAREHOUSE --claims F --crosswalk F --land F --index F
+    python -m claimscope audit WAREHOUSE --claims F
     python -m claimscope report NAME WAREHOUSE OUT
+    python -m claimscope summary NAME WAREHOUSE OUT
 """
 
 from __future__ import annotations
@@ -10,10 +12,14 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from claimscope.plans import reports
+from claimscope.operators.clean import duplicate_keys
+from claimscope.operators.quality import reconcile
+from claimscope.plans import reports, summaries
 from claimscope.plans.load import RawFiles, load
 from claimscope.plans.tables import Warehouse
-from claimscope.sources.delimited import write_csv
+from claimscope.session import remove_scratch
+from claimscope.sources.delimited import read_raw_claims, write_csv
+from claimscope.sources.tables import stored
 
 REPORTS = {
     f.__name__: f
@@ -36,6 +42,20 @@ REPORTS = {
 }
 
 
+# Each summary with the report it is made of.
+SUMMARIES = {
+    "trend_series": (summaries.trend_series, reports.macro_trend),
+    "bucket_totals": (summaries.bucket_totals, reports.impervious_buckets),
+    "bucket_weighted_average": (summaries.bucket_weighted_average, reports.impervious_buckets),
+    "band_trend": (summaries.band_trend, reports.impervious_buckets),
+    "heatmap_volume": (summaries.heatmap_volume, reports.impervious_buckets),
+    "heatmap_severity": (summaries.heatmap_severity, reports.impervious_buckets),
+    "flood_type_mix": (summaries.flood_type_mix, reports.flash_vs_river),
+    "storm_environment": (summaries.storm_environment, reports.storm_control),
+    "top_storms": (summaries.top_storms, reports.storm_control),
+}
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="claimscope")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -45,18 +65,34 @@ def main(argv: list[str] | None = None) -> None:
         loading.add_argument(f"--{name}", required=True)
     loading.add_argument("--places")
     loading.add_argument("--blank-numeric", choices=("null", "zero"), default="null")
-    reporting = commands.add_parser("report")
-    reporting.add_argument("name", choices=sorted(REPORTS))
-    reporting.add_argument("warehouse")
-    reporting.add_argument("out")
+    loading.add_argument("--multi-line", action="store_true", help="line ends inside quoted cells")
+    loading.add_argument("--refuse", action="store_true", help="fail unless the load is clean")
+    auditing = commands.add_parser("audit")
+    auditing.add_argument("warehouse")
+    auditing.add_argument("--claims", required=True)
+    for command, names in (("report", REPORTS), ("summary", SUMMARIES)):
+        one = commands.add_parser(command)
+        one.add_argument("name", choices=sorted(names))
+        one.add_argument("warehouse")
+        one.add_argument("out")
     args = parser.parse_args(argv)
 
     spark = SparkSession.builder.appName("claimscope").getOrCreate()
     if args.command == "load":
         raw = RawFiles(args.claims, args.crosswalk, args.land, args.index, args.places)
-        load(spark, raw, args.warehouse, args.blank_numeric)
-    else:
+        print(load(spark, raw, args.warehouse, args.blank_numeric, args.multi_line, args.refuse).report)
+    elif args.command == "audit":
+        house = Warehouse(spark, args.warehouse)
+        reconcile(read_raw_claims(spark, args.claims), house.claims).show()
+        duplicate_keys(house.claims, ["id"]).orderBy("id").show(20, truncate=False)
+    elif args.command == "report":
         write_csv(REPORTS[args.name](Warehouse(spark, args.warehouse)), args.out, one_file=True)
+    else:
+        summary, report = SUMMARIES[args.name]
+        # Summaries read their report several times.
+        result = summary(stored(report(Warehouse(spark, args.warehouse)), args.name))
+        write_csv(result, args.out, one_file=True)
+        remove_scratch(spark)
 
 
 if __name__ == "__main__":

@@ -68,8 +68,8 @@ VIEWS = {
           (select cast(cpi_value * 1000 as hugeint) from price_index where cpi_year = 1998) as b
         from price_index)""",
     "county": f"""
-  select {_CODE5.format("n_nationkey")} as countyCode, n_name as county_name, r_name as state_name
-  from nation join region on n_regionkey = r_regionkey""",
+  select distinct {_CODE5.format("n_nationkey")} as countyCode, n_name as county_name, r_name as state_name
+  from nation join region on n_regionkey = r_regionkey join supplier on s_nationkey = n_nationkey""",
     "paid": """
   select *, greatest(coalesce(amountPaidOnBuildingClaim, 0), 0) as building,
     greatest(coalesce(amountPaidOnBuildingClaim, 0), 0) + greatest(coalesce(amountPaidOnContentsClaim, 0), 0) as both_paid,

@@ -3,7 +3,7 @@
 The test data holds no flood claims, so lineitems stand in for claims, customers for
 postal codes, groups of ten customers for areas, and yearly order counts for the price
 index. Every value is an exact integer or decimal, so both engines agree on it, and
-every table but the county list grows with the scale factor.
+every table grows with the scale factor.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from claimscope import constants as K
 from claimscope.functions.text import zip5
+from claimscope.operators.joins import county_reference
 from claimscope.sources.tables import read_table
 
 FIRST_YEAR, LAST_YEAR = 1995, 2001
@@ -35,6 +36,7 @@ class Standins:
         self.spark = spark
         self.sf_dir = sf_dir
         self._base: dict[str, DataFrame] = {}
+        self.exported: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:
         if name not in self._base:
@@ -97,9 +99,17 @@ class Standins:
     @cached_property
     def land(self) -> DataFrame:
         """Every area in every year, its percents split over the land classes."""
+        return self._land_in(range(FIRST_YEAR, LAST_YEAR + 1))
+
+    @cached_property
+    def sparse_land(self) -> DataFrame:
+        """A survey made every third year only, so that losses fall between its years."""
+        return self._land_in(range(FIRST_YEAR, LAST_YEAR + 1, 3))
+
+    def _land_in(self, years: range) -> DataFrame:
         areas = self.base("customer").select(F.floor(F.col("c_custkey") / 10).alias("n")).distinct()
         return (
-            areas.select("n", F.explode(F.sequence(F.lit(FIRST_YEAR), F.lit(LAST_YEAR))).alias("y"))
+            areas.select("n", F.explode(F.array(*[F.lit(y) for y in years])).alias("y"))
             .withColumn("wet", F.expr("(n * 13 + y * 7) % 40"))
             .withColumn("dev", F.expr("(n * 29 + y * 3) % (101 - wet)"))
             .withColumn("rest", F.expr("100 - wet - dev"))
@@ -136,19 +146,21 @@ class Standins:
         )
 
     @cached_property
-    def counties(self) -> DataFrame:
-        """Nations as counties of their region."""
+    def places(self) -> DataFrame:
+        """Suppliers as cities, nations as their counties, regions as their states."""
         return (
-            self.base("nation")
+            self.base("supplier")
+            .join(self.base("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
             .join(self.base("region"), F.col("n_regionkey") == F.col("r_regionkey"))
             .select(
-                code5(F.col("n_nationkey")).alias("countyCode"),
-                F.col("n_name").alias("county_name"),
-                F.col("r_name").alias("state_name"),
+                code5(F.col("n_nationkey")).alias("StCnty FIPS Code"),
+                F.col("s_name").alias("City Name"),
+                F.col("n_name").alias("County Name"),
+                F.col("r_name").alias("State Name"),
             )
         )
 
     @cached_property
-    def sparse_land(self) -> DataFrame:
-        """Only some land years, so that losses fall between them."""
-        return self.land.filter(F.col("YEAR").isin(1995, 1998, 2001))
+    def counties(self) -> DataFrame:
+        """One row per county of the list of cities."""
+        return county_reference(self.places)

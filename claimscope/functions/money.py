@@ -2,8 +2,8 @@
 
 Sums of doubles depend on the order in which partitions arrive, so a retried task
 can change the last digits. Decimals do not: every total and quotient below is the
-same whatever the partitioning, and quotients are rounded half-up once, at a stated
-number of digits.
+same whatever the partitioning, and quotients are rounded half-up at a stated number of
+digits (beyond nineteen decimals the division itself has cut first).
 """
 
 from __future__ import annotations
@@ -44,9 +44,11 @@ def quotient(numerator: Column, denominator: Column, digits: int, scale: int = 0
 
 
 def price_ratio(base: Column, current: Column, digits: int = PRECISE_RATIO_DIGITS) -> Column:
-    """How many base-year dollars one current dollar is worth; NULL when the index is zero."""
-    ratio = F.try_divide(base.cast("decimal(14,7)"), current.cast("decimal(14,7)"))
-    return F.round(ratio, digits).cast(f"decimal(18,{digits})")
+    """How many base-year dollars one current dollar is worth; NULL when the index is zero
+    or so near zero that the ratio passes what its digits hold."""
+    ratio = F.round(F.try_divide(base.cast("decimal(14,7)"), current.cast("decimal(14,7)")), digits)
+    # An index so close to zero that the ratio has no meaning counts as zero, in its year only.
+    return ratio.try_cast(f"decimal(18,{digits})")
 
 
 def restated(nominal: Column, ratio: Column, digits: int = REAL_DIGITS) -> Column:

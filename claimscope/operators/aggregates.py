@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from claimscope.constants import RATE_DIGITS, SEVERE_DEPTH_INCHES
 from claimscope.functions.money import paid, quotient, total_paid
+from claimscope.sources.tables import stored
 
 BUILDING = "amountPaidOnBuildingClaim"
 CONTENTS = "amountPaidOnContentsClaim"
@@ -73,7 +74,9 @@ def largest(df: DataFrame, keys: Sequence[str], text: str, to: str) -> DataFrame
     A maximum over text sorts its rows. Taking the distinct texts of each group first, by
     hash and inside each task, leaves a small summary to sort.
     """
-    return df.groupBy(*keys, text).agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(F.max(text).alias(to))
+    # The filter keeps the optimizer from taking the first level for redundant.
+    texts = df.groupBy(*keys, text).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 0)
+    return texts.groupBy(*keys).agg(F.max(text).alias(to))
 
 
 def weighted_average(df: DataFrame, keys: Sequence[str], total: str, weight: str, to: str, digits: int = RATE_DIGITS) -> DataFrame:
@@ -95,7 +98,10 @@ def exact_median(df: DataFrame, key: str, value: str, to: str, around: float = 0
     error of a fifth of ``around`` at most; the ranks are counted exactly, and a middle rank
     outside the cuts would stop the query.
 
-    ``df`` is read twice; give a stored table if it is costly to compute.
+    ``df`` is read twice; give a stored table if it is costly to compute. The cuts, one row
+    per group, are found and stored when the result is built: Spark then knows their size
+    and broadcasts them if they are small, so that the rows need not be dealt out to meet
+    them.
     """
     present = df.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).select(
         F.col(key).alias("_key"), F.col(value).alias("_value")
@@ -104,8 +110,7 @@ def exact_median(df: DataFrame, key: str, value: str, to: str, around: float = 0
         F.percentile_approx("_value", [0.5 - around, 0.5 + around], int(5 / around)).alias("_cuts"),
         F.count(F.lit(1)).alias("_size"),
     )
-    # Attached to every row; one row per group, so Spark broadcasts it wherever that is small.
-    parted = present.join(cuts.select(F.col("_key").alias("_group"), "_cuts", "_size"), F.col("_key") == F.col("_group"))
+    parted = present.join(stored(cuts, "cuts").select(F.col("_key").alias("_group"), "_cuts", "_size"), F.col("_key") == F.col("_group"))
     # The sketch works on doubles: compare as doubles, with room for what rounding moves a cut.
     kind = df.schema[value].dataType
     step = 10.0 ** -kind.scale if kind.typeName() == "decimal" else 0.0

@@ -1,14 +1,15 @@
 """The load job: five raw files in, five clean tables out.
 
 Each table is one lazy plan from text to Parquet. There is no staging table: the claims
-file is read once, cast, checked for impossible dates and written by year.
+file is read once: cast, counted, checked for impossible dates and written by year.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from claimscope import schemas
 from claimscope.operators import clean, joins, quality
@@ -28,19 +29,56 @@ class RawFiles:
     places: str | None = None
 
 
-def _text(spark: SparkSession, path: str, schema, sep: str = ",") -> DataFrame:
-    return delimited.with_landing_order(delimited.read_text_columns(spark, path, schema.names, sep))
+@dataclass(frozen=True)
+class LoadReport:
+    """Claims landed and stored, rows whose number of cells is off, and claim ids stored more than once."""
+
+    landed: int
+    stored: int
+    malformed: int
+    repeated_ids: int
+
+    @property
+    def clean(self) -> bool:
+        return self.landed == self.stored and not self.malformed and not self.repeated_ids
+
+
+class LoadRefused(ValueError):
+    """The load found rows it was told not to accept; the tables are written all the same."""
+
 
+def _text(spark: SparkSession, path: str, schema, sep: str = ",", multi_line: bool = False) -> DataFrame:
+    text = delimited.read_text_columns(spark, path, schema.names, sep, multi_line=multi_line)
+    return delimited.with_landing_order(text)
 
-def load(spark: SparkSession, raw: RawFiles, warehouse: str, blank_numeric: str = "null") -> Warehouse:
-    """Write all tables below ``warehouse``.
 
-    ``blank_numeric="zero"`` loads empty numeric cells as 0 instead of NULL.
+def load(
+    spark: SparkSession,
+    raw: RawFiles,
+    warehouse: str,
+    blank_numeric: str = "null",
+    multi_line: bool = False,
+    refuse: bool = False,
+) -> Warehouse:
+    """Write all tables below ``warehouse`` and check the claims; the result is in ``.report``.
+
+    ``blank_numeric="zero"`` loads numbers as a lenient SQL loader does. ``multi_line``
+    reads line ends inside quoted cells, at the price of one task per file. With ``refuse``
+    a load that is not clean raises ``LoadRefused``.
+
+    Rows landed and malformed are counted by the pass that loads them. Only where the count
+    differs from the rows stored, as retried tasks may count twice, the text is read again.
     """
     house = Warehouse(spark, warehouse)
-    claims = clean.clean_claims(delimited.read_raw_claims(spark, raw.claims), blank_numeric)
-    write_by_year(claims, house.folder("claims"))
-    clean.clean_crosswalk(_text(spark, raw.crosswalk, schemas.CROSSWALK)).write.parquet(house.folder("crosswalk"))
+    text = delimited.read_raw_claims(spark, raw.claims, multi_line, malformed=True)
+    seen = Observation("landing")
+    observed = text.observe(
+        seen, F.count(F.lit(1)).alias("landed"), F.count(F.col(delimited.MALFORMED)).alias("malformed")
+    )
+    write_by_year(clean.clean_claims(observed, blank_numeric), house.folder("claims"))
+    clean.clean_crosswalk(_text(spark, raw.crosswalk, schemas.CROSSWALK, multi_line=multi_line)).write.parquet(
+        house.folder("crosswalk")
+    )
     clean.clean_land_cover(_text(spark, raw.land, schemas.LAND_COVER, "\t"), blank_numeric).write.parquet(
         house.folder("land")
     )
@@ -48,10 +86,23 @@ def load(spark: SparkSession, raw: RawFiles, warehouse: str, blank_numeric: str
         house.folder("index")
     )
     if raw.places:
-        joins.county_reference(_text(spark, raw.places, schemas.PLACE_CODES)).write.parquet(house.folder("counties"))
+        places = _text(spark, raw.places, schemas.PLACE_CODES, multi_line=multi_line)
+        joins.county_reference(places).write.parquet(house.folder("counties"))
+    house.report = _checked(text, house, seen.get)
+    if refuse and not house.report.clean:
+        raise LoadRefused(str(house.report))
     return house
 
 
+def _checked(text: DataFrame, house: Warehouse, seen: dict[str, int]) -> LoadReport:
+    stored = house.claims.count()
+    if seen["landed"] != stored:
+        counts = (F.count(F.lit(1)).alias("landed"), F.count(F.col(delimited.MALFORMED)).alias("malformed"))
+        seen = text.select(*[F.col(c) for c in text.columns]).agg(*counts).first().asDict()
+    repeated = clean.duplicate_keys(house.claims, ["id"]).count()
+    return LoadReport(seen["landed"], stored, seen["malformed"], repeated)
+
+
 def audit(spark: SparkSession, raw: RawFiles, house: Warehouse) -> tuple[DataFrame, DataFrame]:
     """Claims landed against claims stored, and claim ids stored more than once."""
     landing = delimited.read_raw_claims(spark, raw.claims)

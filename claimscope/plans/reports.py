@@ -52,7 +52,6 @@ from claimscope.operators.joins import (
 from claimscope.operators.windows import previous_year_value, share_of_total
 from claimscope.plans.tables import Tables as FrameTables
 from claimscope.plans.tables import Warehouse
-from claimscope.sources.tables import stored
 
 Tables = FrameTables | Warehouse
 
@@ -214,27 +213,33 @@ def storm_control(
     scheme: Scheme | None = None,
     base_year: int = K.BASE_YEAR,
     case_sensitive: bool = False,
+    scratch: str | None = None,
 ) -> DataFrame:
     """Real building payment per major storm and environment.
 
     Generic names are left out when storms are sized but not from the detail rows. A
     name that varies within a storm yields one row per name.
 
-    The first-level sums serve twice, to size the storms and as detail, so they are stored:
-    the claims are scanned once.
+    Nothing runs until the result is read: storms are sized by a scan of their two name
+    columns, besides the one for the detail. With ``scratch``, a new folder that all
+    executors reach, the first-level sums are written there at once and serve both, so the
+    claims are scanned once.
     """
     scheme = scheme or storm_scheme()
-    by_zip = stored(
-        _storms_by_zip(
-            t.claims,
-            case_sensitive,
-            claims=A.claim_count(),
-            building_claims=A.building_claim_count(),
-            nominal=A.building_paid(),
-        ),
-        "storms-by-zip",
+    by_zip = _storms_by_zip(
+        t.claims,
+        case_sensitive,
+        claims=A.claim_count(),
+        building_claims=A.building_claim_count(),
+        nominal=A.building_paid(),
     )
-    detail = keep_members(by_zip, major_storms(by_zip, generic, min_claims, case_sensitive), "storm_key")
+    if scratch:
+        by_zip.write.parquet(scratch)
+        by_zip = sizes = by_zip.sparkSession.read.parquet(scratch)
+    else:
+        known = t.claims.withColumn("storm_id", storm_id()).filter(F.col("storm_id").isNotNull())
+        sizes = known.groupBy("storm_id", "floodEvent").agg(A.claim_count().alias("claims"))
+    detail = keep_members(by_zip, major_storms(sizes, generic, min_claims, case_sensitive), "storm_key")
     by_area = _storms_by_area(detail, t.crosswalk, case_sensitive, "claims", "building_claims", "nominal")
     placed = with_land(by_area, t.land, scheme.label().alias("environment_type"))
     priced = with_index(placed, with_baseline(t.index, base_year))

@@ -35,6 +35,7 @@ class Warehouse:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path
+        self.report = None  # what the load job found, right after a load
 
     def folder(self, name: str) -> str:
         return f"{self.path.rstrip('/')}/{self.FOLDERS[name]}"

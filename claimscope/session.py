@@ -27,18 +27,38 @@ def local_session(cores: str = "8", shuffle_partitions: str = "8", memory: str =
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
+    """The folder every executor can reach: ``spark.checkpoint.dir`` of the session, or the
+    checkpoint folder set on its context.
 
-    Only a local session may fall back to a temporary folder of its own machine.
+    Only a session inside one process may fall back to a temporary folder of its machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", UNSET) or UNSET
+    if not named:
+        on_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = on_context.get() if on_context.isDefined() else UNSET
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return tempfile.gettempdir()
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, not yet existing path below the shared folder."""
-    return os.path.join(shared_folder(spark), f"claimscope-{label}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_folder(spark), f"claimscope-{label}-{uuid.uuid4().hex}")
+    _made.append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete everything below the paths this process has asked for: at the end of a job,
+    when no DataFrame that reads them is needed any more."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)

@@ -18,13 +18,14 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 def write_sorted(df: DataFrame, path: str, key: str, partitions: int | None = None) -> str:
     """Write in global ``key`` order, in files of even size.
 
-    The landing position breaks ties, so rows sharing one hot key still spread over
-    several range partitions instead of filling one task.
+    A hash of the whole row breaks ties, so rows sharing one hot key still spread over
+    several range partitions instead of filling one task, and equal rows by their landing
+    position, which is the same in a retried task wherever ``df`` reads files.
     """
-    landed = df.withColumn("_landed", F.monotonically_increasing_id())
-    order = [key, "_landed"]
+    landed = df.withColumn("_print", F.xxhash64(*df.columns)).withColumn("_landed", F.monotonically_increasing_id())
+    order = [key, "_print", "_landed"]
     ranged = landed.repartitionByRange(partitions, *order) if partitions else landed.repartitionByRange(*order)
-    ranged.sortWithinPartitions(*order).drop("_landed").write.parquet(path)
+    ranged.sortWithinPartitions(*order).drop("_print", "_landed").write.parquet(path)
     return path
 
 

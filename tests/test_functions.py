@@ -182,3 +182,29 @@ def test_lenient_casts(spark):
     assert [r[0] for r in flags] == [True, False, None]
     with pytest.raises(ValueError):
         lenient(F.col("c"), T.IntegerType(), "skip")
+
+
+def test_lenient_numbers(spark):
+    from pyspark.sql import types as T
+
+    from claimscope.functions.lenient import lenient
+
+    cells = ["3.0", "1234.56", "12abc", "40000", "-2.5", "", " 7 ", None, "1e3", "abc", "9" * 40, "-" + "9" * 40, "1e-50"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
+
+    def cast(kind, policy):
+        return [r[0] for r in df.orderBy("i").select(lenient(F.col("c"), kind, policy)).collect()]
+
+    assert cast(T.ShortType(), "null") == [3, 1235, None, None, -3, None, 7, None, 1000, None, None, None, 0]
+    assert cast(T.ShortType(), "zero") == [3, 1235, 12, 32767, -3, 0, 7, 0, 1000, 0, 32767, -32768, 0]
+    assert cast(T.IntegerType(), "zero")[10:12] == [2147483647, -2147483648]
+    assert cast(T.DecimalType(5, 2), "zero")[:5] == [D("3.00"), D("999.99"), D("12.00"), D("999.99"), D("-2.50")]
+    dates = spark.createDataFrame([(c,) for c in ("2020-01-05", "40000", "0000-00-00", "2020-02-30")], "c string")
+    assert [r[0] is not None for r in dates.select(lenient(F.col("c"), T.DateType())).collect()] == [True, False, False, False]
+
+
+def test_an_index_near_zero_leaves_its_year_without_a_ratio(spark):
+    from claimscope.functions.money import price_ratio
+
+    df = spark.createDataFrame([(D("258.8"), D("0.02")), (D("258.8"), D("129.4")), (D("258.8"), D("0"))], "b decimal(14,7), c decimal(14,7)")
+    assert [r[0] for r in df.select(price_ratio(F.col("b"), F.col("c"))).collect()] == [None, D("2.00000000000000"), None]

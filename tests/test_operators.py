@@ -105,6 +105,47 @@ def test_sample_size_seed_and_membership(spark):
     assert quality.random_sample(spark.range(0), 300).collect() == []
 
 
+def test_sample_does_not_depend_on_the_partitioning(spark):
+    df = spark.range(0, 5000).selectExpr("id", "id % 7 as k", "cast(null as string) as n")
+    pick = lambda d: sorted(r[0] for r in quality.random_sample(d, 300).collect())
+    assert pick(df.repartition(3)) == pick(df.repartition(7)) == pick(df.coalesce(1))
+    copies = spark.range(0, 5000).selectExpr("cast(id >= 4990 as int) as k")
+    assert len(quality.random_sample(copies, 300).collect()) == 300
+    assert quality.head(df, 3).count() == 3
+
+
+def test_median_of_wide_decimals_and_hot_keys_without_broadcasts(spark):
+    df = spark.range(0, 20001).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 5)) as k", "cast(id * 0.0000000000123 + 1e9 as decimal(32,13)) as v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r[0]: r[1] for r in A.exact_median(df, "k", "v", "m").collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    groups = {}
+    for r in df.collect():
+        groups.setdefault(r["k"], []).append(r["v"])
+    assert got == {k: statistics.median(v) for k, v in groups.items()}
+
+
+def test_pivot_refuses_an_unlisted_value(spark):
+    df = spark.createDataFrame([("a", 2023, 1), ("a", 2024, 2)], "k string, y int, n int")
+    assert reshape.pivot_cells(df, "k", "y", None, "n").collect()[0].asDict() == {"k": "a", "2023": 1, "2024": 2}
+    with pytest.raises(Exception, match="not listed: 2024"):
+        reshape.pivot_cells(df, "k", "y", [2023], "n").collect()
+
+
+def test_declared_order_spreads_over_tasks(spark):
+    df = spark.range(0, 20000).selectExpr("id", "if(id % 3 = 0, 'x', 'y') as label").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sorted_ = ordering.in_declared_order(df, "label", ["y", "x"], "id")
+        sizes = [r["count"] for r in sorted_.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) >= 3 and max(sizes) < 10000
+    assert [r["label"] for r in sorted_.collect()] == sorted((r["label"] for r in df.collect()), reverse=True)
+
+
 def test_profile_and_reconcile(spark):
     df = spark.createDataFrame([(1, None), (2, "x"), (3, None)], "a int, `b c` string")
     assert rows(quality.profile(df)) == [(0, "a", "int", 3, 0), (1, "b c", "string", 1, 2)]

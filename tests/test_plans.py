@@ -6,6 +6,7 @@ import pytest
 
 from claimscope.checks import report_checks as C
 from claimscope.checks.standins import Standins
+from claimscope.operators import aggregates as A
 from claimscope.plans import reports as R
 from claimscope.plans.tables import Tables, Warehouse
 from claimscope.session import scratch_path
@@ -56,9 +57,8 @@ def test_plan_shape(house, name):
     for scan in scans:
         columns = re.search(r"FileScan parquet \[([^\]]*)\]", scan).group(1)
         assert "countyCode" not in columns and "dateOfLoss" not in columns
-    # claims are counted inside each task before any shuffle; the storm report has stored
-    # its counts by then and reads those
-    assert "partial_count" in plan or name == "storm_control"
+    # claims are counted inside each task before any shuffle
+    assert "partial_count" in plan
 
 
 @pytest.mark.parametrize("name", sorted(set(REPORTS) - {"archetype_cost", "flash_vs_river", "storm_control", "storm_nominal"}))
@@ -87,11 +87,50 @@ def test_same_rows_when_no_table_is_small_enough_to_broadcast(spark, house, name
     assert want
 
 
-def test_storm_report_scans_the_claims_once_and_joins_no_claim_row(house):
+def test_storm_report_starts_no_job_until_it_is_read(spark, house):
+    group = "storm-report-build"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        report = R.storm_control(house, generic=C.GENERIC, min_claims=100, base_year=C.BASE)
+        assert spark.sparkContext.statusTracker().getJobIdsForGroup(group) == []
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    # One scan for the detail, one of the two name columns alone.
+    scans = scans_of_claims(physical(report)) + [
+        x for x in physical(report).splitlines() if re.search(r"FileScan parquet \[[^\]]*floodEvent", x)
+    ]
+    assert any("amountPaid" not in x for x in scans) and any("amountPaid" in x for x in scans)
+
+
+def test_storm_report_over_a_scratch_folder_scans_the_claims_once(spark, house):
     first = physical(R._storms_by_zip(house.claims, False, claims=R.A.claim_count()))
     assert len(scans_of_claims(first)) == 1 and "Join" not in first
     assert "partial_count" in first and "SortAggregate" not in first
-    assert "reportedZipCode" not in physical(REPORTS["storm_control"](house))
+    stored = R.storm_control(
+        house, generic=C.GENERIC, min_claims=100, base_year=C.BASE, scratch=scratch_path(spark, "storms")
+    )
+    assert "reportedZipCode" not in physical(stored)
+    key = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    assert key(stored) == key(REPORTS["storm_control"](house))
+
+
+def test_only_values_near_the_median_leave_a_task(spark, house):
+    plan = physical(A.exact_median(house.claims.selectExpr("causeOfDamage as k", "waterDepth as v"), "k", "v", "m"))
+    # the rows are counted per part, with a value only in the middle part, before the exchange
+    exchanges = re.findall(r"Exchange hashpartitioning\([^\n]*\n([^\n]*)", plan)
+    assert "BroadcastHashJoin" in plan and exchanges
+    assert all("HashAggregate" in below or "Sort" in below for below in exchanges[1:]) and "partial_count" in exchanges[-1]
+
+
+@pytest.mark.parametrize("name", ["agg_max_text", "group_by_ordinal", "dedup_keep_one"])
+def test_raw_rows_are_never_sorted_to_be_aggregated(spark, name):
+    from claimscope.checks import registry
+
+    parts = physical(registry.queries()[name](spark, SF)).split("SortAggregate")[1:]
+    for part in parts:
+        if "partial_" in part.split("output=")[0]:
+            below = part.split("FileScan")[0]
+            assert "HashAggregate" in below or "LeftSemi" in below
 
 
 def test_a_hot_postal_code_leaves_each_task_as_one_row(spark, house):

@@ -311,6 +311,9 @@ def test_bucket_summaries(spark):
     report = bucket_report(spark)
     assert out(S.bucket_totals(report)) == [(0, 2), (10, 5), (100, 0)]
     assert out(S.bucket_weighted_average(report)) == [(0, D(15)), (10, D(20)), (100, D(0))]
+    assert out(S.heatmap_volume(report)) == out(S.heatmap_volume(report, [2022, 2023]))
+    with pytest.raises(Exception, match="not listed"):
+        S.heatmap_volume(report, [2022]).collect()
     assert out(S.heatmap_volume(report, [2022, 2023])) == [(100, 0, None), (10, 1, 4), (0, None, 2)]
     assert out(S.heatmap_severity(report, [2022, 2023])) == [(100, None, None), (10, D(90), D("2.5")), (0, None, D(15))]
 

@@ -5,13 +5,14 @@ import json
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimscope import schemas
+from claimscope import schemas, session
 from claimscope.__main__ import main
 from claimscope.operators import clean
 from claimscope.plans import reports as R
-from claimscope.plans.load import RawFiles, audit, load
+from claimscope.plans.load import LoadRefused, RawFiles, audit, load
 from claimscope.sources import catalogue, delimited
 
 
@@ -144,6 +145,35 @@ def test_blank_cells_as_zero(spark, tmp_path, raw_files):
     assert depth == {"c1": 12, "c2": 0}
 
 
+def test_rfc_4180_file(spark, tmp_path):
+    path = tmp_path / "quotes.csv"
+    path.write_text('a,b,c\n"He said ""hi"", ok",2,3\n"two\nlines, one cell",5,"6"\n7,8\n1,2,3,4\n')
+    got = delimited.read_text_columns(spark, str(path), ["a", "b", "c"], multi_line=True, malformed=True)
+    assert [tuple(r) for r in got.collect()] == [
+        ('He said "hi", ok', "2", "3", None),
+        ("two\nlines, one cell", "5", "6", None),
+        ("7", "8", None, "7,8"),
+        ("1", "2", "3", "1,2,3,4"),
+    ]
+
+
+def test_free_text_survives_a_round_trip(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    spoiled = docs.withColumn("text", F.concat(F.lit('say "x", '), "text", F.lit('\n"', ), F.lit("end")))
+    path = delimited.write_csv(spoiled, str(tmp_path / "texts"))
+    back = delimited.read_typed(spark, path, spoiled.schema, multi_line=True)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, spoiled.collect()))
+
+
+def test_load_reports_and_refuses(spark, tmp_path, raw_files):
+    with open(raw_files.claims, "a") as out:
+        out.write("too,few\n")
+    report = load(spark, raw_files, str(tmp_path / "checked")).report
+    assert (report.landed, report.stored, report.malformed, report.repeated_ids) == (5, 5, 1, 1) and not report.clean
+    with pytest.raises(LoadRefused):
+        load(spark, raw_files, str(tmp_path / "refused"), refuse=True)
+
+
 def test_command_line(spark, tmp_path, raw_files):
     house, out = str(tmp_path / "cli"), str(tmp_path / "report")
     r = raw_files
@@ -151,3 +181,9 @@ def test_command_line(spark, tmp_path, raw_files):
     main(["report", "trend_nominal", house, out])
     back = delimited.read_inferred(spark, out).collect()
     assert [(x["yearOfLoss"], x["total_claims"]) for x in back] == [(2019, 2), (2020, 1)]
+    main(["audit", house, "--claims", r.claims])
+    main(["summary", "trend_series", house, str(tmp_path / "series")])
+    series = delimited.read_inferred(spark, str(tmp_path / "series")).collect()
+    assert [(x["yearOfLoss"], x["total_claims"]) for x in series] == [(2019, 2), (2020, 1)]
+    # what the summary stored on its way is gone
+    assert session._made == []
