@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import claimscope
 from claimscope.session import scratch_path
@@ -49,7 +50,7 @@ def ship_package(spark: SparkSession) -> None:
     context._claimscope_shipped = True
 
 
-def map_arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` over batches of few rows, so that very long texts fit a worker.
 
     Lowers the session's ``spark.sql.execution.arrow.maxRecordsPerBatch`` where it is higher.

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimscope.llm.common import ROW, id_residue, map_arrow, with_row
 
@@ -178,14 +179,15 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", doc_id: st
     key, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string")
     slim = with_row(docs, body=body) if keep_row else docs.select(key.alias("doc_id"), (id_residue(key, FOLDS) == 0).alias("held_out"), body.alias("body"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "body")
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    schema = T.StructType([*(f for f in slim.schema if f.name != "body"), *added])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = score_texts(shared.value, batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 
-    return map_arrow(slim, step, f"{fields}, lang_pred string, score double")
+    return map_arrow(slim, step, schema)
 
 
 def identify(docs: DataFrame, settings: Settings = Settings(), text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimscope.llm.common import ROW, map_arrow, shared_table, with_row
 from claimscope.llm.components import connected_components
@@ -17,7 +18,7 @@ RADIUS = 3
 SEED = 42
 TREE_NODES = 32_768
 CHUNK_ROWS = 65_536
-FRONTIER = 4_000_000
+FRONTIER = 300_000
 
 
 def simhash(text: bytes, width: int = SHINGLE) -> int:
@@ -58,8 +59,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", width: int = SHINGLE,
             columns = batch.columns[:-1] + [pa.array(values.view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "fp"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return map_arrow(slim, prints, f"{schema}, fp long")
+    return map_arrow(slim, prints, T.StructType([*fields, T.StructField("fp", T.LongType())]))
 
 
 class BkForest:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from claimscope.llm import components, language, lines, lm, merkle, mixing, packing, planes, quality, simhash, tokens, urls
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, _row string, spots string, copies string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, _row string, spots string, copies string, `odd name.` string"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = "uno dos tres cuatro cinco seis siete ocho nueve diez " * 3000
 TEXTS = [
@@ -40,8 +40,8 @@ TEXTS = [
 @pytest.fixture(scope="module")
 def docs(spark):
     """Nulls, empty and very long texts, repeated rows, a NULL id and columns with clashing names."""
-    rows = [(i, t, [None, "en", "de"][i % 3], [None, "b", "a", "é", "B"][i % 5], len(t or ""), "s", "r", "p", "c") for i, t in enumerate(TEXTS)]
-    rows += [rows[3], rows[6], (None, "text without an id", "en", "b", None, None, None, None, None)]
+    rows = [(i, t, [None, "en", "de"][i % 3], [None, "b", "a", "é", "B"][i % 5], len(t or ""), "s", "r", "p", "c", "o") for i, t in enumerate(TEXTS)]
+    rows += [rows[3], rows[6], (None, "text without an id", "en", "b", None, None, None, None, None, None)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
