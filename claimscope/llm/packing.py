@@ -52,7 +52,8 @@ def with_offsets(tokens: DataFrame) -> DataFrame:
     """
     totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # Stored, so that Spark knows its size and need not deal out the tokens to join it.
+    bases = shared_table(totals.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
     joined = tokens.join(bases, F.col("part") == F.col("p"))
     return joined.select("doc_id", "n_tokens", "ids", (F.col("base") + F.col("at")).alias("first"))
 
