@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 
-CACHE_PIECES = 700_000
+CACHE_PIECES = 600_000
 CACHE_RUNS = 250_000
+SEEN_SLOTS = 1 << 22
 PLAIN_BELOW = "\u0250"  # letters whose class no version of Unicode will change
 # Fixed value: how byte-level tokenizers of this kind split a text into runs.
 RUNS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -21,6 +23,16 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Known(dict):
+    """Ids by piece; a piece that is not there is asked for."""
+
+    def __init__(self, ask: Callable[[str], bytes]):
+        self.ask = ask
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.ask(piece)
+
+
 class Encoder:
     """Ids of texts, the same as ``Tokenizer.encode`` gives, without special tokens.
 
@@ -29,7 +41,8 @@ class Encoder:
     stands between visible characters, and each piece be encoded once and looked up from then
     on. A new piece is split into its runs, and the tokenizer's model gives each run's ids.
     Texts with any other white space, and tokenizers of another kind, are encoded whole.
-    The look-up holds at most ``CACHE_PIECES`` pieces and ``CACHE_RUNS`` runs.
+    The look-up takes a piece in when it comes up a second time, as most never do, and holds
+    at most ``CACHE_PIECES`` pieces and ``CACHE_RUNS`` runs.
     """
 
     def __init__(self, path: str):
@@ -43,8 +56,9 @@ class Encoder:
         self.model = self.tool.model
         self.split = regex.compile(RUNS).findall
         self.letters = byte_letters()
-        self.known: dict[str, bytes] = {}
+        self.known = Known(self._learn)
         self.runs: dict[str, bytes] = {}
+        self.seen = bytearray(SEEN_SLOTS)
         kind = repr(self.tool.pre_tokenizer)
         plain = all(x in kind for x in ("ByteLevel(", "add_prefix_space=False", "use_regex=True")) and "Sequence" not in kind
         self.by_piece = plain and self.tool.normalizer is None and self.tool.post_processor is None
@@ -57,31 +71,28 @@ class Encoder:
         pieces = self._pieces(text) if text else []
         if pieces is None:
             return self.whole(text)
-        found = list(map(self.known.get, pieces))
-        if None in found:
-            found = [self._learn(p) if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
-        return np.frombuffer(b"".join(found), dtype="<u4")
+        return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), dtype="<u4")
 
     def _pieces(self, text: str) -> list[str] | None:
-        if not self.by_piece:
+        if not self.by_piece or not text.replace("\n", "").isprintable():  # blanks and line ends alone
             return None
-        words = text.split()
-        if not words or " ".join(words) != text.replace("\n", " "):
+        spaced = text.replace("\n", " \n")
+        if "  " in spaced or "\n " in spaced or spaced[0] == " " or spaced[-1] in " \n":  # white space beside white space
             return None
-        pieces = text.replace("\n", " \n").split(" ")
         # A bare word stands for a blank and the word; the text's first has no blank.
-        return ["\0" + pieces[0], *pieces[1:]]
+        return ("\0" + spaced).split(" ")
 
     def _learn(self, piece: str) -> bytes:
-        ids = self.known.get(piece)
-        if ids is None:
-            spelled = piece[1:] if piece[0] == "\0" else piece if piece[0] == "\n" else " " + piece
-            if max(spelled) < PLAIN_BELOW:
-                ids = b"".join(map(self._token_run, self.split(spelled)))
-            else:
-                ids = self.whole(spelled).tobytes()
-            if len(self.known) < CACHE_PIECES:
-                self.known[piece] = ids
+        spelled = piece[1:] if piece[0] == "\0" else piece if piece[0] == "\n" else " " + piece
+        if max(spelled) < PLAIN_BELOW:
+            ids = b"".join(map(self._token_run, self.split(spelled)))
+        else:
+            ids = self.whole(spelled).tobytes()
+        slot = hash(piece) & (SEEN_SLOTS - 1)
+        if not self.seen[slot]:
+            self.seen[slot] = 1
+        elif len(self.known) < CACHE_PIECES:
+            self.known[piece] = ids
         return ids
 
     def _token_run(self, run: str) -> bytes:
