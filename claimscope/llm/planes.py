@@ -34,7 +34,7 @@ from claimscope.session import scratch_path
 MAGIC = b"PLANES01"
 BLOCK = 1 << 16
 LEVEL = 3
-FILES_ROWS = 2000
+FILES_ROWS = 8000
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -177,7 +177,9 @@ def write(docs: DataFrame, tokenizer: str, folder: str, kind: str = "B", doc_id:
             sink.close()
             yield pa.RecordBatch.from_pydict({"file": pa.array([part], pa.int32()), "path": [path], "n_docs": [len(writer.docs)], "n_tokens": [writer.tokens]})
 
-    return shared_table(map_arrow(ranged, store, "file int, path string, n_docs long, n_tokens long"), "manifest")
+    written = map_arrow(ranged, store, "file int, path string, n_docs long, n_tokens long")
+    # One row per file, 200,000 at most: one task stores them all.
+    return shared_table(written.repartition(1), "manifest")
 
 
 def read(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
