@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimscope.llm.common import id_residue, map_arrow, shared_table
 
@@ -47,7 +48,7 @@ class Settings:
     batch: int = 64
     rate: float = 0.01
     back_off: float = 20.0
-    head_words: int = 100_000
+    head_words: int = 200_000
     seed: int = 11
 
 
@@ -193,6 +194,9 @@ def _laid_out(texts: list[np.ndarray], end: int, s: Settings) -> Iterator[tuple[
     stream = np.concatenate([np.concatenate([[end], t, [end]]).astype(np.int32) for t in texts]) if texts else np.zeros(0, np.int32)
     origin = np.cumsum(lengths + 1) - (lengths + 1)
     text, first, fresh = windows(lengths, s)
+    # First windows of texts, then later ones, so that those of a block are scored from one place on.
+    order = np.argsort(fresh, kind="stable")
+    text, first, fresh = text[order], first[order], fresh[order]
     step = np.arange(s.window)
     for k in range(0, len(text), BLOCK_WINDOWS):
         w = slice(k, k + BLOCK_WINDOWS)
@@ -251,13 +255,19 @@ class Scorer:
         self.causal = np.tri(len(net.place), dtype=np.float32)
 
     def log10_classes(self, symbols: np.ndarray, mask: np.ndarray, goal: np.ndarray) -> np.ndarray:
-        """Base-10 log-probability of the class that follows each masked position."""
-        q, k, v = (self.by_symbol[i][symbols] + self.by_place[i] for i in range(3))
+        """Base-10 log-probability of the class that follows each masked position.
+
+        Positions before the first masked one of all windows ask for nothing; they are only
+        looked back at.
+        """
+        ask = int(mask.any(axis=0).argmax())
+        q = self.by_symbol[0][symbols[:, ask:]] + self.by_place[0][ask:]
+        k, v = (self.by_symbol[i][symbols] + self.by_place[i] for i in (1, 2))
         weight = np.matmul(q, k.transpose(0, 2, 1))
         np.minimum(weight, 30, out=weight)
         np.exp(weight, out=weight)
-        weight *= self.causal
-        mixed = np.matmul(weight, v)[mask]
+        weight *= self.causal[ask:]
+        mixed = np.matmul(weight, v)[mask[:, ask:]]
         hidden = self.by_symbol[3][symbols[mask]] + self.by_place[3][np.nonzero(mask)[1]]
         hidden += (mixed[:, :-1] / mixed[:, -1:]) @ self.mixed_to_hidden
         np.tanh(hidden, out=hidden)
@@ -390,39 +400,52 @@ def _prepared(docs: DataFrame, head: dict[bytes, int], total: int, distinct: int
 
     Stored, so that row ids, ids and sums agree in all later steps.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(head)
     bottom = total + distinct + 1
+    shared = docs.sparkSession.sparkContext.broadcast({w: math.log10((c + 1) / bottom) for w, c in head.items()})
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         coder, _ = subwords(s.vocabulary)
         for batch in batches:
-            n_tokens, n_known, sums, ids, tails = [], [], [], [], []
+            n_tokens, n_known, sums, ids = [], [], [], []
+            rare, times, ends = [], [], [0]
             for t in batch.column(2).to_pylist():
                 lower = ascii_lower(t)
                 words = Counter(lower.split())
-                seen, base, tail = 0, 0.0, []
+                seen, base = 0, 0.0
                 for word, k in words.items():
-                    c = known.get(word)
-                    if c is None:
-                        tail.append({"word": word, "k": k})
+                    term = known.get(word)
+                    if term is None:
+                        rare.append(word)
+                        times.append(k)
                     else:
                         seen += k
-                        base += k * math.log10((c + 1) / bottom)
+                        base += k * term
                 n_tokens.append(words.total() + 1)
                 n_known.append(seen)
                 sums.append(base)
                 ids.append(np.array(coder.encode_ordinary(lower.decode()), dtype="<u4").astype("<u2" if coder.n_vocab < 65_535 else "<u4").tobytes())
-                tails.append(tail)
-            kind = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))
+                ends.append(len(rare))
+            tail = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["word", "k"])
+            tails = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tail)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(ids, pa.binary()), pa.array(tails, kind)],
+                [*batch.columns[:2], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(ids, pa.binary()), tails],
                 ["doc_id", "held_out", "n_tokens", "head_known", "head_sum", "ids", "tail"],
             )
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, head_known long, head_sum double, ids binary, tail array<struct<word:binary,k:bigint>>"
-    rows = map_arrow(_columns(docs, text, doc_id), prepare, schema)
+    word = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("k", T.LongType())])
+    columns = _columns(docs, text, doc_id)
+    schema = T.StructType(
+        [
+            *columns.schema.fields[:2],
+            T.StructField("n_tokens", T.LongType()),
+            T.StructField("head_known", T.LongType()),
+            T.StructField("head_sum", T.DoubleType()),
+            T.StructField("ids", T.BinaryType()),
+            T.StructField("tail", T.ArrayType(word)),
+        ]
+    )
+    rows = map_arrow(columns, prepare, schema)
     return shared_table(rows.withColumn("rid", F.monotonically_increasing_id()), "lm")
 
 
@@ -501,7 +524,7 @@ def _scores(rows: DataFrame, model: Model) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)
     wide = model.end >= 65_535
     names = ["rid", "doc_id", "held_out", "n_tokens", "head_known", "head_sum"]
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = T.StructType([*(rows.schema[n] for n in names), T.StructField("score", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
@@ -517,7 +540,7 @@ def _scores(rows: DataFrame, model: Model) -> DataFrame:
                     first, size = k + 1, 0
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(out)], [*names, "score"])
 
-    return map_arrow(rows.select(*names, "ids"), score, ", ".join(f"{n} {kinds[n]}" for n in names) + ", score double")
+    return map_arrow(rows.select(*names, "ids"), score, schema)
 
 
 def _log10(count: Column, bottom: int) -> Column:
