@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,5 +92,10 @@ def with_row(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(ROW), *(v.alias(k) for k, v in columns.items()))
 
 
+def kept_columns(names: Sequence[str], taken: Sequence[str]) -> list[Column]:
+    """Fields of the packed row by name; one whose name a result column bears becomes ``row_<name>``."""
+    return [F.col(ROW)[n].alias(f"row_{n}" if n in taken else n) for n in names]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimscope.llm.common import WORDS, let, upto, with_row, word_list
+from claimscope.llm.common import WORDS, kept_columns, let, upto, with_row, word_list
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_capitals", "n_exclaims")
 
@@ -107,15 +107,12 @@ def ledger(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", k
     """The columns ``keep``, each measurement as long, and ``failed_bits`` as long.
 
     One row per row: repeated rows stay, an empty table gives an empty ledger. A kept column
-    that bears the name of a measurement keeps its own value only under that name's struct,
-    so name other columns; by default the id alone is kept.
+    that bears the name of a measurement is called ``row_<name>`` in the ledger; by default
+    the id alone is kept.
     """
-    clash = {*MEASURES, "failed_bits"} & set(keep)
-    if clash:
-        raise ValueError(f"kept columns {sorted(clash)} have the names of measurements; rename them")
     packed = with_row(docs, **measurements(F.col(f"`{text}`")))
     flat = packed.select(
-        *(F.col("_row")[c].alias(c) for c in keep),
+        *kept_columns(keep, (*MEASURES, "failed_bits")),
         F.col("words.n").alias("n_words"),
         "word_chars",
         "n_symbols",

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimscope.llm.common import let, with_row
+from claimscope.llm.common import kept_columns, with_row
 from claimscope.llm.components import connected_components
 
 
@@ -127,7 +127,8 @@ def judge(
     columns a and b, such as a crawler's redirect log).
 
     A NULL address or one without ``://`` has empty host and path, no rule and no alias, and
-    is allowed. A NULL html has no links. Repeated rows get equal verdicts.
+    is allowed. A NULL html has no links. Repeated rows get equal verdicts. A kept column
+    that bears the name of a result column is called ``row_<name>``.
     """
     links = alias_edges(pages, url, html)
     if edges is not None:
@@ -150,4 +151,4 @@ def judge(
     ).withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
     joined = judged.join(tainted, judged["node"] == tainted["tainted"], "left")
     verdict = F.coalesce(F.col("best.verdict"), F.when(F.col("tainted").isNotNull(), "block").otherwise("allow"))
-    return joined.select(*(F.col("_row")[c].alias(c) for c in keep), "host", "path", F.col("best.label").alias("rule"), verdict.alias("verdict"))
+    return joined.select(*kept_columns(keep, ("host", "path", "rule", "verdict")), "host", "path", F.col("best.label").alias("rule"), verdict.alias("verdict"))

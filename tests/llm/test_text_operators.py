@@ -105,8 +105,8 @@ def test_quality_measurements(docs, none):
         text = TEXTS[r["doc_id"]] if r["doc_id"] is not None else "text without an id"
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute_quality(text), r
     assert quality.ledger(none).count() == 0
-    with pytest.raises(ValueError):
-        quality.ledger(docs.withColumn("n_words", F.lit(1)), keep=("doc_id", "n_words"))
+    clash = quality.ledger(docs.withColumn("n_words", F.lit(-1)), keep=("doc_id", "n_words"))
+    assert {r["row_n_words"] for r in clash.collect()} == {-1} and clash.columns[:3] == ["doc_id", "row_n_words", "n_words"]
 
 
 def test_policies_and_ablation_follow_from_bits(docs):
@@ -516,6 +516,7 @@ def test_urls_and_aliases(spark):
         12: ("log.org", "/q", None, "block"),
     }
     assert urls.judge(df.limit(0)).count() == 0
+    assert urls.judge(df, keep=("page_id", "host")).columns == ["page_id", "row_host", "host", "path", "rule", "verdict"]
 
 
 # --- fingerprints ------------------------------------------------------------------------
