@@ -8,6 +8,7 @@ from claimscope.functions.landcover import severity_scheme
 from claimscope.plans import reports as R
 from claimscope.plans import summaries as S
 from claimscope.plans.tables import Tables
+from claimscope.session import scratch_path
 from claimscope.sources.tables import stored
 
 # Parameters that make the stand-ins exercise every branch.
@@ -36,7 +37,8 @@ def buckets(s: Standins):
 
 
 def storms(s: Standins):
-    return R.storm_control(s, generic=GENERIC, min_claims=STORM_CLAIMS, base_year=BASE)
+    folder = scratch_path(s.spark, "storms-by-zip")
+    return R.storm_control(s, generic=GENERIC, min_claims=STORM_CLAIMS, base_year=BASE, scratch=folder)
 
 
 def exported_storms(s: Standins):

@@ -27,6 +27,7 @@ from claimscope.functions import text as X
 from claimscope.operators import aggregates as A
 from claimscope.operators import joins, ordering, reshape, windows
 from claimscope.plans import reports as R
+from claimscope.sources.tables import stored
 
 ENVIRONMENT = STORM_CASE
 SPRAWL_YEARS = (1997, 1999)
@@ -410,11 +411,12 @@ def aggregate_checks():
 
 
 def mean_median(s: Standins):
-    """Sum, mean and exact median of the payment per cause."""
-    paid = s.claims.select(
+    """Sum, mean and exact median of the payment per cause, over payments stored once."""
+    payments = s.claims.select(
         "causeOfDamage",
         M.total_paid(F.col("amountPaidOnBuildingClaim"), F.col("amountPaidOnContentsClaim")).alias("paid"),
     )
+    paid = stored(payments, "payments")
     totals = (
         paid.groupBy("causeOfDamage")
         .agg(F.sum("paid").alias("total"), F.count("paid").alias("n"))
