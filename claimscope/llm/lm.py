@@ -5,8 +5,10 @@ the subword within its class from counts over the whole training corpus:
 
     P(id | before) = P(class of id | up to ``window`` ids before) * P(id | class, class before)
 
-The attention weights are trained with numpy on a bounded sample of windows; the counts of
-the output layer and of the base score are sums over all training documents.
+The attention weights are trained with numpy on every window of every training document: each
+task trains on its own, and the weights of all tasks are averaged after each round. Classes,
+input symbols, the counts of the output layer and of the base score come from sums over all
+training documents.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +35,10 @@ BLOCK_WINDOWS = 128  # what a core's cache holds
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_windows`` bounds what the attention weights are trained on, ``head_words`` the
-    words whose counts are broadcast; the counts of all other words are joined."""
+    """``sample_windows`` is how many windows a task holds to shuffle them while it trains,
+    ``steps`` of ``batch`` windows the least that training does, however small the corpus is;
+    neither bounds what is trained on. ``head_words`` bounds the words whose counts are
+    broadcast; the counts of all other words are joined."""
 
     vocabulary: str = "byte_bpe_multi_50k.tiktoken"
     window: int = 32
@@ -43,8 +48,10 @@ class Settings:
     classes: int = 64
     own_classes: int = 24
     symbols: int = 1_024
+    heads: int = 256
     sample_windows: int = 8_000
     steps: int = 600
+    rounds: int = 4
     batch: int = 64
     rate: float = 0.01
     back_off: float = 20.0
@@ -95,6 +102,14 @@ class Network:
         small = lambda *shape: (0.5 * rng.standard_normal(shape)).astype(np.float32)
         return Network(small(symbols, d), small(s.window, d), w(d, d), w(d, d), w(d, d), w(d, d), w(d, h), np.zeros(h, np.float32), w(h, c), np.zeros(c, np.float32))
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([a.ravel() for a in vars(self).values()])
+
+    def like(self, flat: np.ndarray) -> Network:
+        """A network of the same shapes whose arrays lie in ``flat``."""
+        ends = np.cumsum([a.size for a in vars(self).values()])
+        return Network(**{k: flat[e - a.size : e].reshape(a.shape) for (k, a), e in zip(vars(self).items(), ends, strict=True)})
+
     def attend(self, symbols: np.ndarray) -> dict[str, np.ndarray]:
         """Forward pass over (batch, time) input symbols; keeps what the gradient needs."""
         n, t = symbols.shape
@@ -124,25 +139,35 @@ class Network:
         f = self.attend(symbols)
         n, t = symbols.shape
         d = self.query.shape[1]
-        logp = self.log_classes(f["g"])
         rows, weight = np.arange(n * t), mask.reshape(-1).astype(np.float32)
         total = max(float(weight.sum()), 1.0)
-        loss = -float((logp[rows, goal.reshape(-1)] * weight).sum()) / total
-        dl = np.exp(logp)
+        dl = f["g"] @ self.top
+        dl += self.top_bias
+        dl -= dl.max(axis=1, keepdims=True)
+        np.exp(dl, out=dl)
+        dl /= dl.sum(axis=1, keepdims=True)
+        hit = dl[rows, goal.reshape(-1)]
+        loss = -float((np.log(np.maximum(hit, 1e-30)) * weight).sum()) / total
         dl[rows, goal.reshape(-1)] -= 1
-        dl *= (weight / total)[:, None]
-        dz = (dl @ self.top.T) * (1 - f["g"] ** 2)
+        dl *= (weight / np.float32(total))[:, None]
+        dz = dl @ self.top.T
+        dz *= 1 - f["g"] ** 2
         flat = lambda a: a.reshape(n * t, -1)
         dh = dz @ self.inner.T
         dmixed = (dh @ self.out.T).reshape(n, t, d)
-        da = np.matmul(dmixed, f["v"].transpose(0, 2, 1))
+        ds = np.matmul(dmixed, f["v"].transpose(0, 2, 1))
         dv = np.matmul(f["weight"].transpose(0, 2, 1), dmixed)
-        ds = f["weight"] * (da - (da * f["weight"]).sum(axis=2, keepdims=True)) * np.float32(1 / math.sqrt(d))
+        ds -= np.einsum("nij,nij->ni", ds, f["weight"])[:, :, None]
+        ds *= f["weight"]
+        ds *= np.float32(1 / math.sqrt(d))
         dq, dk = np.matmul(ds, f["k"]), np.matmul(ds.transpose(0, 2, 1), f["q"])
-        dx = dh + flat(dq) @ self.query.T + flat(dk) @ self.key.T + flat(dv) @ self.value.T
+        dx = flat(dq) @ self.query.T
+        dx += flat(dk) @ self.key.T
+        dx += flat(dv) @ self.value.T
+        dx += dh
         x = flat(f["x"])
-        embed = np.zeros_like(self.embed)
-        np.add.at(embed, symbols.reshape(-1), dx)
+        cell = symbols.reshape(-1, 1) * d + np.arange(d)
+        embed = np.bincount(cell.ravel(), weights=dx.ravel(), minlength=self.embed.size).reshape(self.embed.shape).astype(self.embed.dtype)
         place = np.zeros_like(self.place)
         place[:t] = dx.reshape(n, t, -1).sum(axis=0)
         return loss, {
@@ -152,23 +177,28 @@ class Network:
         }
 
 
-def train(inputs: np.ndarray, goals: np.ndarray, mask: np.ndarray, symbols: int, s: Settings) -> Network:
-    """Adam over windows of symbols (inputs), classes (goals) and where there is a goal (mask)."""
-    net = Network.start(symbols, s)
-    rng = np.random.default_rng(s.seed)
-    names = list(vars(net))
-    first = {k: np.zeros_like(getattr(net, k)) for k in names}
-    second = {k: np.zeros_like(getattr(net, k)) for k in names}
-    for step in range(1, s.steps + 1 if len(inputs) else 0):
-        some = rng.integers(0, len(inputs), min(s.batch, len(inputs)))
-        _, grads = net.gradients(inputs[some], goals[some], mask[some])
-        rate = s.rate * min(1.0, step / 50) * (1 - 0.9 * step / s.steps)
-        for k in names:
-            first[k] = 0.9 * first[k] + 0.1 * grads[k]
-            second[k] = 0.98 * second[k] + 0.02 * grads[k] ** 2
-            move = (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.98**step)) + 1e-8)
-            getattr(net, k)[...] -= (rate * move).astype(np.float32)
-    return net
+class Trainer:
+    """Adam on a copy of a network: windows of symbols, classes as goals, and where there is a goal."""
+
+    def __init__(self, net: Network, s: Settings, rate: float, seed: int):
+        self.settings, self.rate, self.step = s, rate, 0
+        self.flat = net.flat()
+        self.net = net.like(self.flat)
+        self.first, self.second = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        self.rng = np.random.default_rng(seed)
+
+    def learn(self, inputs: np.ndarray, goals: np.ndarray, mask: np.ndarray) -> None:
+        """Every window once, in a random order."""
+        order = self.rng.permutation(len(inputs))
+        for k in range(0, len(order), self.settings.batch):
+            some = order[k : k + self.settings.batch]
+            _, grads = self.net.gradients(inputs[some], goals[some], mask[some])
+            g = np.concatenate([grads[name].ravel() for name in vars(self.net)])
+            self.step += 1
+            self.first += np.float32(0.1) * (g - self.first)
+            self.second += np.float32(0.02) * (g * g - self.second)
+            rate = self.rate * min(1.0, self.step / 50) / (1 - 0.9**self.step)
+            self.flat -= np.float32(rate) * self.first / (np.sqrt(self.second / np.float32(1 - 0.98**self.step)) + np.float32(1e-8))
 
 
 # --- windows ------------------------------------------------------------------------------
@@ -280,33 +310,34 @@ class Scorer:
         return (chosen - np.log(logits.sum(axis=1))).astype(np.float64) / math.log(10)
 
 
-def classify(sample: list[np.ndarray], size: int, end: int, s: Settings) -> np.ndarray:
+def _by_count(counts: np.ndarray) -> np.ndarray:
+    """Ids that occur, the most frequent first."""
+    return np.lexsort((np.arange(len(counts)), -counts))[: np.count_nonzero(counts)]
+
+
+def classify(counts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], s: Settings) -> np.ndarray:
     """A class for each id: the most frequent have their own, others are grouped by what precedes them.
 
-    Ids unseen in the sample share the last class.
+    ``counts`` says how often each id occurs, ``pairs`` (place of the id before among the
+    ``heads`` most frequent, id, how often) what precedes it. Ids that no training text has
+    share the last class.
     """
+    size = len(counts)
     kind = np.full(size, s.classes - 1, dtype=np.uint8)
-    if not sample:
-        return kind
-    stream = np.concatenate([np.concatenate([[end], t, [end]]) for t in sample]).astype(np.int64)
-    ids, counts = np.unique(stream, return_counts=True)
-    order = ids[np.lexsort((ids, -counts))]
+    order = _by_count(counts)
     own = order[: s.own_classes]
     kind[own] = np.arange(len(own))
     rest = order[s.own_classes :]
     groups = s.classes - 1 - s.own_classes
     if not len(rest):
         return kind
-    heads = order[:256]
-    column = np.full(size, -1)
-    column[heads] = np.arange(len(heads))
     row = np.full(size, -1)
     row[rest] = np.arange(len(rest))
-    r, c = row[stream[1:]], column[stream[:-1]]
-    ok = (r >= 0) & (c >= 0)
-    table = np.zeros((len(rest), len(heads)), dtype=np.float32)
-    np.add.at(table, (r[ok], c[ok]), 1)
-    table = np.sqrt(table)
+    before, at, n = pairs
+    ok = row[at] >= 0
+    table = np.zeros((len(rest), s.heads), dtype=np.float32)
+    table[row[at[ok]], before[ok]] = n[ok]
+    np.sqrt(table, out=table)
     table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-6)
     _, vectors = np.linalg.eigh(table.T @ table)
     points = table @ vectors[:, -12:]
@@ -321,13 +352,11 @@ def classify(sample: list[np.ndarray], size: int, end: int, s: Settings) -> np.n
     return kind
 
 
-def _symbols(sample: list[np.ndarray], kind: np.ndarray, s: Settings) -> np.ndarray:
+def _symbols(counts: np.ndarray, kind: np.ndarray, s: Settings) -> np.ndarray:
     """Input symbol of each id: the most frequent have their own, all others their class."""
     symbol = kind.astype(np.int32)
-    if sample:
-        ids, counts = np.unique(np.concatenate(sample), return_counts=True)
-        often = ids[np.lexsort((ids, -counts))][: s.symbols]
-        symbol[often] = s.classes + np.arange(len(often))
+    often = _by_count(counts)[: s.symbols]
+    symbol[often] = s.classes + np.arange(len(often))
     return symbol
 
 
@@ -454,61 +483,124 @@ def _ids(raw: bytes, wide: bool) -> np.ndarray:
 
 
 def fit(rows: DataFrame, s: Settings) -> Model:
-    """The model from prepared rows: weights from a sample of windows, counts from all training rows."""
+    """The model from prepared rows: classes, symbols, weights and counts, all from all training rows."""
     _, end = subwords(s.vocabulary)
     wide = end >= 65_535
     training = rows.where("not held_out")
-    sample = _sample(training, end, wide, s)
-    kind = classify(sample, end + 1, end, s)
-    symbol = _symbols(sample, kind, s)
-    parts = list(_laid_out(sample, end, replace(s, stride=s.window)))
-    if parts:
-        inputs, goals, mask = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
-        inputs, goals = symbol[inputs], kind[goals]
-    else:
-        inputs = goals = mask = np.zeros((0, s.window), np.int64)
-    network = train(inputs, goals.astype(np.int64), mask, s.classes + s.symbols, s)
-    return Model(s, end, kind, symbol, network, _within(kind, _pair_counts(training, kind, end, wide, s), s))
-
-
-def _sample(training: DataFrame, end: int, wide: bool, s: Settings) -> list[np.ndarray]:
-    """About ``sample_windows`` windows of ids: from texts picked by a hash, one stretch each.
-
-    A stretch is ``8 * window`` ids from a place in the text that the hash gives too.
+    counts, n_windows = _id_counts(training, end, wide, s)
+    heads = _by_count(counts)[: s.heads]
+    place = np.full(end + 1, -1, dtype=np.int16)
+    place[heads] = np.arange(len(heads))
+    kind = classify(counts, _pair_counts(training, place, s.heads, end, wide), s)
+    symbol = _symbols(counts, kind, s)
+    network = _train(training, kind, symbol, int(counts.sum()), n_windows, end, wide, s)
+    return Model(s, end, kind, symbol, network, _within(kind, _pair_counts(training, kind.astype(np.int16), s.classes, end, wide), s))
+
+
+def _id_counts(training: DataFrame, end: int, wide: bool, s: Settings) -> tuple[np.ndarray, int]:
+    """How often each id occurs in all training texts, ends included, and how many windows these have."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, windows_ = np.zeros(end + 1, dtype=np.int64), 0
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                ids = _ids(raw, wide)
+                if len(ids) > end:
+                    sums += np.bincount(ids, minlength=end + 1)
+                else:
+                    np.add.at(sums, ids, 1)
+                sums[end] += 1
+                windows_ += -(-(len(ids) + 1) // s.window)
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(sums[some], windows_))], ["id", "n"])
+
+    table = map_arrow(training.select("ids"), count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    found = np.zeros(end + 2, dtype=np.int64)
+    found[table.column(0).to_numpy()] = table.column(1).to_numpy()  # the windows at -1, the last place
+    return found[:-1], int(found[-1])
+
+
+def _train(training: DataFrame, kind: np.ndarray, symbol: np.ndarray, n_targets: int, n_windows: int, end: int, wide: bool, s: Settings) -> Network:
+    """Weights from every window of all training texts.
+
+    A round goes over its share of the texts, in a small corpus over all of them, often
+    enough for ``steps`` in all. In a round each task starts from the same weights and
+    trains on its own windows; the weights are then averaged by how many targets a task had.
+    The sums are of whole numbers, so that their order does not matter.
     """
-    stretch = 8 * s.window
-    n = training.count()
-    if not n:
-        return []
-    span = 1 << 30
-    bar = min(span, -(-(s.sample_windows // 8) * span // n))
-    draw = F.pmod(F.xxhash64(F.lit(s.seed), "doc_id", "rid"), F.lit(span))
-    some = training.where(draw < bar).select("rid", "ids").withColumn("draw", F.xxhash64(F.lit(s.seed + 1), "rid"))
-    unit = 4 if wide else 2
-    most = F.greatest(F.lit(1), (F.length("ids") / unit).cast("long") - stretch + 1)
-    first = F.pmod(F.col("draw"), most)
-    part = F.substring(F.col("ids"), (first * unit + 1).cast("int"), F.lit(stretch * unit))
-    # The bar keeps the sample near its bound, whatever the corpus; 10 bytes a window and less.
-    got = some.select("rid", part.alias("ids")).orderBy("rid").limit(2 * s.sample_windows).collect()
-    return [_ids(r["ids"], wide) for r in got]
-
-
-def _pair_counts(training: DataFrame, kind: np.ndarray, end: int, wide: bool, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How often each id follows an id of each class, over all training texts.
-
-    At most classes times vocabulary rows, summed in each task before the shuffle.
+    net = Network.start(s.classes + s.symbols, s)
+    least = s.steps * s.batch
+    if not n_windows or not least:
+        return net
+    shares = n_windows >= least
+    times = 1 if shares else -(-least // (s.rounds * n_windows))
+    tasks = max(1, n_windows // least)
+    texts = training.select("rid", "ids").coalesce(tasks)  # fewer tasks where each would have few windows
+    tables = training.sparkSession.sparkContext.broadcast((kind, symbol))
+    for r in range(s.rounds):
+        some = texts.where(F.pmod(F.xxhash64(F.lit(s.seed), "rid"), F.lit(s.rounds)) == r) if shares else texts
+        net, _ = _round(some, net, tables, s.rate * (1 - 0.9 * r / max(1, s.rounds - 1)), s.seed + r, times, n_targets, end, wide, s)
+    return net
+
+
+def _round(texts: DataFrame, net: Network, tables: Broadcast, rate: float, seed: int, times: int, n_targets: int, end: int, wide: bool, s: Settings) -> tuple[Network, float]:
+    """The mean of what all tasks make of the weights, and the share of the targets they trained on."""
+    shared = texts.sparkSession.sparkContext.broadcast(net)
+    size = net.flat().size
+    unit = float(1 << 48)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, symbols = tables.value
+        trainer = Trainer(shared.value, s, rate, seed)
+        held, n_held, n_seen = [], 0, 0
+
+        def use() -> None:
+            nonlocal held, n_held
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            for _ in range(times):
+                trainer.learn(*whole)
+            held, n_held = [], 0
+
+        for batch in batches:
+            for raw in batch.column(1).to_pylist():
+                for _, inputs, goals, mask in _laid_out([_ids(raw, wide)], end, replace(s, stride=s.window)):
+                    held.append((symbols[inputs], kinds[goals].astype(np.int64), mask))
+                    n_held += len(inputs)
+                    n_seen += int(mask.sum())
+                    if times == 1 and n_held >= s.sample_windows:
+                        use()
+        if held:
+            use()
+        if n_seen:
+            sums = np.rint(np.append(trainer.flat.astype(np.float64), 1.0) * (n_seen / n_targets) * unit).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1, dtype=np.int32)), pa.array(sums)], ["k", "v"])
+
+    got = map_arrow(texts, learn, "k int, v long").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+    shared.unpersist()
+    if not got.num_rows:
+        return net, 0.0
+    sums = np.zeros(size + 1)
+    sums[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    return net.like((sums[:-1] / sums[-1]).astype(np.float32)), sums[-1] / unit
+
+
+def _pair_counts(training: DataFrame, group: np.ndarray, groups: int, end: int, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often each id follows an id of each group, over all training texts; -1 is no group.
+
+    At most groups times vocabulary rows, summed in each task before the shuffle.
     """
-    shared = training.sparkSession.sparkContext.broadcast(kind)
-    size = len(kind)
+    shared = training.sparkSession.sparkContext.broadcast(group)
+    size = len(group)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = shared.value
-        sums = np.zeros(s.classes * size, dtype=np.int64)
+        group_of = shared.value
+        sums = np.zeros(groups * size, dtype=np.int64)
         for batch in batches:
             for raw in batch.column(0).to_pylist():
                 ids = np.concatenate([[end], _ids(raw, wide), [end]])
-                key = classes[ids[:-1]].astype(np.int64) * size + ids[1:]
-                np.add.at(sums, key, 1)
+                before = group_of[ids[:-1]].astype(np.int64)
+                key = before * size + ids[1:]
+                np.add.at(sums, key[before >= 0], 1)
         some = np.flatnonzero(sums)
         for k in range(0, len(some), 100_000):
             part = some[k : k + 100_000]

@@ -313,6 +313,35 @@ def test_fast_scorer_equals_the_network(spark):
     assert (10.0 ** (logp[model.kind] + model.within[model.kind[model.end]])).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_lm_learns_from_all_of_every_training_text(spark, monkeypatch):
+    """Classes, symbols and weights know what stands only at the end of one long text among many."""
+    coder, end = lm.subwords(lm.Settings().vocabulary)
+    s = lm.Settings(steps=20, sample_windows=64)
+    common = " ".join(["the cat sat on the mat"] * 2_000)
+    last = next(k for k in range(40, 60) if zlib.crc32(b"%d" % k) % 7 != 2)
+    late = [" zebra quilt", " onyx ferry", " violet harbour"]
+    whole = common + "".join(late) * 60
+    texts = spark.createDataFrame([(k, common if k % 2 else "a short line") for k in range(40)] + [(last, whole)], "doc_id long, text string")
+    rows = lm._prepared(texts, {}, 1, 1, s, "text", "doc_id")
+    kept = [r["ids"] for r in rows.where("not held_out").select("ids").collect()]
+    assert any(len(raw) == 2 * len(coder.encode_ordinary(whole)) for raw in kept)
+    counts, n_windows = lm._id_counts(rows.where("not held_out"), end, False, s)
+    want = Counter(i for raw in kept for i in np.frombuffer(raw, "<u2").tolist())
+    want[end] = len(kept)
+    assert {i: int(n) for i, n in enumerate(counts) if n} == want
+    assert n_windows == sum(-(-(len(raw) // 2 + 1) // s.window) for raw in kept)
+    model = lm.fit(rows, s)
+    for i in set(coder.encode_ordinary("".join(late))):
+        assert model.kind[i] != s.classes - 1 and model.symbol[i] >= s.classes
+    # Every target reaches the weights, once in all rounds together.
+    shares = []
+    monkeypatch.setattr(lm, "_round", lambda *args, real=lm._round: shares.append(real(*args)) or shares[-1])
+    few = lm.Settings(steps=1, rounds=2, batch=16)
+    lm._train(rows.where("not held_out"), model.kind, model.symbol, int(counts.sum()), n_windows, end, False, few)
+    assert len(shares) == 2 and all(0 < share < 1 for _, share in shares)
+    assert sum(share for _, share in shares) == pytest.approx(1, abs=1e-9)
+
+
 def test_lm_edges(docs, none):
     got = lm.score(docs, small_lm()).collect()
     assert len(got) == docs.count() and all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
