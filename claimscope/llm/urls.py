@@ -40,6 +40,9 @@ _REFRESH = r"(?i)\shttp-equiv\s*=\s*[\"']?refresh[\"'\s/>]"
 _TARGET = r"(?i)\scontent\s*=\s*[\"'][^\"']*?url\s*=\s*([^\"'\s>]+)"
 
 
+_ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.-]*://"
+
+
 def _ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -72,17 +75,42 @@ def best_rule(host: Column, path: Column, rules: Sequence[UrlRule]) -> Column:
     return best
 
 
+def _without_dots(path: Column) -> Column:
+    """A path from the root, with the segments ``.`` and ``..`` carried out."""
+    kept = F.aggregate(
+        F.slice(F.split(path, "/", -1), 2, F.length(path) + 1),
+        F.array().cast("array<string>"),
+        lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))),
+    )
+    folder = F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), folder)
+
+
 def absolute(link: Column, base: Column) -> Column:
-    """A link as an absolute address: as it stands, or against the scheme and host of ``base``.
+    """A link as an absolute address, resolved against the address ``base`` of its page.
 
-    Links relative to a folder, and links of another kind, give NULL.
+    Only a link that begins with a scheme and ``://`` stands by itself. Others start from the
+    page's scheme, host, path or folder. Links of another kind (``mailto:``), and those of a
+    page without a host, give NULL.
     """
     scheme = F.regexp_extract(base, r"^([^:/?#]+):", 1)
-    return (
-        F.when(link.contains("://"), link)
+    origin = F.concat(scheme, F.lit("://"), host_of(base))
+    path = F.when(path_of(base) == "", "/").otherwise(path_of(base))
+    named = link.rlike(_ABSOLUTE)
+    full = (
+        F.when(named, link)
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(host_of(base) == "", None)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(scheme, F.lit("://"), host_of(base), link))
+        .when(link.startswith("/"), F.concat(origin, link))
+        .when(link.startswith("?"), F.concat(origin, path, link))
+        .when(link.startswith("#"), base)
+        .otherwise(F.concat(origin, F.regexp_extract(path, r"^[\s\S]*/", 0), link))
     )
+    dotted = path_of(full).rlike(r"/\.\.?(/|$)")
+    tail = F.regexp_extract(_after_scheme(full), r"^[^?#]*([\s\S]*)$", 1)
+    lead = F.concat(F.regexp_extract(full, r"^([^:/?#]+)://", 0), F.regexp_extract(_after_scheme(full), r"^[^/?#]*", 0))
+    return F.when(dotted, F.concat(lead, _without_dots(path_of(full)), tail)).otherwise(full)
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -105,9 +133,9 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
 
 
 def node_of(url: Column) -> Column:
-    """Host and path as one text; NULL where there is no host."""
-    host = host_of(url)
-    return F.when(host != "", F.concat(host, path_of(url)))
+    """Host and path as one text, ``/`` where the path is empty; NULL where there is no host."""
+    host, path = host_of(url), path_of(url)
+    return F.when(host != "", F.concat(host, F.when(path == "", "/").otherwise(path)))
 
 
 def judge(
@@ -135,7 +163,7 @@ def judge(
         more = edges.select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b"))
         links = links.union(more.where("a is not null and b is not null and a <> b"))
     members = connected_components(links, "a", "b")
-    # A member is judged by its own address: nodes hold host and path, up to the first slash the host.
+    # A member is judged by its own address: up to the first slash a node is the host.
     host = F.regexp_extract("node", r"^[^/]*", 0)
     path = F.regexp_extract("node", r"^[^/]*(.*)$", 1)
     verdicts = members.select("node", "component", best_rule(host, path, rules)["verdict"].alias("v"))

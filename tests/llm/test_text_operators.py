@@ -548,6 +548,40 @@ def test_urls_and_aliases(spark):
     assert urls.judge(df, keep=("page_id", "host")).columns == ["page_id", "row_host", "host", "path", "rule", "verdict"]
 
 
+LINKS = [
+    "page.html", "../x", "./a", "..", ".", "../../../../up", "a/./b/../c", "?q=1", "#part", "/", "/root/../r", "//other.org/z", "//other.org",
+    "http://full.org/a/b", "HTTPS://full.org", "/out?u=http://m.example.com/en/a", "out?u=http://m.example.com/en/a", "a/b/", "../", "x#http://y.org/",
+]
+
+
+def test_links_are_resolved_as_the_standard_says(spark):
+    from urllib.parse import urljoin, urlsplit
+
+    bases = ["http://a.org/d/e/f.html?q#z", "http://a.org/d/e/", "https://a.org", "http://a.org/?x=/y/z"]
+    df = spark.createDataFrame([(b, x) for b in bases for x in LINKS], "base string, link string")
+    rows = df.select("base", "link", urls.node_of(urls.absolute(F.col("link"), F.col("base"))).alias("node")).collect()
+    for r in rows:
+        want = urlsplit(urljoin(r["base"], r["link"]))
+        assert r["node"] == want.netloc.lower() + (want.path or "/"), r
+    others = [("mailto:a@b.org", bases[0], None), ("a", "no address", None), ("http://full.org/a/../b?c", bases[0], "http://full.org/b?c")]
+    got = df.limit(1).select(*(urls.absolute(F.lit(x), F.lit(b)).alias(str(k)) for k, (x, b, _) in enumerate(others))).first()
+    assert list(got) == [want for _, _, want in others]
+
+
+def test_relative_links_and_site_roots_carry_a_block(spark):
+    pages = [
+        (1, "http://one.org/d/a", canonical("../b")),
+        (2, "http://one.org/b", '<meta http-equiv="refresh" content="0; url=http://x.net/es/1">'),
+        (3, "http://two.org/c", canonical("/out?u=http://m.example.com/en/a")),
+        (4, "http://three.org", canonical("http://x.net/fr/1")),
+        (5, "http://four.org/q", canonical("http://three.org/")),
+        (6, "http://m.example.com/en/a", ""),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(df).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "block", 6: "block"}
+
+
 # --- fingerprints ------------------------------------------------------------------------
 
 
