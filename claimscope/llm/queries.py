@@ -61,7 +61,7 @@ def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), by_query=True)
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimscope.llm.common import kept_columns, with_row
+from claimscope.llm.common import kept_columns, let, with_row
 from claimscope.llm.components import connected_components
 
 
@@ -81,9 +81,9 @@ def _without_dots(path: Column) -> Column:
         F.slice(F.split(path, "/", -1), 2, F.length(path) + 1),
         F.array().cast("array<string>"),
         lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))),
+        lambda done: F.concat(F.lit("/"), F.array_join(done, "/"), F.when(path.rlike(r"/\.\.?$") & (F.size(done) > 0), "/").otherwise("")),
     )
-    folder = F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), "/").otherwise("")
-    return F.concat(F.lit("/"), F.array_join(kept, "/"), folder)
+    return kept
 
 
 def absolute(link: Column, base: Column) -> Column:
@@ -93,30 +93,32 @@ def absolute(link: Column, base: Column) -> Column:
     page's scheme, host, path or folder. Links of another kind (``mailto:``), and those of a
     page without a host, give NULL.
     """
-    scheme = F.regexp_extract(base, r"^([^:/?#]+):", 1)
-    origin = F.concat(scheme, F.lit("://"), host_of(base))
-    path = F.when(path_of(base) == "", "/").otherwise(path_of(base))
-    named = link.rlike(_ABSOLUTE)
-    full = (
-        F.when(named, link)
-        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
-        .when(host_of(base) == "", None)
-        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(origin, link))
-        .when(link.startswith("?"), F.concat(origin, path, link))
-        .when(link.startswith("#"), base)
-        .otherwise(F.concat(origin, F.regexp_extract(path, r"^[\s\S]*/", 0), link))
-    )
-    dotted = path_of(full).rlike(r"/\.\.?(/|$)")
-    tail = F.regexp_extract(_after_scheme(full), r"^[^?#]*([\s\S]*)$", 1)
-    lead = F.concat(F.regexp_extract(full, r"^([^:/?#]+)://", 0), F.regexp_extract(_after_scheme(full), r"^[^/?#]*", 0))
-    return F.when(dotted, F.concat(lead, _without_dots(path_of(full)), tail)).otherwise(full)
+
+    def joined(at: Column) -> Column:
+        origin, path = F.concat(at["scheme"], F.lit("://"), at["host"]), F.when(at["path"] == "", "/").otherwise(at["path"])
+        return (
+            F.when(link.rlike(_ABSOLUTE), link)
+            .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (at["host"] == ""), None)
+            .when(link.startswith("//"), F.concat(at["scheme"], F.lit(":"), link))
+            .when(link.startswith("/"), F.concat(origin, link))
+            .when(link.startswith("?"), F.concat(origin, path, link))
+            .when(link.startswith("#"), base)
+            .otherwise(F.concat(origin, F.regexp_extract(path, r"^[\s\S]*/", 0), link))
+        )
+
+    def resolved(full: Column) -> Column:
+        part = lambda k: F.regexp_extract(full, r"^([^:]*://[^/?#]*)([^?#]*)([\s\S]*)$", k)
+        return F.when(part(2).rlike(r"/\.\.?(/|$)"), F.concat(part(1), let(part(2), _without_dots), part(3))).otherwise(full)
+
+    place = F.struct(F.regexp_extract(base, r"^([^:/?#]+):", 1).alias("scheme"), host_of(base).alias("host"), path_of(base).alias("path"))
+    return let(let(place, joined), resolved)
 
 
-def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+def alias_edges(pages: DataFrame, url: str = "url", html: str = "html", by_query: bool = False) -> DataFrame:
     """(a, b): a page's node and the node its redirect or canonical link points to.
 
-    A node is host and path, so scheme, query and fragment do not part aliases.
+    A node is host and path, with ``by_query`` the query too; scheme and fragment do not part
+    aliases.
     """
     page, body = F.col(f"`{url}`"), F.col(f"`{html}`")
     tags = F.regexp_extract_all(body, F.lit(_TAGS), F.lit(0))
@@ -127,15 +129,24 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
         ),
     )
     links = pages.select(page.alias("page"), F.explode(F.filter(link, lambda x: x.isNotNull() & (x != ""))).alias("link"))
-    target = absolute(F.col("link"), F.col("page"))
-    ends = links.select(node_of(F.col("page")).alias("a"), node_of(target).alias("b"))
+    # In html an ampersand of an address is mostly written as an entity.
+    target = absolute(F.regexp_replace("link", "(?i)&(amp|#38|#x26);", "&"), F.col("page"))
+    ends = links.select(node_of(F.col("page"), by_query).alias("a"), node_of(target, by_query).alias("b"))
     return ends.where("a is not null and b is not null and a <> b").distinct()
 
 
-def node_of(url: Column) -> Column:
-    """Host and path as one text, ``/`` where the path is empty; NULL where there is no host."""
-    host, path = host_of(url), path_of(url)
-    return F.when(host != "", F.concat(host, F.when(path == "", "/").otherwise(path)))
+def node_of(url: Column, by_query: bool = False) -> Column:
+    """Host and path as one text, ``/`` where the path is empty; NULL where there is no host.
+
+    With ``by_query`` a query that is not empty follows, so that it parts pages.
+    """
+
+    def node(rest: Column) -> Column:
+        part = lambda k: F.regexp_extract(rest, r"^([^/?#]*)([^?#]*)(\?[^#]+)?", k)
+        whole = F.concat(_ascii_lower(part(1)), F.when(part(2) == "", "/").otherwise(part(2)), *([part(3)] if by_query else []))
+        return F.when(part(1) != "", whole)
+
+    return let(_after_scheme(url), node)
 
 
 def judge(
@@ -145,6 +156,7 @@ def judge(
     url: str = "url",
     html: str = "html",
     keep: Sequence[str] = ("page_id",),
+    by_query: bool = False,
 ) -> DataFrame:
     """Per page: the columns ``keep``, host, path, rule and verdict (allow or block).
 
@@ -152,20 +164,21 @@ def judge(
     aliases are. Any other page is blocked if an alias of it is blocked by a rule, be the
     alias a page or only the target of a link, and else allowed. Aliases are the connected
     components over redirects and canonical links (``edges``: further pairs of addresses in
-    columns a and b, such as a crawler's redirect log).
+    columns a and b, such as a crawler's redirect log). Without ``by_query``, addresses of one
+    host and path count as one page; with it, only those that share the query as well.
 
     A NULL address or one without ``://`` has empty host and path, no rule and no alias, and
     is allowed. A NULL html has no links. Repeated rows get equal verdicts. A kept column
     that bears the name of a result column is called ``row_<name>``.
     """
-    links = alias_edges(pages, url, html)
+    links = alias_edges(pages, url, html, by_query)
     if edges is not None:
-        more = edges.select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b"))
+        more = edges.select(node_of(F.col("a"), by_query).alias("a"), node_of(F.col("b"), by_query).alias("b"))
         links = links.union(more.where("a is not null and b is not null and a <> b"))
     members = connected_components(links, "a", "b")
     # A member is judged by its own address: up to the first slash a node is the host.
     host = F.regexp_extract("node", r"^[^/]*", 0)
-    path = F.regexp_extract("node", r"^[^/]*(.*)$", 1)
+    path = F.regexp_extract("node", r"^[^/]*([^?]*)", 1)
     verdicts = members.select("node", "component", best_rule(host, path, rules)["verdict"].alias("v"))
     blocked = verdicts.where("v = 'block'").select("component").distinct()
     tainted = members.join(blocked, "component", "left_semi").select(F.col("node").alias("tainted")).distinct()
@@ -175,7 +188,7 @@ def judge(
         pages.select(*(F.col(f"`{c}`") for c in dict.fromkeys((*keep, url)))),
         host=host_of(address),
         path=path_of(address),
-        node=node_of(address),
+        node=node_of(address, by_query),
     ).withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
     joined = judged.join(tainted, judged["node"] == tainted["tainted"], "left")
     verdict = F.coalesce(F.col("best.verdict"), F.when(F.col("tainted").isNotNull(), "block").otherwise("allow"))

@@ -582,6 +582,23 @@ def test_relative_links_and_site_roots_carry_a_block(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "block", 6: "block"}
 
 
+def test_a_query_parts_pages_of_one_path(spark, tmp_path):
+    from claimscope.llm import queries
+
+    pages = [
+        (1, "http://q.org/index.php?p=1", canonical("http://x.net/es/1?from=q")),
+        (2, "https://q.org/index.php?p=1#top", ""),
+        (3, "http://q.org/index.php?p=2", ""),
+        (4, "http://q.org/index.php", ""),
+        (5, "http://r.org/z", canonical("http://q.org/index.php?p=3&amp;s=4")),
+        (6, "http://q.org/index.php?p=3&s=4", canonical("http://x.net/fr/")),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r["verdict"] for r in queries.op9_url_filters(spark, str(tmp_path)).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "block", 6: "block"}
+
+
 # --- fingerprints ------------------------------------------------------------------------
 
 
