@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimscope.llm import language, lines, lm, merkle, mixing, packing, planes, quality, simhash, sql, tokens, urls
+from claimscope.llm import language, lines, lm, manifest, merkle, mixing, packing, planes, quality, simhash, sql, tokens, urls
 from claimscope.llm.common import documents
 
 
@@ -68,6 +68,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_report(documents(spark, sf_dir))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest_report(documents(spark, sf_dir))
+
+
 QUERIES = (
     op1_language_id,
     op2_quality_rules,
@@ -79,6 +83,7 @@ QUERIES = (
     op8_token_planes,
     op9_url_filters,
     op10_fingerprints,
+    op11_manifest,
 )
 
 

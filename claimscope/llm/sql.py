@@ -109,6 +109,51 @@ SELECT e.doc_id, CAST(length(e.t) AS BIGINT) AS n_chars, sha256(e.et) AS edited_
 FROM e JOIN fp a ON a.doc_id = e.doc_id AND a.k = 1 JOIN fp b ON b.doc_id = e.doc_id AND b.k = 2 JOIN fp c ON c.doc_id = e.doc_id AND c.k = 3
 """
 
+# CRC-32 from its table of bytes; trees and walks to the root level by level.
+_MANIFEST = r"""
+WITH RECURSIVE bits AS (
+  SELECT b, list_reduce(list_prepend(CAST(b AS BIGINT), range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(b)),
+crc AS (SELECT list(v ORDER BY b) AS tab FROM bits),
+d AS (SELECT documents.*, xor(list_reduce(list_prepend(4294967295::BIGINT, [CAST(ord(x) AS BIGINT) for x in string_split(CAST(doc_id AS VARCHAR), '')]),
+             lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS crc FROM documents, crc),
+p AS (SELECT doc_id, source, crc,
+             concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                    coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
+             coalesce(strlen(text) || ':' || text, '-') AS body,
+             coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-') AS cut FROM d),
+leaves AS (SELECT doc_id, coalesce('=' || source, '') AS tree, sha256(head || body) AS leaf,
+                  sha256(head || CASE WHEN crc % 2 = 0 THEN cut ELSE body END) AS found FROM p),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+nodes AS (
+  SELECT tree, 0 AS k, idx, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT tree, k + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY tree, k, n, idx // 3),
+runs AS (SELECT tree, k, idx // 3 AS run, n, list(h ORDER BY idx) AS hs FROM nodes GROUP BY tree, k, idx // 3, n),
+subs AS (SELECT tree, h AS sub, row_number() OVER (ORDER BY encode(tree)) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS k, idx, n, sub AS h FROM subs
+  UNION ALL
+  SELECT k + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM tops WHERE n > 1 GROUP BY k, n, idx // 3),
+top_runs AS (SELECT k, idx // 3 AS run, n, list(h ORDER BY idx) AS hs FROM tops GROUP BY k, idx // 3, n),
+walk AS (
+  SELECT doc_id, tree, leaf, 0 AS k, idx, n, found AS h, '' AS proof FROM placed
+  UNION ALL
+  SELECT doc_id, w.tree, leaf, w.k + 1, w.idx // 3, (w.n + 2) // 3,
+         sha256(array_to_string(hs[:w.idx % 3], '') || w.h || array_to_string(hs[w.idx % 3 + 2:], '')),
+         proof || array_to_string(hs[:w.idx % 3], '') || array_to_string(hs[w.idx % 3 + 2:], '')
+  FROM walk w JOIN runs r ON r.tree = w.tree AND r.k = w.k AND r.run = w.idx // 3 WHERE w.n > 1),
+climb AS (
+  SELECT doc_id, leaf, sub, 0 AS k, s.idx, s.n, h, proof FROM walk JOIN subs s USING (tree) WHERE walk.n = 1
+  UNION ALL
+  SELECT doc_id, leaf, sub, c.k + 1, c.idx // 3, (c.n + 2) // 3,
+         sha256(array_to_string(hs[:c.idx % 3], '') || c.h || array_to_string(hs[c.idx % 3 + 2:], '')),
+         proof || array_to_string(hs[:c.idx % 3], '') || array_to_string(hs[c.idx % 3 + 2:], '')
+  FROM climb c JOIN top_runs r ON r.k = c.k AND r.run = c.idx // 3 WHERE c.n > 1)
+SELECT doc_id, leaf, sub AS subroot, (SELECT h FROM tops WHERE n = 1) AS root, sha256(proof) AS proof_sha256,
+       h AS folded_root, h = (SELECT h FROM tops WHERE n = 1) AS verified
+FROM climb WHERE n = 1
+"""
+
 
 SQL = {
     "op2_quality_rules": _QUALITY,
@@ -116,4 +161,5 @@ SQL = {
     "op7_mixing": _MIXING,
     "op9_url_filters": _URLS,
     "op10_fingerprints": _MERKLE,
+    "op11_manifest": _MANIFEST,
 }
