@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimscope.llm import language, lines, lm, manifest, merkle, mixing, packing, planes, quality, simhash, sql, tokens, urls
+from claimscope.llm import collocations, language, lines, lm, manifest, merkle, mixing, packing, planes, quality, simhash, sql, tokens, urls
 from claimscope.llm.common import documents
 
 
@@ -72,6 +72,10 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest_report(documents(spark, sf_dir))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 QUERIES = (
     op1_language_id,
     op2_quality_rules,
@@ -84,6 +88,7 @@ QUERIES = (
     op9_url_filters,
     op10_fingerprints,
     op11_manifest,
+    op12_collocations,
 )
 
 

@@ -154,6 +154,35 @@ SELECT doc_id, leaf, sub AS subroot, (SELECT h FROM tops WHERE n = 1) AS root, s
 FROM climb WHERE n = 1
 """
 
+# Occurrences of all phrases of one to four words; joins on one text per language and phrase.
+_PHRASES = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+         string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS x FROM documents),
+pieces AS (SELECT doc, lang, generate_subscripts(x, 1) AS p, regexp_extract_all(unnest(x), '[^\x20\x09]+') AS ws FROM d),
+spots AS (SELECT doc, lang, p, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM pieces),
+rows_ AS (
+  SELECT lang, w AS w1, lead(w, 1) OVER s AS w2, lead(w, 2) OVER s AS w3, lead(w, 3) OVER s AS w4 FROM spots
+  WINDOW s AS (PARTITION BY doc, p ORDER BY i)),
+f AS MATERIALIZED (
+  SELECT lang, 1 AS m, w1 AS ph, count(*) AS f FROM rows_ GROUP BY ALL
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM rows_ WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM rows_ WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*) FROM rows_ WHERE w4 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT *, string_split(ph, ' ') AS ws FROM f WHERE m >= 2),
+heads AS (SELECT lang, ph, f AS a, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS tail FROM c, (VALUES (1), (2), (3)) ks(k) WHERE k < m),
+cuts AS (
+  SELECT h.*, l.f AS l, r.f AS r, CAST((2000000::HUGEINT * a) // (l.f + r.f) AS BIGINT) AS score
+  FROM heads h JOIN f l ON concat(l.lang, ' ', l.ph) = concat(h.lang, ' ', head) JOIN f r ON concat(r.lang, ' ', r.ph) = concat(h.lang, ' ', tail)),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
+parts AS (SELECT lang, array_to_string(ws[s:s + m - 1 - d], ' ') AS ph, f FROM c, (VALUES (1), (2)) ds(d), (VALUES (1), (2), (3)) ss(s) WHERE m - d >= 2 AND s <= d + 1),
+cover AS (SELECT lang, ph, max(f) AS f FROM parts GROUP BY lang, ph),
+kept AS (SELECT low.*, ph AS phrase FROM low LEFT JOIN cover USING (lang, ph) WHERE cover.f IS NULL OR 100 * cover.f < 80 * a),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranks JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 
 SQL = {
     "op2_quality_rules": _QUALITY,
@@ -162,4 +191,5 @@ SQL = {
     "op9_url_filters": _URLS,
     "op10_fingerprints": _MERKLE,
     "op11_manifest": _MANIFEST,
+    "op12_collocations": _PHRASES,
 }
