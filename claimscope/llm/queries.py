@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimscope.llm import collocations, language, lines, lm, manifest, merkle, mixing, packing, planes, quality, simhash, sql, tokens, urls
+from claimscope.llm import collocations, extraction, language, lines, lm, manifest, merkle, mixing, packing, planes, quality, simhash, sql, tokens, urls
 from claimscope.llm.common import documents
 
 
@@ -76,6 +76,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = (
     op1_language_id,
     op2_quality_rules,
@@ -89,6 +94,7 @@ QUERIES = (
     op10_fingerprints,
     op11_manifest,
     op12_collocations,
+    op13_html_extraction,
 )
 
 

