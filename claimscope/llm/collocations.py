@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimscope.llm.common import map_arrow, shared_table, ship_package
+from claimscope.llm.common import map_arrow, remove_table, shared_table, ship_package
 from claimscope.llm.ranks import PLACE_BITS, ranked
 
 LEAST = 30  # occurrences of a candidate
@@ -20,10 +21,12 @@ LONGEST = 4  # words of a candidate
 TOP = 2000  # phrases per language in the result
 SCALE = 2_000_000
 COVERED = 80  # percent of a phrase's occurrences inside one longer phrase, from which it goes
-CHUNK_BYTES = 2_000_000  # text that is encoded together; one longer document is a chunk of its own
+CHUNK_BYTES = 8_000_000  # text of a language that is encoded together; a longer document is a chunk of its own
+HELD_BYTES = 32_000_000  # text that a task holds, of all languages
 TILE_BITS = 8
 HEAD_TILES = 256  # tiles per side that may be counted densely: the most frequent 65,536 ids
 DENSE_SHARE = 4  # a tile is dense if it holds a pair for every so many cells
+HELD_PHRASES = 1_000_000  # pairs that every task may hold at once: 24 bytes each
 SPREAD = 64  # parts per language, in which the best phrases are sought first
 
 # The bytes that end a piece, and those that separate words.
@@ -78,39 +81,52 @@ def count_pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate([a, x[starts]]), np.concatenate([b, y[starts]]), np.concatenate([cells[found], counts]), index
 
 
-def _rows(lang: str | None, chunk: int, size: int, ids: np.ndarray, schema: pa.Schema, **columns) -> pa.Table:
-    """Entries 0 to ``size`` - 1 of a chunk's dictionary and, as one more row, its sequence of ids."""
-    given = {"chunk": np.full(size, chunk), "lang": pa.array([lang] * size, pa.string()), "pos": np.arange(size, dtype=np.int32), **columns}
-    entries = pa.table({f.name: pa.array(given[f.name], f.type) if f.name in given else pa.nulls(size, f.type) for f in schema}, schema)
-    one = {"chunk": chunk, "lang": lang, "ids": ids.astype("<i4").tobytes()}
-    line = pa.table({f.name: pa.array([one.get(f.name)], f.type) for f in schema}, schema)
-    return pa.concat_tables([entries, line])
+def _pack(ids: np.ndarray) -> bytes:
+    """Ids as byte planes of 64 bits each, compressed."""
+    planes = np.ascontiguousarray(ids, dtype="<i8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-_ENDS = [pa.field("n", pa.int64()), pa.field("ids", pa.binary())]
-_STARTS = [pa.field("chunk", pa.int64()), pa.field("lang", pa.string()), pa.field("pos", pa.int32())]
-_WORDS = pa.schema([*_STARTS, pa.field("word", pa.string()), *_ENDS])
-_PAIRS = pa.schema([*_STARTS, pa.field("left", pa.int64()), pa.field("right", pa.int64()), *_ENDS])
-_WORD_ROWS = "chunk long, lang string, pos int, word string, n long, ids binary"
-_PAIR_ROWS = "chunk long, lang string, pos int, left long, right long, n long, ids binary"
+def _unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").ravel()
+
+
+def _closed_up(line: np.ndarray) -> np.ndarray:
+    """A sequence in which breaks that follow each other are one."""
+    return line[(line >= 0) | np.append(True, line[:-1] >= 0)]
+
+
+def _neighbours(line: np.ndarray) -> np.ndarray:
+    """Places whose id and the next both are ids, not breaks."""
+    return np.flatnonzero((line[:-1] >= 0) & (line[1:] >= 0))
+
+
+_WORD_ROWS = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("pos", pa.int32()), ("word", pa.string()), ("n", pa.int64()), ("ids", pa.binary())])
+_LINES = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("ids", pa.binary())])
+_PAIRS = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("pos", pa.int32()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])
 
 
 def _encoded(texts: DataFrame) -> DataFrame:
-    """Texts as chunks: distinct words with their counts, and the sequence of their places among these."""
+    """Texts as chunks: distinct words with their counts, and as one more row the sequence of
+    their places among these."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held = TaskContext.get().partitionId() << PLACE_BITS, 0
-        known: dict[str | None, defaultdict] = {}
-        lines: dict[str | None, list[np.ndarray]] = defaultdict(list)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for lang, words in known.items():
-                ids = np.concatenate(lines[lang])
-                names = pa.array(list(words)[2:], pa.binary()).cast(pa.string())
-                counts = np.bincount(ids[ids >= 0], minlength=len(names))
-                yield from _rows(lang, chunk, len(names), ids, _WORDS, word=names, n=counts).to_batches()
-            known.clear()
-            lines.clear()
+        chunk = TaskContext.get().partitionId() << PLACE_BITS
+        known: dict[str, defaultdict] = {}
+        lines: dict[str, list[np.ndarray]] = defaultdict(list)
+        held: Counter[str] = Counter()
+
+        def flush(lang: str) -> Iterator[pa.RecordBatch]:
+            nonlocal chunk
+            ids = np.concatenate(lines.pop(lang))
+            names = pa.array(list(known.pop(lang))[2:], pa.binary()).cast(pa.string())
+            size, counts = len(names), np.bincount(ids[ids >= 0], minlength=len(names))
+            held.pop(lang)
+            chunk += 1
+            columns = [np.full(size, chunk), pa.array([lang] * size, pa.string()), np.arange(size, dtype=np.int32), names, counts, pa.nulls(size, pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _WORD_ROWS, strict=True)], schema=_WORD_ROWS)
+            yield pa.RecordBatch.from_pylist([{"chunk": chunk, "lang": lang, "ids": _pack(_closed_up(ids))}], schema=_WORD_ROWS)
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
@@ -124,41 +140,89 @@ def _encoded(texts: DataFrame) -> DataFrame:
                 ids = ids[ids != 1] - 2
                 ids[ids < 0] = BREAK
                 lines[lang].append(np.append(ids, np.int32(BREAK)))
-                held += len(text or b"")
-                if held >= CHUNK_BYTES:
-                    yield from flush()
-                    chunk, held = chunk + 1, 0
-        yield from flush()
+                held[lang] += len(text or b"")
+                if held[lang] >= CHUNK_BYTES:
+                    yield from flush(lang)
+                elif held.total() >= HELD_BYTES:
+                    for each in list(known):
+                        yield from flush(each)
+        for each in list(known):
+            yield from flush(each)
+
+    return map_arrow(texts, encode, "chunk long, lang string, pos int, word string, n long, ids binary")
 
-    return map_arrow(texts, encode, _WORD_ROWS)
 
+def _renamed(lines: DataFrame, names: DataFrame, paired: bool) -> DataFrame:
+    """Sequences with ids in the place of each chunk's own numbers (chunk, pos, id); breaks elsewhere.
 
-def _paired(table: DataFrame, ids: DataFrame) -> DataFrame:
-    """Chunks of the next level: pairs of neighbours that both have an id, in the form of the last."""
+    A number is a place in the chunk's words or, if ``paired``, in what :func:`count_pairs`
+    finds in its sequence.
+    """
 
-    def pair(chunk: pa.Table, names: pa.Table) -> pa.Table:
-        out = [_PAIRS.empty_table()]
+    def rename(chunk: pa.Table, names: pa.Table) -> pa.Table:
+        out = [_LINES.empty_table()]
         for row in chunk.to_pylist():
-            mine = names.filter(pc.equal(names["id_lang"], row["lang"]))
-            local = np.frombuffer(row["ids"], dtype="<i4")
-            table = np.full(int(local.max(initial=-1)) + 2, BREAK, dtype=np.int64)
-            table[mine["id_pos"].to_numpy()] = mine["id"].to_numpy()
-            line = table[local]  # a break is -1 and takes the last entry, a break too
-            line = line[(line >= 0) | np.append(True, line[:-1] >= 0)]
-            both = np.flatnonzero((line[:-1] >= 0) & (line[1:] >= 0))
-            left, right, counts, index = count_pairs(line[both], line[both + 1])
-            ids = np.full(len(line), BREAK, dtype=np.int64)
-            ids[both] = index
-            out.append(_rows(row["lang"], row["chunk"], len(left), ids, _PAIRS, left=left, right=right, n=counts))
+            line = _unpack(row["ids"])
+            if paired:
+                at = _neighbours(line)
+                index = count_pairs(line[at], line[at + 1])[3]
+                line = np.full(len(line), BREAK, dtype=np.int64)
+                line[at] = index
+            table = np.full(int(line.max(initial=-1)) + 2, BREAK, dtype=np.int64)
+            table[names["pos"].to_numpy()] = names["id"].to_numpy()
+            # A break is -1 and takes the last entry, a break too.
+            out.append(pa.Table.from_pylist([{**row, "ids": _pack(_closed_up(table[line]))}], schema=_LINES))
         return pa.concat_tables(out)
 
-    ship_package(table.sparkSession)
-    lines = table.where("ids is not null").select("chunk", "lang", "ids")
-    names = ids.select(*(F.col(c).alias(f"id_{c}") for c in ("chunk", "lang", "pos")), "id")
-    return lines.groupBy("chunk").cogroup(names.groupBy("id_chunk")).applyInArrow(pair, _PAIR_ROWS)
+    ship_package(lines.sparkSession)
+    given = names.select(F.col("chunk").alias("of"), F.col("pos").alias("pos"), "id")
+    return lines.select("chunk", "lang", "ids").groupBy("chunk").cogroup(given.groupBy("of")).applyInArrow(rename, "chunk long, lang string, ids binary")
+
 
+def _looked_up(lines: DataFrame, phrases: pa.Table) -> DataFrame:
+    """Sequences of pairs: the id of each pair of neighbours, from a table that every task holds whole."""
+    known = {}
+    for lang in pc.unique(phrases["lang"]).to_pylist():
+        mine = phrases.filter(pc.equal(phrases["lang"], lang))
+        codes = (mine["left"].to_numpy() << 32) | mine["right"].to_numpy()
+        order = np.argsort(codes)
+        known[lang] = codes[order], mine["id"].to_numpy()[order]
 
-def frequent_phrases(texts: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, list[DataFrame]]:
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = []
+            for lang, ids in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                line = _unpack(ids)
+                at = _neighbours(line)
+                out = np.full(len(line), BREAK, dtype=np.int64)
+                if lang in known:
+                    codes, names = known[lang]
+                    wanted = (line[at] << 32) | line[at + 1]
+                    spot = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+                    out[at] = np.where(codes[spot] == wanted, names[spot], BREAK)
+                packed.append(_pack(_closed_up(out)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], schema=_LINES)
+
+    return map_arrow(lines.select("chunk", "lang", "ids"), look_up, "chunk long, lang string, ids binary")
+
+
+def _pairs(lines: DataFrame) -> DataFrame:
+    """Each chunk's distinct pairs of neighbours, numbered, with their counts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, lang, ids in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                line = _unpack(ids)
+                at = _neighbours(line)
+                left, right, counts, _ = count_pairs(line[at], line[at + 1])
+                size = len(left)
+                columns = [np.full(size, chunk), pa.array([lang] * size, pa.string()), np.arange(size, dtype=np.int32), left, right, counts]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PAIRS, strict=True)], schema=_PAIRS)
+
+    return map_arrow(lines.select("chunk", "lang", "ids"), count, "chunk long, lang string, pos int, left long, right long, n long")
+
+
+def frequent_phrases(texts: DataFrame, least: int = LEAST, longest: int = LONGEST, held_phrases: int = HELD_PHRASES) -> tuple[DataFrame, list[DataFrame]]:
     """All words per language (lang, n), and for each length a table of its frequent phrases.
 
     ``texts`` has lang (not NULL) and text. A table has lang, id (rank by frequency, from 0),
@@ -166,23 +230,38 @@ def frequent_phrases(texts: DataFrame, least: int = LEAST, longest: int = LONGES
     start and its end. A phrase of ``least`` occurrences has no rarer part, so each level
     pairs only neighbours that are frequent themselves.
 
-    Texts are encoded chunk by chunk against the chunk's own dictionary, so no task holds
-    more than a chunk, and no dictionary is broadcast. A chunk's entries are summed over all
-    chunks, ranked, and joined back to the chunk.
+    Texts are encoded chunk by chunk against the chunk's own dictionary, whose entries are
+    summed over all chunks, ranked, and joined back to the chunk. So are the pairs of a
+    chunk, except that a table of at most ``held_phrases`` pairs is sent to all tasks whole.
+    Both ways give the same rows. What a level stored is deleted after the next has read it.
     """
-    table, keys, levels = shared_table(_encoded(texts), "phrases-1"), ["word"], []
-    for length in range(1, longest + 1):
-        entries = table.where("ids is null")
-        totals = entries.groupBy("lang", *keys).agg(F.sum("n").alias("f"))
-        if length == 1:
-            totals = shared_table(totals, "phrases-words")
-            words = totals.groupBy("lang").agg(F.sum("f").alias("n"))
-        order = [F.col("f").desc(), *(F.col(k) for k in keys)]
-        named = ranked(totals.where(F.col("f") >= least), "lang", order, f"phrases-{length}").drop("n")
-        levels.append(shared_table(named.withColumnRenamed("idx", "id"), f"phrases-{length}-ids"))
-        if length < longest:
-            ids = entries.join(levels[-1].select("lang", *keys, "id"), ["lang", *keys]).select("chunk", "lang", "pos", "id")
-            table, keys = shared_table(_paired(table, ids), f"phrases-{length + 1}"), ["left", "right"]
+
+    def ranks(entries: DataFrame, keys: list[str], length: int) -> DataFrame:
+        totals = entries.groupBy("lang", *keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        named = ranked(totals, "lang", [F.col("f").desc(), *(F.col(k) for k in keys)], f"phrases-{length}").drop("n")
+        return shared_table(named.withColumnRenamed("idx", "id"), f"phrases-{length}-ids")
+
+    coded = shared_table(_encoded(texts), "phrases-words", compression="zstd")
+    entries = coded.where("ids is null")
+    words = shared_table(entries.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-n")
+    levels = [ranks(entries, ["word"], 1)]
+    names = entries.join(levels[0].select("lang", "word", "id"), ["lang", "word"])
+    lines = shared_table(_renamed(coded.where("ids is not null"), names, paired=False), "phrases-lines")
+    remove_table(coded)
+    for length in range(2, longest + 1):
+        entries = _pairs(lines)
+        phrases = ranks(entries, ["left", "right"], length)
+        levels.append(phrases)
+        if length == longest:
+            break
+        size, most = phrases.agg(F.count("*"), F.max(F.greatest("left", "right"))).first()
+        if size <= held_phrases and (most or 0) < 1 << 31:
+            paired = _looked_up(lines, phrases.select("lang", "left", "right", "id").toArrow())
+        else:
+            names = entries.join(phrases.select("lang", "left", "right", "id"), ["lang", "left", "right"])
+            paired = _renamed(lines, names, paired=True)
+        done, lines = lines, shared_table(paired, "phrases-lines")
+        remove_table(done)
     return words, levels
 
 
@@ -214,7 +293,7 @@ def _score(a: Column, parts: Column) -> Column:
     return F.floor((product - F.pmod(product, parts)) / parts).cast("long")
 
 
-def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, longest: int = LONGEST, top: int | None = TOP) -> DataFrame:
+def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, longest: int = LONGEST, top: int | None = TOP, held_phrases: int = HELD_PHRASES) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first ``top`` phrases of each language, or all.
 
     A candidate has 2 to ``longest`` words and ``least`` occurrences, ``a``, within pieces;
@@ -227,7 +306,7 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     occur. Without candidates the result is empty.
     """
     texts = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
-    words, levels = frequent_phrases(texts, least, longest)
+    words, levels = frequent_phrases(texts, least, longest, held_phrases)
     spelled = _spelled(levels)
     whole = lambda c: c.cast("decimal(19,0)")
     found = None

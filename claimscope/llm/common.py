@@ -23,16 +23,25 @@ ROW = "_row"
 BATCH_ROWS = 512
 
 
-def shared_table(df: DataFrame, label: str) -> DataFrame:
+def shared_table(df: DataFrame, label: str, **options: str) -> DataFrame:
     """The rows of ``df``, written once below ``spark.checkpoint.dir`` and read back.
 
     Later steps then neither repeat the work nor depend on executors that may be lost.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def remove_table(table: DataFrame) -> None:
+    """Delete what :func:`shared_table` stored, once nothing reads it any more."""
+    folders = {os.path.dirname(name) for name in table.inputFiles()}
+    context = table.sparkSession.sparkContext
+    for folder in folders:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give this package's source to the executors, once per Spark context."""
     context = spark.sparkContext
