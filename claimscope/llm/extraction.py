@@ -481,8 +481,11 @@ def trained(pages: DataFrame, page_html: str = "html", sample_pages: int = SAMPL
     """
     text = F.col(f"`{page_html}`").cast("string")
     drawn = pages.select(text.alias("html")).where(F.length("html").between(1, SAMPLE_CHARS))
-    drawn = drawn.select(F.xxhash64("html", F.lit(13)).alias("h"), "html").dropDuplicates(["h"]).orderBy("h").limit(sample_pages)
-    return fit(labelled_pages([r["html"] for r in drawn.collect()]))
+    drawn = drawn.select(F.xxhash64("html", F.lit(13)).alias("h"), "html")
+    # Hashes first: only they are dealt out, not the pages.
+    least = [r["h"] for r in drawn.select("h").distinct().orderBy("h").limit(sample_pages).collect()]
+    some = drawn.where(F.col("h").isin(least)).dropDuplicates(["h"]).orderBy("h").collect()
+    return fit(labelled_pages([r["html"] for r in some]))
 
 
 def main_text(page: str | None, model: Model) -> str:
