@@ -77,6 +77,23 @@ def scan_inferred(s: Standins):
     )
 
 
+def scan_records(s: Standins):
+    """Whole texts, whose cells hold quotes and line ends, in records that are cut in parallel."""
+    docs = s.base("documents").select("doc_id", "lang", "text", "n_chars")
+    return delimited.read_typed(s.spark, landed(s, docs, "records"), docs.schema, multi_line=True)
+
+
+def reject_rows(s: Standins):
+    """Claims landed with a cell missing or in excess, each for other causes of damage."""
+    cause = F.col("causeOfDamage")
+    shown = s.claims.select(cause, F.concat_ws(",", F.col("id"), F.col("yearOfLoss").cast("string")).alias("head"))
+    line = F.when(cause == "1", F.col("head")).when(cause == "2", F.concat("head", F.lit(',"a, b",x'))).otherwise(F.concat("head", F.lit(",c")))
+    path = scratch_path(s.spark, "odd-rows")
+    shown.select(line.alias("value")).write.text(path)
+    rows = delimited.read_text_columns(s.spark, path, ["id", "year", "cell"], header=False, malformed=True, landed=True)
+    return delimited.rejected(rows, 3).select("text", "reason")
+
+
 def reordered(s: Standins):
     """File order differs from table order; names bind them."""
     in_file = CELLS[::-1]
@@ -198,6 +215,12 @@ def checks():
           {quo("real", "n * 1000000000")} as "{AVG_BUCKET}", {scaled("real", 9)} as "{SUM_BUCKET}" from buckets""",
         {"buckets": BUCKETS},
     )
+    yield "scan_csv_records", scan_records, "select doc_id, lang, text, n_chars from documents"
+    yield "load_reject_rows", reject_rows, with_views(
+        """select concat_ws(',', id, yearOfLoss) || case when causeOfDamage = '2' then ',"a, b",x' else '' end as text,
+          case when causeOfDamage = '1' then 'too short: 2 of 3 cells' else 'too long: 4 of 3 cells' end as reason
+        from claims where causeOfDamage in ('1', '2')"""
+    )
     yield (
         "scan_full_table",
         lambda s: tables.read_table(s.spark, f"{s.sf_dir}/lineitem.parquet").withColumn(

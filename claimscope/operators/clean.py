@@ -39,20 +39,35 @@ def with_clean_zip(claims: DataFrame) -> DataFrame:
     return claims.withColumn("clean_zip", zip5(F.col("reportedZipCode")))
 
 
+# Typed rows of the keyed tables. Their keys repeat in the feeds; ``keep_first`` leaves one row
+# of each, and reads its input three times: store the typed rows before.
+CROSSWALK_KEY = ("zip_code",)
+LAND_KEY = ("ZCTA20", "YEAR")
+INDEX_KEY = ("observation_date",)
+
+
+def typed_crosswalk(raw: DataFrame) -> DataFrame:
+    """Blank areas become NULL."""
+    return conform(raw, schemas.CROSSWALK).withColumn("zcta", blank_to_null(F.col("zcta")))
+
+
+def typed_price_index(raw: DataFrame, blank_numeric: str = "null") -> DataFrame:
+    return with_index_year(conform(raw, schemas.PRICE_INDEX_FILE, blank_numeric))
+
+
 def clean_crosswalk(raw: DataFrame) -> DataFrame:
     """Blank areas become NULL; one row per postal code."""
-    typed = conform(raw, schemas.CROSSWALK).withColumn("zcta", blank_to_null(F.col("zcta")))
-    return keep_first(typed, ["zip_code"])
+    return keep_first(typed_crosswalk(raw), CROSSWALK_KEY)
 
 
 def clean_land_cover(raw: DataFrame, blank_numeric: str = "null") -> DataFrame:
     """One row per area and year."""
-    return keep_first(conform(raw, schemas.LAND_COVER, blank_numeric), ["ZCTA20", "YEAR"])
+    return keep_first(conform(raw, schemas.LAND_COVER, blank_numeric), LAND_KEY)
 
 
 def clean_price_index(raw: DataFrame, blank_numeric: str = "null") -> DataFrame:
     """One row per observation date, with its year."""
-    return keep_first(with_index_year(conform(raw, schemas.PRICE_INDEX_FILE, blank_numeric)), ["observation_date"])
+    return keep_first(typed_price_index(raw, blank_numeric), INDEX_KEY)
 
 
 def with_index_year(index: DataFrame) -> DataFrame:

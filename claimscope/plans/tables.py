@@ -30,6 +30,7 @@ class Warehouse:
         "land": "land_cover",
         "index": "price_index",
         "counties": "counties",
+        "rejects": "rejects",
     }
 
     def __init__(self, spark: SparkSession, path: str):
@@ -62,3 +63,8 @@ class Warehouse:
     @cached_property
     def counties(self) -> DataFrame:
         return self._open("counties")
+
+    @cached_property
+    def rejects(self) -> DataFrame:
+        """Malformed rows of all feeds: feed, file, split, row, text, reason."""
+        return self._open("rejects")
