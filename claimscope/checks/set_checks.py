@@ -411,18 +411,18 @@ def aggregate_checks():
 
 
 def mean_median(s: Standins):
-    """Sum, mean and exact median of the payment per cause, over payments stored once."""
+    """Sum, mean and exact median of the payment per cause, all from one count of the payments."""
     payments = s.claims.select(
         "causeOfDamage",
         M.total_paid(F.col("amountPaidOnBuildingClaim"), F.col("amountPaidOnContentsClaim")).alias("paid"),
     )
-    paid = stored(payments, "payments")
+    counted = A.value_counts(payments, "causeOfDamage", "paid")
     totals = (
-        paid.groupBy("causeOfDamage")
-        .agg(F.sum("paid").alias("total"), F.count("paid").alias("n"))
+        counted.groupBy("causeOfDamage")
+        .agg(F.sum(F.col("paid") * F.col("rows")).cast("decimal(38,2)").alias("total"), F.sum("rows").alias("n"))
         .select("causeOfDamage", "total", M.quotient(F.col("total"), F.col("n"), 6, 2).alias("mean"))
     )
-    return totals.join(A.exact_median(paid, "causeOfDamage", "paid", "median"), "causeOfDamage", "left")
+    return totals.join(A.median_of_counts(counted, "causeOfDamage", "paid", "median"), "causeOfDamage", "left")
 
 
 def ordering_checks():

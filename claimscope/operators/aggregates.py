@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimscope.constants import RATE_DIGITS, SEVERE_DEPTH_INCHES
 from claimscope.functions.money import paid, quotient, total_paid
-from claimscope.sources.tables import stored
 
 BUILDING = "amountPaidOnBuildingClaim"
 CONTENTS = "amountPaidOnContentsClaim"
@@ -88,48 +89,95 @@ def weighted_average(df: DataFrame, keys: Sequence[str], total: str, weight: str
     return sums.select(*keys, F.when(F.col("_weight") > 0, value).otherwise(zero).alias(to))
 
 
-def exact_median(df: DataFrame, key: str, value: str, to: str, around: float = 0.0005) -> DataFrame:
-    """Exact median per group; only values close to the middle are shuffled.
+# --- exact median ------------------------------------------------------------
+# A bin is a range of values: first all with the same sign, magnitude and three leading
+# digits, then a thousandth of the range that is left.
+LEADING = 1000
+STEPS = 1000
 
-    Two approximate quantiles just below and above the median, from a sketch of bounded size
-    per group, cut every group in three. Inside each task the rows below and within the cuts
-    are counted, and only the values within, about a thousandth of the group, leave the
-    task, merged into one counted row per value. The sketch merely decides where to cut, with an
-    error of a fifth of ``around`` at most; the ranks are counted exactly, and a middle rank
-    outside the cuts would stop the query.
 
-    ``df`` is read twice; give a stored table if it is costly to compute. The cuts, one row
-    per group, are found and stored when the result is built: Spark then knows their size
-    and broadcasts them if they are small, so that the rows need not be dealt out to meet
-    them.
-    """
-    present = df.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).select(
-        F.col(key).alias("_key"), F.col(value).alias("_value")
-    )
-    cuts = present.groupBy("_key").agg(
-        F.percentile_approx("_value", [0.5 - around, 0.5 + around], int(5 / around)).alias("_cuts"),
-        F.count(F.lit(1)).alias("_size"),
+def _leading_digits(value: Column) -> Column:
+    """A number that never falls while ``value`` rises: sign, magnitude and leading digits."""
+    x = value.cast("double")
+    size = F.abs(x)
+    magnitude = F.greatest(F.floor(F.log10(size)), F.lit(-300))
+    lead = F.floor(size / F.pow(F.lit(10.0), magnitude - 2))
+    code = (magnitude + 400) * LEADING + lead
+    infinite = F.lit(float("inf"))
+    # NaN comes after all numbers, as in a sort.
+    return (
+        F.when(F.isnan(x), F.lit(1_000_000_000))
+        .when(size == infinite, F.when(x > 0, F.lit(900_000_000)).otherwise(F.lit(-900_000_000)))
+        .when(size == 0, F.lit(0))
+        .when(x > 0, code)
+        .otherwise(-code)
+        .cast("bigint")
     )
-    parted = present.join(stored(cuts, "cuts").select(F.col("_key").alias("_group"), "_cuts", "_size"), F.col("_key") == F.col("_group"))
-    # The sketch works on doubles: compare as doubles, with room for what rounding moves a cut.
-    kind = df.schema[value].dataType
-    step = 10.0 ** -kind.scale if kind.typeName() == "decimal" else 0.0
-    near = F.col("_value").cast("double")
-    low_cut, high_cut = (F.col("_cuts")[k].cast("double") for k in (0, 1))
-    low_cut, high_cut = low_cut - F.abs(low_cut) * 1e-12 - step, high_cut + F.abs(high_cut) * 1e-12 + step
-    part = F.when(near < low_cut, -1).when(near <= high_cut, 0).otherwise(1)
-    shown = F.when(part == 0, F.col("_value"))
-    counted = parted.groupBy("_key", "_size", part.alias("_part"), shown.alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
-
-    # Rows below the cuts carry no value: one row per group and task, first in order.
-    order = Window.partitionBy("_key").orderBy("_part", "_value")
-    ranked = counted.withColumn("_rank", F.sum("_n").over(order))
-    low, high = F.expr("(_size + 1) div 2"), F.expr("_size div 2 + 1")
-    ends = ranked.filter((F.col("_rank") - F.col("_n") < high) & (F.col("_rank") >= low))
-    outside = F.raise_error(F.lit("a middle rank lies outside the cuts of the sketch"))
+
+
+def _step(value: Column, least: Column, most: Column) -> Column:
+    """The place of a value between two others, in ``STEPS`` steps."""
+    low, span = least.cast("double"), most.cast("double") - least.cast("double")
+    return F.when((least == most) | (span == 0), F.lit(0)).otherwise(F.floor((value.cast("double") - low) / span * STEPS)).cast("bigint")
+
+
+def _holders(bins: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of each group's bins the one that holds the row with rank ``_rank``, which then counts within it."""
+    order = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = bins.withColumn("_upto", F.sum("_n").over(order))
+    held = upto.filter((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank")))
+    return held.withColumn("_rank", F.col("_rank") - (F.col("_upto") - F.col("_n"))).drop("_upto", "_n")
+
+
+def _in_bin(rows: DataFrame, bins: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of the bins; compared so that no condition on the rows reaches their source."""
+    on = [*keys, "_bin"]
+    renamed = bins.select(*[F.col(c).alias(f"_of{c}" if c in on else c) for c in bins.columns])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in on])
+    return rows.join(renamed, same).drop("_bin", *[f"_of{c}" for c in on])
+
+
+def value_counts(df: DataFrame, key: str, value: str, *others: str) -> DataFrame:
+    """How often each value occurs per key: the form from which medians and totals are taken.
+
+    The count combines inside each task and is the only shuffle of rows, spread by key and
+    value. All that is taken from it in one plan shares that shuffle, so ``df`` is computed
+    once. ``others`` are further columns to count by.
+    """
+    return df.groupBy(key, value, *others).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def median_of_counts(counted: DataFrame, key: str, value: str, to: str) -> DataFrame:
+    """Exact median per key, by rank, from :func:`value_counts`; nothing runs until it is read.
+
+    The counts are summed per bin of leading digits, a few thousand bins per key at most; a
+    running sum over these finds the bins that hold the two middle ranks. Their values are
+    binned once more, more finely, and only the values of one such bin are looked at one by
+    one. No key's values meet in one task. NULL keys and values do not count.
+    """
+    # A filter would reach the rows below the count, which totals could then not share.
+    present = F.when(F.col(key).isNotNull() & F.col(value).isNotNull(), F.col("rows")).otherwise(F.lit(0))
+    first = counted.select(F.col(key).alias("_key"), F.col(value).alias("_value"), present.alias("_n")).withColumn("_bin", _leading_digits(F.col("_value")))
+    extent = (F.sum("_n").alias("_n"), F.min("_value").alias("_least"), F.max("_value").alias("_most"))
+    bins = first.groupBy("_key", "_bin").agg(*extent)
+    size = F.sum("_n").over(Window.partitionBy("_key"))
+    middles = F.array(*[F.struct(F.lit(k).alias("_end"), F.expr(rank).alias("_rank")) for k, rank in enumerate(("(_size + 1) div 2", "_size div 2 + 1"))])
+    ranked = bins.withColumn("_size", size).select("_key", "_bin", "_n", "_least", "_most", F.inline(middles))
+    near = _in_bin(first, _holders(ranked, ["_key", "_end"]), ["_key"])
+    near = near.withColumn("_bin", _step(F.col("_value"), F.col("_least"), F.col("_most"))).drop("_least", "_most")
+    finer = near.groupBy("_key", "_end", "_bin").agg(F.sum("_n").alias("_n"), F.max("_rank").alias("_rank"))
+    left = _in_bin(near.drop("_rank"), _holders(finer, ["_key", "_end"]), ["_key", "_end"])
+    # What shares a bin now: the few different values within a millionth of a power of ten.
+    values = left.select("_key", "_end", "_rank", "_n", F.col("_value").alias("_bin"))
+    ends = _holders(values, ["_key", "_end"])
+    # The key as a measure, so that no condition on it reaches the rows either.
     return (
         ends.groupBy("_key")
-        .agg(F.min("_value").alias("_a"), F.max("_value").alias("_b"), F.max(F.abs("_part")).alias("_out"))
-        .withColumn("_a", F.when(F.col("_out") == 0, F.col("_a")).otherwise(outside.cast(kind)))
-        .select(F.col("_key").alias(key), ((F.col("_a") + F.col("_b")) / 2).alias(to))
+        .agg(F.max("_key").alias(key), F.min("_bin").alias("_a"), F.max("_bin").alias("_b"))
+        .select(key, ((F.col("_a") + F.col("_b")) / 2).alias(to))
     )
+
+
+def exact_median(df: DataFrame, key: str, value: str, to: str) -> DataFrame:
+    """Exact median per key; ``df`` is computed once."""
+    return median_of_counts(value_counts(df, key, value), key, value, to)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from claimscope import constants as K
 from claimscope.functions.landcover import FLOOD_TYPE_SCHEME, Scheme, density_band
 from claimscope.functions.text import count_label, without_rank_prefix, wrapped_label
-from claimscope.operators.aggregates import exact_median, weighted_average
+from claimscope.operators.aggregates import median_of_counts, value_counts, weighted_average
 from claimscope.operators.ordering import in_declared_order, rows_of_top_keys
 from claimscope.operators.reshape import only_known, pivot_cells, pivot_mean
 from claimscope.plans.reports import BUCKET
@@ -61,8 +61,8 @@ def band_trend(buckets: DataFrame) -> DataFrame:
 def heatmap(buckets: DataFrame, cell: str, years: Sequence[int] | None = None) -> DataFrame:
     """Bucket by year matrix, highest bucket first.
 
-    Without ``years`` there is a column for every year of the report, looked up when the
-    matrix is built. Given years must hold all of the report's.
+    Without ``years`` there is a column for every year of the report, which is then computed,
+    once, when the matrix is built. Given years must hold all of the report's.
     """
     typed = buckets.withColumn("Year", F.col("Year").cast("int"))
     return pivot_cells(typed, BUCKET, "Year", years, cell).orderBy(F.desc(BUCKET))
@@ -110,7 +110,11 @@ def flood_type_mix(
 
 def storm_environment(storms: DataFrame, base_year: int = K.BASE_YEAR) -> DataFrame:
     """Incidents per environment with the plain mean and median of its group averages,
-    most incidents first."""
+    most incidents first.
+
+    The report is computed once, whether it was stored or not: totals and median are taken
+    from one count of its rows.
+    """
     average = f"avg_building_payout_{base_year}_dollars"
     named = storms.select(
         without_rank_prefix(F.col("environment_type")).alias("env_short"),
@@ -118,12 +122,15 @@ def storm_environment(storms: DataFrame, base_year: int = K.BASE_YEAR) -> DataFr
         "total_incidents",
         average,
     )
-    totals = named.groupBy("env_short").agg(
+    counted = value_counts(named, "env_short", average, "env_label", "total_incidents")
+    # Every row again: a mean keeps more digits than a product of wide decimals has room for.
+    each = counted.select("*", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("_copy"))
+    totals = each.groupBy("env_short").agg(
         F.max("env_label").alias("env_label"),
         F.sum("total_incidents").alias("total_incidents_sum"),
         F.avg(average).alias("avg_payout_mean"),
     )
-    middle = exact_median(named, "env_short", average, "median_payout")
+    middle = median_of_counts(counted, "env_short", average, "median_payout")
     return totals.join(middle, "env_short", "left").orderBy(F.desc("total_incidents_sum"))
 
 

@@ -8,9 +8,10 @@ from claimscope.checks import report_checks as C
 from claimscope.checks.standins import Standins
 from claimscope.operators import aggregates as A
 from claimscope.plans import reports as R
+from claimscope.plans import summaries as S
 from claimscope.plans.tables import Tables, Warehouse
 from claimscope.session import scratch_path
-from claimscope.sources.tables import write_by_year
+from claimscope.sources.tables import stored, write_by_year
 
 SF = "/root/testdata/sf0.001"
 
@@ -114,12 +115,67 @@ def test_storm_report_over_a_scratch_folder_scans_the_claims_once(spark, house):
     assert key(stored) == key(REPORTS["storm_control"](house))
 
 
-def test_only_values_near_the_median_leave_a_task(spark, house):
-    plan = physical(A.exact_median(house.claims.selectExpr("causeOfDamage as k", "waterDepth as v"), "k", "v", "m"))
-    # the rows are counted per part, with a value only in the middle part, before the exchange
-    exchanges = re.findall(r"Exchange hashpartitioning\([^\n]*\n([^\n]*)", plan)
-    assert "BroadcastHashJoin" in plan and exchanges
-    assert all("HashAggregate" in below or "Sort" in below for below in exchanges[1:]) and "partial_count" in exchanges[-1]
+def jobs_started(spark, build):
+    """What ``build`` returns, and the jobs it ran."""
+    group = f"build-{build}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return build(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def final_plan(df):
+    df.collect()
+    return physical(df).split("== Initial Plan ==")[0]
+
+
+def test_median_and_totals_read_their_rows_once_and_start_no_job(spark, house):
+    claims = house.claims  # looks into the files once, by a job
+
+    def build():
+        counted = A.value_counts(claims, "causeOfDamage", "waterDepth")
+        totals = counted.groupBy("causeOfDamage").agg(R.F.sum(R.F.col("waterDepth") * R.F.col("rows")).alias("total"))
+        return totals.join(A.median_of_counts(counted, "causeOfDamage", "waterDepth", "median"), "causeOfDamage", "left")
+
+    both, jobs = jobs_started(spark, build)
+    assert jobs == 0
+    plan = final_plan(both)
+    # rows are counted by value before the only exchange that they go through
+    assert len(re.findall("FileScan parquet", plan)) == 1 and "ReusedExchange" in plan
+    assert "partial_count" in plan
+
+
+def test_storm_summary_computes_its_report_once(spark, house):
+    report = R.storm_control(house, generic=C.GENERIC, min_claims=100, base_year=C.BASE)
+    alone = len(scans_of_claims(final_plan(report)))
+    summary, jobs = jobs_started(spark, lambda: S.storm_environment(report, C.BASE))
+    assert jobs == 0 and summary.count() > 0
+    assert len(scans_of_claims(final_plan(summary))) <= alone
+    stored_report = stored(report, "test-report")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(summary) == key(S.storm_environment(stored_report, C.BASE))
+
+
+def test_heat_map_computes_its_report_once(spark, house):
+    report = C.buckets(house)
+    matrix, jobs = jobs_started(spark, lambda: S.heatmap_volume(report))
+    assert jobs > 0 and not scans_of_claims(final_plan(matrix))
+    years = sorted({r["Year"] for r in report.collect()})
+    assert matrix.columns[1:] == [str(y) for y in years]
+    given, jobs = jobs_started(spark, lambda: S.heatmap_volume(report, years))
+    assert jobs == 0
+    assert sorted(map(tuple, matrix.collect())) == sorted(map(tuple, given.collect()))
+
+
+def test_median_of_a_hot_key_spreads_over_tasks(spark):
+    """A third of the rows, all of one key: no window holds more than bins or one bin's values."""
+    df = spark.range(0, 60000, 1, 6).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 1000)) as k", "cast(id * 7919 % 60013 as decimal(12,2)) as v")
+    got = {r["k"]: r["m"] for r in A.exact_median(df, "k", "v", "m").collect()}
+    hot = sorted(i * 7919 % 60013 for i in range(0, 60000, 3))
+    assert got["hot"] == (hot[9999] + hot[10000]) / 2
+    plan = physical(A.exact_median(df, "k", "v", "m"))
+    assert re.search(r"Exchange hashpartitioning\(k#\d+, v#\d+", plan) and not re.search(r"Window .*windowspecdefinition\(k#", plan)
 
 
 @pytest.mark.parametrize("name", ["agg_max_text", "group_by_ordinal", "dedup_keep_one"])
