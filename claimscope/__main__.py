@@ -65,8 +65,9 @@ def main(argv: list[str] | None = None) -> None:
         loading.add_argument(f"--{name}", required=True)
     loading.add_argument("--places")
     loading.add_argument("--blank-numeric", choices=("null", "zero"), default="null")
-    loading.add_argument("--multi-line", action="store_true", help="line ends inside quoted cells")
+    loading.add_argument("--multi-line", action="store_true", help="line ends inside quoted cells, in all feeds")
     loading.add_argument("--refuse", action="store_true", help="fail unless the load is clean")
+    loading.add_argument("--buckets", type=int, help="bucket tables by postal code and area")
     auditing = commands.add_parser("audit")
     auditing.add_argument("warehouse")
     auditing.add_argument("--claims", required=True)
@@ -80,7 +81,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("claimscope").getOrCreate()
     if args.command == "load":
         raw = RawFiles(args.claims, args.crosswalk, args.land, args.index, args.places)
-        print(load(spark, raw, args.warehouse, args.blank_numeric, args.multi_line, args.refuse).report)
+        print(load(spark, raw, args.warehouse, args.blank_numeric, args.multi_line, args.refuse, args.buckets).report)
     elif args.command == "audit":
         house = Warehouse(spark, args.warehouse)
         reconcile(read_raw_claims(spark, args.claims), house.claims).show()

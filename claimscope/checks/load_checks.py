@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimscope.checks.oracle_parts import dbl, quo, real9, scaled, with_views
-from claimscope.checks.report_checks import AVG_BUCKET, BASE, BUCKETS, FIRST, SUM_BUCKET, TREND, buckets, trend
+from claimscope.checks.report_checks import AVG_BUCKET, BASE, BUCKETS, FIRST, SUM_BUCKET, TREND, trend
+from claimscope.checks.report_checks import buckets as bucket_report
 from claimscope.checks.standins import Standins
 from claimscope.operators import clean, joins, quality
 from claimscope.plans.reports import BUCKET
 from claimscope.schemas import columns
 from claimscope.session import scratch_path
-from claimscope.sources import catalogue, delimited, tables
+from claimscope.sources import buckets, catalogue, delimited, tables
 
 CELLS = [
     "id",
@@ -68,7 +69,7 @@ def scan_headerless(s: Standins):
 
 def scan_inferred(s: Standins):
     """An exported report, types found by reading it."""
-    found = delimited.read_inferred(s.spark, landed(s, buckets(s), "export", one_file=True))
+    found = delimited.read_inferred(s.spark, landed(s, bucket_report(s), "export", one_file=True))
     return found.select(
         F.col("Year"),
         F.col(BUCKET),
@@ -174,6 +175,41 @@ def by_catalogue(s: Standins):
     return catalogue.cast_by_catalogue(raw, catalogue.read_catalogue(s.spark, path))
 
 
+def _orders_catalogue(s: Standins):
+    """Orders landed as text under a key that repeats: customer and status."""
+    fields = [("o_custkey", "bigint", True), ("o_orderstatus", "text", True), ("o_orderkey", "bigint", False), ("o_orderdate", "date", False)]
+    path = scratch_path(s.spark, "keyed-catalogue")
+    s.spark.createDataFrame([(fields,)], catalogue.CATALOGUE_SCHEMA).coalesce(1).write.json(path)
+    names = [f[0] for f in fields]
+    # In some rows a part of the key is not what it should be.
+    custkey = F.when(F.col("o_orderkey") % 97 == 0, F.lit("none")).otherwise(F.col("o_custkey").cast("string"))
+    orders = s.base("orders").withColumn("o_orderdate", F.to_date("o_orderdate")).withColumn("o_custkey", custkey)
+    raw = delimited.read_text_columns(s.spark, landed(s, orders.select(*names), "keyed"), names)
+    return catalogue.keyed_by_catalogue(raw, catalogue.read_catalogue(s.spark, path))
+
+
+def repeated_keys(s: Standins):
+    return _orders_catalogue(s).repeated
+
+
+def first_of_keys(s: Standins):
+    """One row per key, by the other columns as the landing order is not kept here."""
+    return _orders_catalogue(s).first()
+
+
+def bucketed(s: Standins):
+    """Claims per area, from tables bucketed by postal code on both sides."""
+    paths = scratch_path(s.spark, "claims-bucketed"), scratch_path(s.spark, "crosswalk-bucketed")
+    claims = s.claims.select("id", "clean_zip", "yearOfLoss", "amountPaidOnBuildingClaim")
+    buckets.write_bucketed(claims, paths[0], "clean_zip", 8, ["yearOfLoss"])
+    buckets.write_bucketed(s.crosswalk, paths[1], "zip_code", 8)
+    sums = buckets.read_bucketed(s.spark, paths[0]).groupBy("clean_zip", "yearOfLoss").agg(
+        F.count("id").alias("claims"), F.sum("amountPaidOnBuildingClaim").alias("paid")
+    )
+    codes = buckets.read_bucketed(s.spark, paths[1]).select("zip_code", "zcta")
+    return sums.join(codes, F.col("clean_zip") == F.col("zip_code")).drop("zip_code")
+
+
 def counts(s: Standins):
     return quality.row_counts(
         {"claims": s.claims, "crosswalk": s.crosswalk, "land": s.land, "price_index": s.index}
@@ -282,6 +318,10 @@ def checks():
         f"""select clean_zip, count(*) as claims, {dbl("sum(amountPaidOnBuildingClaim)")} as paid from claims
         where yearOfLoss = {BASE} group by clean_zip"""
     )
+    yield "layout_bucketed", bucketed, with_views(
+        f"""select clean_zip, yearOfLoss, zcta, count(*) as claims, {dbl("sum(amountPaidOnBuildingClaim)")} as paid
+        from claims join crosswalk on clean_zip = zip_code group by all"""
+    )
     drawn = ", ".join(f"coalesce(cast({c} as varchar), '~')" for c in CELLS)
     yield "sample_random_n", lambda s: quality.random_sample(cells(s), 1000), with_views(
         f"""select {CELLS_SQL} from (select *, concat_ws('|', {drawn}) as cells from claims)
@@ -297,6 +337,19 @@ def checks():
     yield "cast_by_catalogue", by_catalogue, with_views(
         f"""select {CELLS_SQL.replace("waterDepth", DEPTH_OR_NULL)} from claims"""
     )
+    yield (
+        "catalogue_key_repeats",
+        repeated_keys,
+        """select o_custkey, o_orderstatus, count(*) as rows from orders where o_orderkey % 97 <> 0
+        group by all having count(*) > 1""",
+    )
+    yield (
+        "catalogue_key_first",
+        first_of_keys,
+        """select o_custkey, o_orderstatus, o_orderkey, cast(o_orderdate as date) as o_orderdate from orders
+        where o_orderkey % 97 <> 0
+        qualify row_number() over (partition by o_custkey, o_orderstatus order by o_orderkey, o_orderdate) = 1""",
+    )
     yield "row_count_by_table", counts, with_views(
         " union all ".join(
             f"select '{t}' as table_name, count(*) as row_count from {t}"

@@ -140,11 +140,11 @@ def real9(cents: str, r14: str = "r14") -> str:
     return f"((2 * ({cents}) * {r14} + {step}) // (2 * {step}))"
 
 
-# Land classes in their own words: shares, limits and labels are spelled out here once more,
-# so that a wrong rule in the library cannot agree with itself.
+# Land classes in their own words. Shares, limits and labels are spelled out here
+# once more, so that a wrong rule in the library cannot agree with itself.
 _URBAN = "PROP_DEV_MEDINTENSITY + PROP_DEV_HIINTENSITY"
-_WET = "PROP_HERBWET + PROP_WOODYWET"
-_WOODS = "PROP_SHRUBSCRUB + PROP_MIXEDFOREST + PROP_EVERGREENFOREST + PROP_DECIDUOUSFOREST"
+_WET = "PROP_WOODYWET + PROP_HERBWET"
+_WOODS = "PROP_DECIDUOUSFOREST + PROP_EVERGREENFOREST + PROP_MIXEDFOREST + PROP_SHRUBSCRUB"
 COST_CASE = f"""case when {_URBAN} > 0.5 then 'Highly Developed (>50%)'
   when {_WET} + PROP_DECIDUOUSFOREST > 0.5 then 'Highly Natural/Wetland (>50%)' else 'Mixed/Other' end"""
 FLOOD_TYPE_CASE = f"""case when {_URBAN} > 0.4 then 'High Concrete'
@@ -153,7 +153,7 @@ STORM_CASE = f"""case when {_WET} >= 0.25 then '1. Wetland Buffer (High Absorpti
   when {_URBAN} >= 0.5 then '2. Dense Urban (Concrete Shield)'
   when PROP_DEV_LOWINTENSITY + {_URBAN} >= 0.5 then '3. Suburban Sprawl'
   when {_WOODS} >= 0.5 then '4. Forest/Wildland (Natural Sponge)'
-  when PROP_CULTCROPS + PROP_PASTUREHAY >= 0.5 then '5. Agricultural/Rural (Moderate Runoff)'
+  when PROP_PASTUREHAY + PROP_CULTCROPS >= 0.5 then '5. Agricultural/Rural (Moderate Runoff)'
   else '6. Mixed/Transition Zone' end"""
 
 

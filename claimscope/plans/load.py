@@ -18,6 +18,7 @@ from claimscope import schemas
 from claimscope.operators import clean, joins, quality
 from claimscope.plans.tables import Warehouse
 from claimscope.sources import delimited
+from claimscope.sources.buckets import UnevenBuckets, write_bucketed
 from claimscope.sources.tables import stored, write_by_year
 
 
@@ -95,6 +96,7 @@ def load(
     blank_numeric: str = "null",
     multi_line: bool = False,
     refuse: bool = False,
+    buckets: int | None = None,
 ) -> Warehouse:
     """Write all tables below ``warehouse`` and check them; the result is in ``.report``.
 
@@ -103,6 +105,10 @@ def load(
     of any feed are loaded as far as they go, counted, and listed in the table ``rejects``.
     With ``refuse`` a load that is not clean raises ``LoadRefused``.
 
+    With ``buckets`` claims and crosswalk are bucketed by postal code and land by area, so that
+    sums by them and joins on them move no rows; claims stay in year folders. Where one bucket
+    of a table would be far larger than the others, that table is written as without.
+
     Rows landed and malformed are counted by the pass that loads them. Only where the count
     differs from the rows stored, as retried tasks may count twice, the text is read again.
     """
@@ -123,13 +129,25 @@ def load(
             found.select(F.lit(feed.name).alias("feed"), "*").write.mode("append").parquet(house.folder("rejects"))
         return stored_rows
 
+    def put(rows: DataFrame, name: str, key: str, sort: Sequence[str], folders: str | None, plain: Callable[[DataFrame, str], object]) -> None:
+        try:
+            if buckets:
+                write_bucketed(rows, house.folder(name), key, buckets, sort, folders)
+                return
+        except UnevenBuckets:
+            pass
+        plain(rows, house.folder(name))
+
     def claims(text: DataFrame) -> DataFrame:
-        write_by_year(clean.clean_claims(text.drop(delimited.LANDED), blank_numeric), house.folder("claims"))
+        typed = clean.clean_claims(text.drop(delimited.LANDED), blank_numeric)
+        # Bucketing reads its rows twice.
+        put(stored(typed, "claims") if buckets else typed, "claims", "clean_zip", (), "yearOfLoss", write_by_year)
         return house.claims
 
     def keyed(feed: Feed, path: str, typed: Callable[[DataFrame], DataFrame], key: Sequence[str]) -> None:
         rows = land(feed, path, lambda text: stored(typed(text), feed.name))
-        clean.keep_first(rows, key).write.parquet(house.folder(feed.name))
+        kept = clean.keep_first(rows, key)
+        put(stored(kept, feed.name) if buckets else kept, feed.name, key[0], key[1:], None, lambda df, to: df.write.parquet(to))
 
     land(CLAIMS, raw.claims, claims)
     keyed(CROSSWALK, raw.crosswalk, clean.typed_crosswalk, clean.CROSSWALK_KEY)

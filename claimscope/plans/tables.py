@@ -7,6 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from claimscope.sources.buckets import is_bucketed, read_bucketed
 from claimscope.sources.tables import read_table
 
 
@@ -42,7 +43,8 @@ class Warehouse:
         return f"{self.path.rstrip('/')}/{self.FOLDERS[name]}"
 
     def _open(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.folder(name))
+        path = self.folder(name)
+        return read_bucketed(self.spark, path) if is_bucketed(self.spark, path) else read_table(self.spark, path)
 
     @cached_property
     def claims(self) -> DataFrame:

@@ -15,7 +15,8 @@ from claimscope.__main__ import main
 from claimscope.operators import clean
 from claimscope.plans import reports as R
 from claimscope.plans.load import FeedCount, LoadRefused, RawFiles, audit, load
-from claimscope.sources import catalogue, delimited
+from claimscope.plans.tables import Warehouse
+from claimscope.sources import buckets, catalogue, delimited
 from claimscope.sources.records import read_records
 
 
@@ -280,6 +281,82 @@ def test_lines_that_begin_inside_a_cell_may_look_like_records(spark, tmp_path):
         assert [tuple(r)[:2] for r in got] == [("1", '\n2,"no record"\n3,x\n'), ("4", "y")]
 
 
+def test_bucketed_tables_are_summed_and_joined_in_place(spark, tmp_path):
+    from claimscope.checks.standins import Standins
+    from claimscope.operators import joins
+
+    standins = Standins(spark, "/root/testdata/sf0.001")
+    house = Warehouse(spark, str(tmp_path / "bucketed"))
+    buckets.write_bucketed(standins.claims, house.folder("claims"), "clean_zip", 6, ["id"], "yearOfLoss")
+    buckets.write_bucketed(standins.crosswalk, house.folder("crosswalk"), "zip_code", 6)
+    buckets.write_bucketed(standins.land, house.folder("land"), "ZCTA20", 6, ["YEAR"])
+    for name in ("claims", "crosswalk", "land"):
+        plain = getattr(standins, name)
+        back = getattr(house, name).select(*plain.columns)
+        assert sorted(map(repr, back.collect())) == sorted(map(repr, plain.collect()))
+    limits = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    try:
+        for limit in limits:
+            spark.conf.set(limit, "-1")
+        sums = house.claims.where("yearOfLoss >= 1996").groupBy("clean_zip", "yearOfLoss").agg(F.count("id").alias("claims"))
+        mapped = joins.to_area(sums, house.crosswalk)
+        plan = mapped._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SelectedBucketsCount: 6 out of 6" in plan and "PartitionFilters: [isnotnull(yearOfLoss" in plan
+        by_area = house.land.groupBy("ZCTA20").agg(F.count("YEAR"))
+        assert "Exchange" not in by_area._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for limit in limits:
+            spark.conf.unset(limit)
+    want = joins.to_area(standins.claims.where("yearOfLoss >= 1996").groupBy("clean_zip", "yearOfLoss").agg(F.count("id").alias("claims")), standins.crosswalk)
+    assert sorted(map(repr, mapped.collect())) == sorted(map(repr, want.select(*mapped.columns).collect()))
+
+
+def test_a_code_with_a_third_of_all_rows_is_not_bucketed(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, '00007', cast(id as string)) as clean_zip", "id")
+    with pytest.raises(buckets.UnevenBuckets):
+        buckets.write_bucketed(rows, str(tmp_path / "hot"), "clean_zip", 50, small=100)
+    assert not (tmp_path / "hot").exists()
+    assert buckets.largest_bucket(rows, "clean_zip", 50)[0] >= 1000
+    assert buckets.largest_bucket(rows.limit(0), "clean_zip", 50) == (0, 0)
+
+
+def test_load_into_buckets(spark, tmp_path, raw_files, monkeypatch):
+    plain = load(spark, raw_files, str(tmp_path / "plain"))
+    house = load(spark, raw_files, str(tmp_path / "buckets"), buckets=3)
+    assert house.report == plain.report
+    for name in ("claims", "crosswalk", "land", "index", "counties"):
+        a, b = getattr(house, name), getattr(plain, name)
+        assert sorted(map(repr, a.select(*b.columns).collect())) == sorted(map(repr, b.collect()))
+    assert buckets.is_bucketed(spark, house.folder("claims")) and not buckets.is_bucketed(spark, plain.folder("claims"))
+    assert [tuple(r) for r in R.trend_nominal(house).collect()] == [tuple(r) for r in R.trend_nominal(plain).collect()]
+    # Uneven buckets fall back to the layout by year.
+    monkeypatch.setattr(buckets, "largest_bucket", lambda *args: (10**9, 1.0))
+    uneven = load(spark, raw_files, str(tmp_path / "uneven"), buckets=3)
+    assert not buckets.is_bucketed(spark, uneven.folder("claims")) and uneven.report == plain.report
+
+
+def test_keys_of_a_catalogue(spark, tmp_path):
+    fields = [("a", "integer", True), ("b", "text", True), ("c", "integer", False)]
+    listed = spark.createDataFrame(fields, "name string, type string, primaryKey boolean")
+    path = tmp_path / "keyed.csv"
+    path.write_text("a,b,c\n1,x,30\n1.0,x,10\n2,x,1\n,x,2\n3,,3\n1,x,20\n1,y,5\nodd,x,6\n")
+    raw = delimited.read_text_columns(spark, str(path), ["a", "b", "c"], landed=True)
+    got = catalogue.keyed_by_catalogue(raw, listed)
+    assert got.key == ["a", "b"] and got.rows.count() == 8
+    assert [tuple(r) for r in got.repeated.collect()] == [(1, "x", 3)]
+    assert sorted(r["c"] for r in got.unkeyed.collect()) == [2, 3, 6]
+    # The first row of a key in the file stays; rows without a whole key go.
+    assert sorted(tuple(r) for r in got.first().collect()) == [(1, "x", 30), (1, "y", 5), (2, "x", 1)]
+    with pytest.raises(catalogue.KeyViolated, match="a, b: repeated"):
+        got.refuse()
+    good = catalogue.keyed_by_catalogue(raw.where("c in ('1', '5')"), listed)
+    assert good.refuse().count() == 2 and good.repeated.collect() == []
+    with pytest.raises(catalogue.KeyViolated, match="NULL"):
+        catalogue.keyed_by_catalogue(raw.where("c in ('1', '2')"), listed).refuse()
+    free = catalogue.keyed_by_catalogue(raw, listed.withColumn("primaryKey", F.lit(False)))
+    assert free.key == [] and free.refuse().count() == 8 and free.repeated.collect() == [] and free.first().count() == 8
+
+
 def test_command_line(spark, tmp_path, raw_files):
     house, out = str(tmp_path / "cli"), str(tmp_path / "report")
     r = raw_files
