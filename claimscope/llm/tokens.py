@@ -34,13 +34,14 @@ class Known(dict):
 
 
 class Encoder:
-    """Ids of texts, the same as ``Tokenizer.encode`` gives, without special tokens.
+    """Ids of texts, the same as ``Tokenizer.encode`` gives with ``add_special_tokens=False``.
 
     A byte-level tokenizer whose own splitting is switched on never joins a visible character
     to white space that follows it. So a text may be cut before every blank or line end that
     stands between visible characters, and each piece be encoded once and looked up from then
     on. A new piece is split into its runs, and the tokenizer's model gives each run's ids.
-    Texts with any other white space, and tokenizers of another kind, are encoded whole.
+    Texts with any other white space, texts that spell an added token, and tokenizers of
+    another kind, are encoded whole.
     The look-up takes a piece in when it comes up a second time, as most never do, and holds
     at most ``CACHE_PIECES`` pieces and ``CACHE_RUNS`` runs.
     """
@@ -50,7 +51,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True
         self.tool.no_truncation()
         self.tool.no_padding()
         self.model = self.tool.model
@@ -61,6 +61,7 @@ class Encoder:
         self.seen = bytearray(SEEN_SLOTS)
         kind = repr(self.tool.pre_tokenizer)
         plain = all(x in kind for x in ("ByteLevel(", "add_prefix_space=False", "use_regex=True")) and "Sequence" not in kind
+        self.added = [t.content for t in self.tool.get_added_tokens_decoder().values() if t.content]
         self.by_piece = plain and self.tool.normalizer is None and self.tool.post_processor is None
 
     def whole(self, text: str) -> np.ndarray:
@@ -76,6 +77,8 @@ class Encoder:
     def _pieces(self, text: str) -> list[str] | None:
         if not self.by_piece or not text.replace("\n", "").isprintable():  # blanks and line ends alone
             return None
+        if any(content in text for content in self.added):
+            return None
         spaced = text.replace("\n", " \n")
         if "  " in spaced or "\n " in spaced or spaced[0] == " " or spaced[-1] in " \n":  # white space beside white space
             return None
