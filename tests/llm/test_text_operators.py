@@ -87,6 +87,76 @@ def test_language_edges(docs, none):
     assert kept.columns == docs.columns and kept.count() == docs.count() - 4
 
 
+def lettered(n):
+    """A word of its own for each number."""
+    return "".join(chr(97 + int(c)) for c in str(n)) + "qz"
+
+
+def test_every_label_is_learned(spark):
+    """300 labels, the rarest with one document, and one with most documents equal."""
+    rows = [(3 * i + k, " ".join([lettered(i)] * 3 + ["common words"]), f"l{i:03}") for i in range(300) for k in range(3 if i % 7 else 1)]
+    rows += [(10_000, "the very same text in every row", "hot")] * 1500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    inside = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 5}
+    assert model.names == sorted(inside) and len(inside) > 240
+    assert len(model.norms) <= language.Settings().all_landmarks
+    with pytest.raises(ValueError, match="more than 100 languages"):
+        language.fit(docs, language.Settings(all_rows=200))
+
+
+def test_rows_of_one_id_are_told_apart_by_their_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one = docs.select(F.lit(1).cast("long").alias("doc_id"), "text", "lang")
+    assert language.fit(one.union(one)).names == ["de", "en", "es", "fr"]
+    got = language.identify(one).select("lang_pred").distinct().count()
+    assert got == 4
+
+
+def test_kernel_and_ridge_equal_brute_force(spark):
+    """Thirty documents, all of them landmarks and rows of the fit, with grams as text."""
+    settings = language.Settings(bucket_bits=26, batch=7)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("n_chars between 20 and 400 and lang is not null").orderBy("doc_id").limit(30)
+    rows = docs.collect()
+
+    def grams(text):
+        plain = re.sub(r"[^\W\d_]+|(.)", lambda m: m[0] if m[1] is None else "\0", text.lower(), flags=re.S)
+        plain = re.sub("\0+", " ", plain)
+        return {(n, plain[i : i + n]) for n in range(1, 5) for i in range(len(plain) - n + 1)}
+
+    sets = {r["doc_id"]: grams(r["text"]) for r in rows}
+    train = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    names = sorted({r["lang"] for r in train})
+    k = np.array([[kernel(sets[a["doc_id"]], sets[b["doc_id"]]) for b in train] for a in train])
+    truth = np.array([[1.0 if r["lang"] == n else -1.0 for n in names] for r in train])
+    # Nyström with every row a landmark: (K'K + ridge n K) w = K'y.
+    weights = np.linalg.solve(k.T @ k + settings.ridge * len(train) * (k + 1e-6 * np.eye(len(train))), k.T @ truth)
+    got = {r["doc_id"]: r for r in language.identify(docs, settings).collect()}
+    for r in rows:
+        values = np.array([kernel(sets[r["doc_id"]], sets[b["doc_id"]]) for b in train]) @ weights
+        assert got[r["doc_id"]]["lang_pred"] == names[int(values.argmax())]
+        assert abs(got[r["doc_id"]]["score"] - min(1, max(0, (1 + values.max()) / 2))) < 2e-3
+
+
+FOREIGN = {
+    "greek": "Η γλώσσα είναι ένα σύστημα επικοινωνίας που χρησιμοποιούν οι άνθρωποι",
+    "chinese": "语言是人类用来交流的系统 它有很多种形式 每一种都有自己的规则",
+    "russian": "Язык это система общения которую используют люди",
+    "consonants": "bcdfg hjklm npqrs tvwxz qwrtp sdfgh jklzx cvbnm zxcvb mnbvc lkjhg fdsqp trwqz",
+    "digits in hex": "9f3ac01b 77e0d2c4 b81ffa06 0cd4e9aa 51bb7c3e d00f6a92 e47ac18f 6b9d20fe",
+}
+
+
+def test_foreign_scripts_and_noise_are_not_identified(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = spark.createDataFrame([(10**9 + k, t, None, "odd", len(t)) for k, t in enumerate(FOREIGN.values())], docs.schema)
+    kept = language.keep_identified(docs.union(odd))
+    assert kept.where("source = 'odd'").count() == 0
+    # All documents of the table are in a learned language; only texts without a letter go.
+    assert kept.count() == docs.where(r"regexp_like(text, '\\p{L}')").count()
+
+
 # --- quality -----------------------------------------------------------------------------
 
 
@@ -161,7 +231,6 @@ def test_encoder_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(tokens.tokenizer_path())
-    tool.encode_special_tokens = True
     mine = tokens.encoder(tokens.tokenizer_path())
     rng = np.random.default_rng(1)
     letters = list("ab A.,!?'s1  \n\n\t\r\x0b\x1c\x85\xa0 é中😀​ǅ") + ["<|endoftext|>"]
@@ -175,7 +244,6 @@ def ids_of(text):
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(tokens.tokenizer_path())
-    tool.encode_special_tokens = True
     return np.array([*tool.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
 
 
