@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimscope.llm.common import ROW, id_residue, map_arrow, with_row
+from claimscope.llm.common import ROW, id_residue, keep_freed_memory, map_arrow, with_row
 
 UNKNOWN = "und"
 FOLDS = 5
@@ -213,6 +213,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", doc_id: st
     schema = T.StructType([*(f for f in slim.schema if f.name != "body"), *added])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         for batch in batches:
             names, *numbers = score_texts(shared.value, batch.column(batch.num_columns - 1).to_pylist())
             columns = [*batch.columns[:-1], pa.array(names, pa.string()), *(pa.array(n, pa.float64()) for n in numbers)]

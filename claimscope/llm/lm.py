@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimscope.llm.common import id_residue, map_arrow, shared_table
+from claimscope.llm.common import id_residue, keep_freed_memory, map_arrow, shared_table
 
 FOLDS, HELD_OUT = 7, 2
 FLUSH_WORDS = 200_000
@@ -115,18 +115,20 @@ class Network:
         n, t = symbols.shape
         d = self.query.shape[1]
         x = self.embed[symbols] + self.place[:t]
-        flat = x.reshape(n * t, -1)
-        q, k, v = ((flat @ w).reshape(n, t, d) for w in (self.query, self.key, self.value))
+        # One product for queries (scaled), keys and values.
+        into = np.concatenate([self.query * np.float32(1 / math.sqrt(d)), self.key, self.value], axis=1)
+        joined = (x.reshape(n * t, -1) @ into).reshape(n, t, 3 * d)
+        q, k, v = joined[:, :, :d], joined[:, :, d : 2 * d], joined[:, :, 2 * d :]
         weight = np.matmul(q, k.transpose(0, 2, 1))
-        weight *= np.float32(1 / math.sqrt(d))
         np.minimum(weight, 30, out=weight)
         np.exp(weight, out=weight)
-        weight *= np.tri(t, dtype=np.float32)  # causal mask: a position sees itself and what is before
-        weight /= weight.sum(axis=2, keepdims=True)
+        weight *= _causal(t)  # a position sees itself and what is before
+        weight /= np.matmul(weight, _ones(t))[:, :, None]
         mixed = np.matmul(weight, v)
         h = x + (mixed.reshape(n * t, d) @ self.out).reshape(x.shape)
-        g = np.tanh(h.reshape(n * t, -1) @ self.inner + self.inner_bias)
-        return {"x": x, "q": q, "k": k, "v": v, "weight": weight, "mixed": mixed, "h": h, "g": g}
+        z = h.reshape(n * t, -1) @ self.inner
+        z += self.inner_bias
+        return {"x": x, "into": into, "q": q, "k": k, "v": v, "weight": weight, "mixed": mixed, "h": h, "g": np.tanh(z, out=z)}
 
     def log_classes(self, g: np.ndarray) -> np.ndarray:
         """Natural log-probabilities of the classes from hidden rows."""
@@ -134,49 +136,72 @@ class Network:
         logits -= logits.max(axis=1, keepdims=True)
         return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
-    def gradients(self, symbols: np.ndarray, goal: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over the masked targets and its gradient for every array."""
+    def steep(self) -> bool:
+        """Whether logits may pass what exp takes: hidden values lie in -1 to 1, which bounds them."""
+        return float((np.abs(self.top).sum(axis=0) + np.abs(self.top_bias)).max()) > 60
+
+    def gradients(self, symbols: np.ndarray, goal: np.ndarray, mask: np.ndarray, with_loss: bool = True) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss over the masked targets (0 unless asked for) and its gradient for every array."""
         f = self.attend(symbols)
         n, t = symbols.shape
         d = self.query.shape[1]
-        rows, weight = np.arange(n * t), mask.reshape(-1).astype(np.float32)
+        at, weight = np.arange(n * t) * len(self.top_bias) + goal.reshape(-1), mask.reshape(-1).astype(np.float32)
         total = max(float(weight.sum()), 1.0)
         dl = f["g"] @ self.top
         dl += self.top_bias
-        dl -= dl.max(axis=1, keepdims=True)
+        if self.steep():
+            dl -= dl.max(axis=1, keepdims=True)
         np.exp(dl, out=dl)
-        dl /= dl.sum(axis=1, keepdims=True)
-        hit = dl[rows, goal.reshape(-1)]
-        loss = -float((np.log(np.maximum(hit, 1e-30)) * weight).sum()) / total
-        dl[rows, goal.reshape(-1)] -= 1
-        dl *= (weight / np.float32(total))[:, None]
+        sums = dl @ _ones(dl.shape[1])
+        loss = 0.0
+        if with_loss:
+            loss = -float((np.log(np.maximum(dl.ravel()[at] / sums, 1e-30)) * weight).sum()) / total
+        share = weight / np.float32(total)
+        dl *= (share / sums)[:, None]
+        dl.ravel()[at] -= share
         dz = dl @ self.top.T
-        dz *= 1 - f["g"] ** 2
+        slope = f["g"] * f["g"]
+        np.subtract(1, slope, out=slope)
+        dz *= slope
         flat = lambda a: a.reshape(n * t, -1)
         dh = dz @ self.inner.T
         dmixed = (dh @ self.out.T).reshape(n, t, d)
+        # The gradient through the attention weights: the mean over a row is a product of short rows.
         ds = np.matmul(dmixed, f["v"].transpose(0, 2, 1))
-        dv = np.matmul(f["weight"].transpose(0, 2, 1), dmixed)
-        ds -= np.einsum("nij,nij->ni", ds, f["weight"])[:, :, None]
+        ds -= ((dmixed * f["mixed"]).reshape(n * t, d) @ _ones(d)).reshape(n, t, 1)
         ds *= f["weight"]
-        ds *= np.float32(1 / math.sqrt(d))
-        dq, dk = np.matmul(ds, f["k"]), np.matmul(ds.transpose(0, 2, 1), f["q"])
-        dx = flat(dq) @ self.query.T
-        dx += flat(dk) @ self.key.T
-        dx += flat(dv) @ self.value.T
+        back = np.empty((n, t, 3 * d), dtype=np.float32)
+        np.matmul(ds, f["k"], out=back[:, :, :d])
+        np.matmul(ds.transpose(0, 2, 1), f["q"], out=back[:, :, d : 2 * d])
+        np.matmul(f["weight"].transpose(0, 2, 1), dmixed, out=back[:, :, 2 * d :])
+        back = flat(back)
+        dx = back @ f["into"].T
         dx += dh
         x = flat(f["x"])
+        into = x.T @ back
+        into[:, :d] *= np.float32(1 / math.sqrt(d))
         cell = symbols.reshape(-1, 1) * d + np.arange(d)
         embed = np.bincount(cell.ravel(), weights=dx.ravel(), minlength=self.embed.size).reshape(self.embed.shape).astype(self.embed.dtype)
         place = np.zeros_like(self.place)
         place[:t] = dx.reshape(n, t, -1).sum(axis=0)
         return loss, {
-            "embed": embed, "place": place, "query": x.T @ flat(dq), "key": x.T @ flat(dk), "value": x.T @ flat(dv),
-            "out": flat(f["mixed"]).T @ dh, "inner": flat(f["h"]).T @ dz, "inner_bias": dz.sum(axis=0),
-            "top": f["g"].T @ dl, "top_bias": dl.sum(axis=0),
+            "embed": embed, "place": place, "query": into[:, :d], "key": into[:, d : 2 * d], "value": into[:, 2 * d :],
+            "out": flat(f["mixed"]).T @ dh, "inner": flat(f["h"]).T @ dz, "inner_bias": _ones(n * t) @ dz,
+            "top": f["g"].T @ dl, "top_bias": _ones(n * t) @ dl,
         }
 
 
+@lru_cache(maxsize=64)
+def _ones(size: int) -> np.ndarray:
+    """Sums by a product are far faster over short rows."""
+    return np.ones(size, dtype=np.float32)
+
+
+@lru_cache(maxsize=64)
+def _causal(t: int) -> np.ndarray:
+    return np.tri(t, dtype=np.float32)
+
+
 class Trainer:
     """Adam on a copy of a network: windows of symbols, classes as goals, and where there is a goal."""
 
@@ -184,7 +209,7 @@ class Trainer:
         self.settings, self.rate, self.step = s, rate, 0
         self.flat = net.flat()
         self.net = net.like(self.flat)
-        self.first, self.second = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        self.first, self.second, self.scratch = (np.zeros_like(self.flat) for _ in range(3))
         self.rng = np.random.default_rng(seed)
 
     def learn(self, inputs: np.ndarray, goals: np.ndarray, mask: np.ndarray) -> None:
@@ -192,13 +217,22 @@ class Trainer:
         order = self.rng.permutation(len(inputs))
         for k in range(0, len(order), self.settings.batch):
             some = order[k : k + self.settings.batch]
-            _, grads = self.net.gradients(inputs[some], goals[some], mask[some])
+            _, grads = self.net.gradients(inputs[some], goals[some], mask[some], with_loss=False)
             g = np.concatenate([grads[name].ravel() for name in vars(self.net)])
             self.step += 1
-            self.first += np.float32(0.1) * (g - self.first)
-            self.second += np.float32(0.02) * (g * g - self.second)
+            # first += 0.1 (g - first), second += 0.02 (g g - second), each in place.
+            self.first *= np.float32(0.9)
+            self.first += np.multiply(g, np.float32(0.1), out=self.scratch)
+            np.multiply(g, g, out=g)
+            g *= np.float32(0.02)
+            self.second *= np.float32(0.98)
+            self.second += g
             rate = self.rate * min(1.0, self.step / 50) / (1 - 0.9**self.step)
-            self.flat -= np.float32(rate) * self.first / (np.sqrt(self.second / np.float32(1 - 0.98**self.step)) + np.float32(1e-8))
+            np.sqrt(np.multiply(self.second, np.float32(1 / (1 - 0.98**self.step)), out=self.scratch), out=self.scratch)
+            self.scratch += np.float32(1e-8)
+            np.divide(self.first, self.scratch, out=self.scratch)
+            self.scratch *= np.float32(rate)
+            self.flat -= self.scratch
 
 
 # --- windows ------------------------------------------------------------------------------
@@ -280,8 +314,7 @@ class Scorer:
         self.by_place[2] = np.pad(self.by_place[2], ((0, 0), (0, 1)), constant_values=1)
         self.mixed_to_hidden = (net.out @ net.inner).astype(np.float32)
         self.top, self.top_bias = net.top, net.top_bias
-        # Hidden values lie in -1 to 1, which bounds the logits: most networks cannot overflow exp.
-        self.steep = float((np.abs(net.top).sum(axis=0) + np.abs(net.top_bias)).max()) > 60
+        self.steep = net.steep()
         self.causal = np.tri(len(net.place), dtype=np.float32)
 
     def log10_classes(self, symbols: np.ndarray, mask: np.ndarray, goal: np.ndarray) -> np.ndarray:
@@ -307,7 +340,7 @@ class Scorer:
             logits -= logits.max(axis=1, keepdims=True)
         chosen = logits[np.arange(len(goal)), goal]
         np.exp(logits, out=logits)
-        return (chosen - np.log(logits.sum(axis=1))).astype(np.float64) / math.log(10)
+        return (chosen - np.log(logits @ _ones(logits.shape[1]))).astype(np.float64) / math.log(10)
 
 
 def _by_count(counts: np.ndarray) -> np.ndarray:
@@ -478,6 +511,16 @@ def _prepared(docs: DataFrame, head: dict[bytes, int], total: int, distinct: int
     return shared_table(rows.withColumn("rid", F.monotonically_increasing_id()), "lm")
 
 
+def _some_at_a_time(texts: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Texts in order, some together, by tokens: a very long one ends its lot."""
+    first = size = 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= 100_000 or k == len(texts) - 1:
+            yield texts[first : k + 1]
+            first, size = k + 1, 0
+
+
 def _ids(raw: bytes, wide: bool) -> np.ndarray:
     return np.frombuffer(raw, dtype="<u4" if wide else "<u2").astype(np.int32)
 
@@ -550,6 +593,7 @@ def _round(texts: DataFrame, net: Network, tables: Broadcast, rate: float, seed:
     unit = float(1 << 48)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         kinds, symbols = tables.value
         trainer = Trainer(shared.value, s, rate, seed)
         held, n_held, n_seen = [], 0, 0
@@ -562,8 +606,8 @@ def _round(texts: DataFrame, net: Network, tables: Broadcast, rate: float, seed:
             held, n_held = [], 0
 
         for batch in batches:
-            for raw in batch.column(1).to_pylist():
-                for _, inputs, goals, mask in _laid_out([_ids(raw, wide)], end, replace(s, stride=s.window)):
+            for texts in _some_at_a_time([_ids(raw, wide) for raw in batch.column(1).to_pylist()]):
+                for _, inputs, goals, mask in _laid_out(texts, end, replace(s, stride=s.window)):
                     held.append((symbols[inputs], kinds[goals].astype(np.int64), mask))
                     n_held += len(inputs)
                     n_seen += int(mask.sum())
@@ -593,6 +637,7 @@ def _pair_counts(training: DataFrame, group: np.ndarray, groups: int, end: int,
     size = len(group)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         group_of = shared.value
         sums = np.zeros(groups * size, dtype=np.int64)
         for batch in batches:
@@ -619,18 +664,12 @@ def _scores(rows: DataFrame, model: Model) -> DataFrame:
     schema = T.StructType([*(rows.schema[n] for n in names), T.StructField("score", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         fitted = shared.value
         for batch in batches:
             texts = [_ids(raw, wide) for raw in batch.column(len(names)).to_pylist()]
-            out = np.zeros(len(texts))
-            # Some texts at a time, by tokens: very long ones are laid out alone.
-            first = size = 0
-            for k, t in enumerate(texts):
-                size += len(t)
-                if size >= 100_000 or k == len(texts) - 1:
-                    out[first : k + 1] = fitted.score(texts[first : k + 1])
-                    first, size = k + 1, 0
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(out)], [*names, "score"])
+            out = [fitted.score(some) for some in _some_at_a_time(texts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(np.concatenate(out) if out else np.zeros(0))], [*names, "score"])
 
     return map_arrow(rows.select(*names, "ids"), score, schema)
 
