@@ -141,6 +141,15 @@ def test_sample_does_not_depend_on_the_partitioning(spark):
     assert quality.head(df, 3).count() == 3
 
 
+def test_sample_reads_its_input_once_in_bounded_groups(spark, tmp_path):
+    spark.range(0, 4000, 1, 12).selectExpr("id", "id % 9 as k").write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    sample = quality.random_sample(df, 50, tasks=3)
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "TakeOrderedAndProject" in plan and "Coalesce 3" in plan
+    assert sample.collect() == quality.random_sample(df.repartition(5), 50).collect()
+
+
 def test_median_of_wide_decimals_and_hot_keys_without_broadcasts(spark):
     df = spark.range(0, 20001).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 5)) as k", "cast(id * 0.0000000000123 + 1e9 as decimal(32,13)) as v")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
