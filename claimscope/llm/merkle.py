@@ -182,10 +182,10 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def edit_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edits.
 
     Of each document against its text edited with the start of the next document by id, and
-    against that document. NULL texts count as empty; an empty text's tree has no leaf. With
+    against that document. ``edits`` are the paragraphs in which the two fingerprints differ. NULL texts count as empty; an empty text's tree has no leaf. With
     one document it follows itself. Rows with one id follow each other, by text.
     """
     base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
@@ -206,4 +206,10 @@ def edit_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        edits(F.col("fingerprint"), F.col("edited_fingerprint")).alias("edits"),
     )
+
+
+def edit_places(places: Column) -> Column:
+    """An array of (section, paragraph) as text: ``section.paragraph`` with commas between."""
+    return F.array_join(F.transform(places, lambda p: F.concat_ws(".", p["section"].cast("string"), p["paragraph"].cast("string"))), ",")

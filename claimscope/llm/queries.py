@@ -65,7 +65,8 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merkle.edit_report(documents(spark, sf_dir))
+    report = merkle.edit_report(documents(spark, sf_dir))
+    return report.withColumn("edits", merkle.edit_places(F.col("edits")))
 
 
 def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

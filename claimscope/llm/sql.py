@@ -100,13 +100,17 @@ sh AS (SELECT doc_id, k, (i - 1) // 16 AS s, sha256(string_agg(h, '' ORDER BY i)
 rh AS (SELECT doc_id, k, sha256(string_agg(h, '' ORDER BY s)) AS root, string_agg(left(h, 16) || '/' || tags, ':' ORDER BY s) AS rest FROM sh GROUP BY 1, 2),
 tg AS (SELECT doc_id, k, list(DISTINCT left(y, 8)) AS tags FROM (SELECT doc_id, k, unnest(hs) AS y FROM leaves) GROUP BY 1, 2),
 fp AS (SELECT doc_id, k, coalesce(root, sha256('')) AS root, coalesce(root || ':' || rest, sha256('')) AS print, coalesce(tags, []) AS tags
-       FROM texts LEFT JOIN rh USING (doc_id, k) LEFT JOIN tg USING (doc_id, k))
+       FROM texts LEFT JOIN rh USING (doc_id, k) LEFT JOIN tg USING (doc_id, k)),
+ed AS (SELECT coalesce(x.doc_id, y.doc_id) AS doc_id, string_agg(((coalesce(x.i, y.i) - 1) // 16) || '.' || ((coalesce(x.i, y.i) - 1) % 16), ',' ORDER BY coalesce(x.i, y.i)) AS places
+       FROM (SELECT * FROM pars WHERE k = 1) x FULL JOIN (SELECT * FROM pars WHERE k = 2) y ON x.doc_id = y.doc_id AND x.i = y.i
+       WHERE x.par IS DISTINCT FROM y.par GROUP BY 1)
 SELECT e.doc_id, CAST(length(e.t) AS BIGINT) AS n_chars, sha256(e.et) AS edited_sha256, a.print AS fingerprint, b.print AS edited_fingerprint,
        CASE WHEN a.root = b.root THEN 1.0::DOUBLE WHEN len(a.tags) + len(b.tags) = 0 THEN 0.0::DOUBLE
             ELSE 2.0::DOUBLE * len(list_intersect(a.tags, b.tags)) / (len(a.tags) + len(b.tags)) END AS near_edited,
        CASE WHEN a.root = c.root THEN 1.0::DOUBLE WHEN len(a.tags) + len(c.tags) = 0 THEN 0.0::DOUBLE
-            ELSE 2.0::DOUBLE * len(list_intersect(a.tags, c.tags)) / (len(a.tags) + len(c.tags)) END AS near_next
-FROM e JOIN fp a ON a.doc_id = e.doc_id AND a.k = 1 JOIN fp b ON b.doc_id = e.doc_id AND b.k = 2 JOIN fp c ON c.doc_id = e.doc_id AND c.k = 3
+            ELSE 2.0::DOUBLE * len(list_intersect(a.tags, c.tags)) / (len(a.tags) + len(c.tags)) END AS near_next,
+       coalesce(ed.places, '') AS edits
+FROM e LEFT JOIN ed ON ed.doc_id = e.doc_id JOIN fp a ON a.doc_id = e.doc_id AND a.k = 1 JOIN fp b ON b.doc_id = e.doc_id AND b.k = 2 JOIN fp c ON c.doc_id = e.doc_id AND c.k = 3
 """
 
 # CRC-32 from its table of bytes; trees and walks to the root level by level.
