@@ -35,6 +35,7 @@ MAGIC = b"PLANES01"
 BLOCK = 1 << 16
 LEVEL = 3
 FILES_ROWS = 8000
+UNIT_BYTES = 4096
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -144,7 +145,7 @@ def _filesystem(address: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(address if "://" in address or address.startswith("file:") else f"file://{address}")
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str, kind: str = "B", doc_id: str = "doc_id", text: str = "text", rows: int = FILES_ROWS) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, folder: str, kind: str = "B", doc_id: str = "doc_id", text: str = "text", rows: int = FILES_ROWS, unit: int = UNIT_BYTES) -> DataFrame:
     """Ids of all documents, each with the end id, in files of ascending id; returns the manifest.
 
     Manifest: file (ascending in document order), path, n_docs, n_tokens. NULL ids come
@@ -155,16 +156,22 @@ def write(docs: DataFrame, tokenizer: str, folder: str, kind: str = "B", doc_id:
     executors reach (file:, hdfs:, s3: or gs: address). Without documents there are no files.
     """
     key, body = F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string")
-    columns = docs.select(key.alias("doc_id"), body.alias("text"), F.coalesce(F.xxhash64(body), F.lit(0)).alias("tie"))
-    order = [F.col("doc_id").asc_nulls_first(), "tie"]
-    files = max(1, min(-(-docs.count() // rows), 200_000))
-    ranged = columns.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    more = F.coalesce(F.floor(F.octet_length(body) / unit), F.lit(0)).cast("int")
+    # Rows without a text stand for the further units of a long one, so that ranges come out even in bytes.
+    columns = docs.select(
+        key.alias("doc_id"), body.alias("text"), F.coalesce(F.xxhash64(body), F.lit(0)).alias("tie"), F.explode(F.sequence(F.lit(0), more)).alias("unit")
+    ).withColumn("text", F.when(F.col("unit") == 0, F.col("text")))
+    order = [F.col("doc_id").asc_nulls_first(), "tie", "unit"]
+    units = docs.agg(F.sum(more + F.lit(1).cast("long")).alias("n")).first()["n"] or 0
+    files = max(1, min(-(-units // rows), 200_000))
+    ranged = columns.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "text", (F.col("unit") == 0).alias("whole"))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, part, end = encoder(tokenizer), TaskContext.get().partitionId(), np.array([END], dtype="<u4")
         system, base = _filesystem(folder)
         path, sink, writer = "", None, None
         for batch in batches:
+            batch = batch.filter(batch.column(2))
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if writer is None:
                     system.create_dir(base, recursive=True)
