@@ -106,7 +106,11 @@ def copies(
     drawn = joined.withColumn("expected", expected).withColumn("certain", F.floor("expected").cast("long"))
     chance = F.col("expected") - F.col("certain")
     u = uniform(seed, F.col("key"))
-    odds = (u / (1 - u)) / (chance / (1 - chance))
+    # Times the odds of a document of mean importance, one number per source: this keeps the order, and
+    # where chances are equal the rank below is the uniform number itself, however near 0 or 1 they are.
+    usual = F.least(F.lit(float(most)), F.coalesce(ratio, F.lit(0.0)))
+    part = usual - F.floor(usual)
+    odds = F.when(part > 0, part / (1 - part)).otherwise(F.lit(1.0)) * (u / (1 - u)) / (chance / (1 - chance))
     # odds / (1 + odds) keeps the order and lies between 0 and 1; without a chance it is 1, the last.
     rank = F.when(chance > 0, odds / (1 + odds)).otherwise(F.lit(1.0))
     may = (F.col("certain") < most) & (chance > 0) & (F.col("size") > 0)
