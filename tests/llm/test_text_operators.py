@@ -7,6 +7,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import zip_longest
 
 import numpy as np
 import pytest
@@ -288,6 +289,17 @@ def test_planes_round_trip(spark, docs, none, kind, tmp_path):
     assert planes.read(spark, empty, folder).count() == 0
 
 
+def test_files_of_long_texts_hold_fewer(spark, tmp_path):
+    folder = f"file://{tmp_path}/planes"
+    texts = ["long words " * 4000 if k < 40 else "short" for k in range(440)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    manifest = planes.write(docs, tokens.tokenizer_path(), folder, rows=40)
+    files = manifest.orderBy("file").collect()
+    assert sum(r["n_docs"] for r in files) == 440 and max(r["n_tokens"] for r in files) <= 8 * len(ids_of(texts[0]))
+    got = planes.read(spark, manifest, folder).orderBy("start").select("doc_id", "n_tokens").collect()
+    assert [tuple(r) for r in got] == [(k, len(ids_of(t))) for k, t in enumerate(texts)]
+
+
 def test_chunk_index_finds_a_block(tmp_path):
     ids = np.random.default_rng(0).integers(0, 1 << 32, 3 * planes.BLOCK + 17, dtype=np.uint32)
     with open(tmp_path / "x", "wb") as sink:
@@ -561,6 +573,16 @@ def test_mixing_comes_near_its_targets_and_repeats_itself(spark):
     assert all(abs(taken[s] - target[s]) <= most[s] for s in target)
 
 
+def test_mixing_spreads_small_chances_over_bins(spark, monkeypatch):
+    docs = spark.range(6000).selectExpr("id as doc_id", "repeat('w ', 10) as text", "if(id < 3000, 's', 't') as source")
+    monkeypatch.setattr(mixing, "_cut", lambda ranked: ranked)
+    ranked = mixing.copies(docs.union(docs.selectExpr("doc_id + 6000", "text", "'t'")), weights=(1, 10**7), most=9).where("source = 's'")
+    got = ranked.select("bin", "rank", "certain").collect()
+    assert {r["certain"] for r in got} == {0} and len({r["bin"] for r in got}) > 1500
+    u = ranked.select(mixing.uniform("mix-1", F.col("key")).alias("u"), "rank").collect()
+    assert all(r["rank"] == pytest.approx(r["u"], rel=1e-6) for r in u)
+
+
 def test_mixing_by_importance(spark):
     docs = spark.createDataFrame([(i, "w " * 10, "s" if i < 400 else "t", float(1 + i % 4)) for i in range(800)], "doc_id long, text string, source string, worth double")
     rows = mixing.copies(docs, importance="worth", weights=(1, 1)).collect()
@@ -691,6 +713,9 @@ def test_fingerprints(spark, none):
         assert r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
         assert r["fingerprint"] == brute_print_tree(t) and r["edited_fingerprint"] == brute_print_tree(changed)
         assert 0 <= r["near_edited"] <= 1 and (r["near_next"] == 1) == (t == follower)
+        lines = [re.findall(r"[^\n]+\n?|\n", x) for x in (t, changed)]
+        places = [(k // 16, k % 16) for k, (a, b) in enumerate(zip_longest(*lines)) if a != b]
+        assert [tuple(x) for x in r["edits"]] == places
     assert merkle.edit_report(none).count() == 0
 
 
