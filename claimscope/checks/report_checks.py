@@ -42,10 +42,8 @@ def storms(s: Standins):
 
 
 def exported_storms(s: Standins):
-    """The storm report as written and read back, once for both of its summaries."""
-    if "storms" not in s.exported:
-        s.exported["storms"] = stored(storms(s), "storm-report")
-    return s.exported["storms"]
+    """The storm report as written and read back, anew for each summary that reads it."""
+    return stored(storms(s), "storm-report")
 
 
 # --- oracle pieces shared by a report and its summaries -----------------------

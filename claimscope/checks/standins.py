@@ -36,7 +36,6 @@ class Standins:
         self.spark = spark
         self.sf_dir = sf_dir
         self._base: dict[str, DataFrame] = {}
-        self.exported: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:
         if name not in self._base:
