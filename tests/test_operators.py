@@ -39,6 +39,20 @@ def test_unmapped_and_unknown_postal_codes_drop_out(spark):
     assert rows(joins.to_area(claims, crosswalk)) == [(1, "Z1")]
 
 
+def test_sums_meet_each_different_pair_once(spark):
+    sums = spark.createDataFrame([("00001", 2, D("1.50")), ("00002", 1, None)], "clean_zip string, n bigint, paid decimal(22,2)")
+    pairs = [("00001", "Z1")] * 50 + [("00001", "Z2"), ("00001", None)] + [("00002", "Z1")] * 3
+    crosswalk = spark.createDataFrame(pairs, "zip_code string, zcta string")
+    got = joins.sums_to_area(sums, crosswalk, "n", "paid").select("zcta", "n", "paid")
+    assert rows(got) == [("Z1", 100, D("75.00")), ("Z1", 3, None), ("Z2", 2, D("1.50"))]
+    expanded = joins.to_area(sums, crosswalk).groupBy("zcta").agg(F.sum("n"), F.sum("paid"))
+    assert rows(expanded) == rows(got.groupBy("zcta").agg(F.sum("n"), F.sum("paid")))
+    land = spark.createDataFrame([("Z1", 2000, c) for c in "aaab"] + [("Z2", 2001, "a")], "ZCTA20 string, YEAR int, c string")
+    dated = got.withColumn("yearOfLoss", F.lit(2000))
+    placed = joins.sums_with_land(dated, land, F.col("c"), "n").groupBy("zcta", "c").agg(F.sum("n"), F.count("n"))
+    assert rows(placed) == [("Z1", "a", 309, 2), ("Z1", "b", 103, 2)]
+
+
 def test_latest_land_year_without_an_earlier_one(spark):
     land = spark.createDataFrame([(1995,), (2001,), (1998,), (1995,)], "YEAR int")
     losses = spark.createDataFrame([(y,) for y in (1994, 1995, 1997, 1998, 2010)], "yearOfLoss int")
