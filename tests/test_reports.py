@@ -198,6 +198,19 @@ def test_storms_need_more_claims_than_the_limit_and_keep_generic_detail(spark, b
     assert out(R.storm_control(t, min_claims=4, case_sensitive=True)) == []
 
 
+def test_a_code_or_area_listed_several_times_counts_as_often(spark, base):
+    """A crosswalk that names one code twice under one area, land with one area's year three times over."""
+    twice, thrice = base.crosswalk.unionAll(base.crosswalk), base.land.unionAll(base.land).unionAll(base.land)
+    t = replace(base, claims=claims(spark, *storm_rows()))
+    repeated = replace(t, crosswalk=twice, land=thrice)
+    once, often = (sorted(out(R.storm_control(x, min_claims=3)), key=lambda r: r[3]) for x in (t, repeated))
+    assert [r[:4] for r in often] == [r[:4] for r in once] and [r[5] for r in often] == [r[5] for r in once]
+    assert [(r[4], r[6]) for r in often] == [(6 * r[4], 6 * r[6]) for r in once]
+    once, often = (sorted(out(R.storm_nominal(x, min_claims=2))) for x in (t, repeated))
+    shown = {r[:3]: r[3:] for r in often}
+    assert [shown[r[:3]] for r in once] == [(6 * r[3], r[4]) for r in once]
+
+
 def test_one_storm_under_two_names_gives_two_rows(spark, base):
     rows = [{"eventDesignationNumber": "N1", "floodEvent": "Alpha", "yearOfLoss": 2020}] * 2 + [
         {"eventDesignationNumber": "N1", "floodEvent": "Beta", "yearOfLoss": 2019}
