@@ -33,15 +33,20 @@ def _leading_number(text: Column, dtype: T.DataType) -> Column:
     """The number a cell begins with, 0 if none, drawn back to the nearest value that fits."""
     if isinstance(dtype, T.FractionalType) and not isinstance(dtype, T.DecimalType):
         return F.coalesce(F.nullif(F.regexp_extract(text, _NUMBER, 0), F.lit("")).try_cast(dtype), F.lit(0).cast(dtype))
-    found = F.nullif(F.regexp_extract(text, _NUMBER, 0), F.lit(""))
     least, most = (F.lit(x) for x in _bounds(dtype))
     scale = dtype.scale if isinstance(dtype, T.DecimalType) else 0
-    fits = F.round(found.try_cast(_WIDE), scale)
-    # Digits beyond the widest decimal are out of range for every type, but for tiny exponents.
-    beyond = F.when(found.try_cast("double") < 0, least).otherwise(most).cast(_WIDE)
-    wide = F.when(F.abs(found.try_cast("double")) < 1e-10, F.lit(0).cast(_WIDE)).otherwise(F.coalesce(fits, beyond))
-    drawn = F.greatest(F.least(wide, most.cast(_WIDE)), least.cast(_WIDE)).try_cast(dtype)
-    return F.when(found.isNull(), F.lit(0).cast(dtype)).otherwise(drawn)
+
+    def stored(found: Column) -> Column:
+        size = found.try_cast("double")
+        # Digits beyond the widest decimal are out of range for every type, but for tiny exponents.
+        wide = F.coalesce(F.round(found.try_cast(_WIDE), scale), F.when(size < 0, least).otherwise(most).cast(_WIDE))
+        drawn = F.greatest(F.least(wide, most.cast(_WIDE)), least.cast(_WIDE)).try_cast(dtype)
+        nothing = found.isNull() | (found == "")
+        return F.when(nothing | (F.abs(size) < 1e-10), F.lit(0).cast(dtype)).otherwise(drawn)
+
+    # A lambda binds the match, which else is made again at each of its uses, in code so long for a few
+    # columns that it is never compiled.
+    return F.transform(F.array(F.regexp_extract(text, _NUMBER, 0)), stored)[0]
 
 
 def lenient(cell: Column, dtype: T.DataType, blank_numeric: str = "null") -> Column:

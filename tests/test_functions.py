@@ -203,6 +203,20 @@ def test_lenient_numbers(spark):
     assert [r[0] is not None for r in dates.select(lenient(F.col("c"), T.DateType())).collect()] == [True, False, False, False]
 
 
+def test_lenient_matches_a_cell_once(spark):
+    from pyspark.sql import types as T
+
+    cells = [("7e-1x",), ("5.",), ("-.5",), ("+",), ("6e-11",), ("1e-999999999",), ("1e29",), ("\t5",)]
+    df = spark.createDataFrame(cells, "c string")
+    kinds = {"i": T.IntegerType(), "d": T.DecimalType(12, 2)}
+    typed = df.select(*[lenient(F.col("c"), t, "zero").alias(n) for n, t in kinds.items()])
+    most = 2147483647, D("9999999999.99")
+    assert [r["i"] for r in typed.collect()] == [1, 5, -1, 0, 0, 0, most[0], 0]
+    assert [r["d"] for r in typed.collect()] == [D("0.70"), D(5), D("-0.50"), 0, 0, 0, most[1], 0]
+    plan = df.select(lenient(F.concat(F.col("c"), F.lit("0")), T.DecimalType(12, 2), "zero").alias("x"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1
+
+
 def test_an_index_near_zero_leaves_its_year_without_a_ratio(spark):
     from claimscope.functions.money import price_ratio
 
