@@ -44,6 +44,38 @@ def physical(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def above(plan, leaf):
+    """The lines of a plan's string over the first line that holds ``leaf``, nearest first."""
+    lines = plan.splitlines()
+    at = next(i for i, line in enumerate(lines) if leaf in line)
+    depth, found = [re.search(r"[A-Za-z*]", line).start() if re.search(r"[A-Za-z*]", line) else 0 for line in lines], []
+    for i in range(at - 1, -1, -1):
+        if depth[i] < depth[at]:
+            at = i
+            found.append(lines[i])
+    return found
+
+
+def test_line_items_join_twice_as_orders_meet_customers_first(spark):
+    plan = Standins(spark, SF).claims._jdf.queryExecution().optimizedPlan().toString()
+    relation = next(line for line in plan.splitlines() if "Relation" in line and "l_orderkey" in line)
+    assert sum("Join" in line for line in above(plan, relation)) == 2
+
+
+@pytest.mark.parametrize("name", ["storm_control", "storm_nominal"])
+def test_storm_rows_meet_counted_areas_and_are_sorted_once(house, name):
+    plan = physical(REPORTS[name](house))
+    # each code and area once, however often the crosswalk lists them
+    assert re.search(r"HashAggregate\(keys=\[clean_zip#\d+, zcta#\d+\], functions=\[partial_count", plan)
+    # what is joined is dealt by area and year before its texts are sorted
+    named = [line for line in plan.splitlines() if "partial_max(struct(k" in line or "partial_max(named_struct(k" in line]
+    assert named
+    over = above(plan, named[0])
+    assert not any("Exchange hashpartitioning(storm_key" in line for line in over[:2])
+    below = plan.splitlines()[plan.splitlines().index(named[0]) + 1 :][:3]
+    assert any("hashpartitioning(zcta" in line for line in below), below
+
+
 def scans_of_claims(plan):
     return [line for line in plan.splitlines() if re.search(r"FileScan parquet \[[^\]]*yearOfLoss", line)]
 
