@@ -74,6 +74,18 @@ def map_arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(step, schema)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in order, in batches of about ``size`` bytes; none is empty."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held += [batch] if batch.num_rows else []
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 # Names of glibc's allocation settings, and the most that the second takes.
 TRIM_THRESHOLD, MMAP_THRESHOLD, MMAP_MOST = -1, -3, 1 << 25
 

@@ -10,8 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimscope.llm.common import map_arrow, shared_table
-from claimscope.llm.tokens import END, encoder
+from claimscope.llm.common import gathered, map_arrow, shared_table
+from claimscope.llm.tokens import END, LOT_CHARS, encoder
 
 LENGTH = 1024
 
@@ -27,10 +27,10 @@ def token_table(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: s
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, part, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
         small = tool.tool.get_vocab_size() <= 1 << 16
-        for batch in batches:
+        for batch in gathered(batches, LOT_CHARS):
             packed, counts = [], []
-            for text in batch.column(1).to_pylist():
-                ids = np.append(tool.encode(text), np.uint32(END))
+            for ids in tool.encode_all(batch.column(1).to_pylist()):
+                ids = np.append(ids, np.uint32(END))
                 packed.append(ids.astype("<u2" if small else "<u4").tobytes())
                 counts.append(len(ids))
             n = np.array(counts, dtype=np.int64)

@@ -172,13 +172,13 @@ def write(docs: DataFrame, tokenizer: str, folder: str, kind: str = "B", doc_id:
         path, sink, writer = "", None, None
         for batch in batches:
             batch = batch.filter(batch.column(2))
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), tool.encode_all(batch.column(1).to_pylist()), strict=True):
                 if writer is None:
                     system.create_dir(base, recursive=True)
                     path = f"part-{part:06d}-{uuid.uuid4().hex}.planes"
                     sink = system.open_output_stream(f"{base}/{path}")
                     writer = Writer(sink, kind)
-                writer.add(doc, np.concatenate([tool.encode(text), end]))
+                writer.add(doc, np.concatenate([ids, end]))
         if writer is not None:
             writer.close()
             sink.close()

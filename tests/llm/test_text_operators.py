@@ -241,6 +241,30 @@ def test_encoder_equals_the_tokenizer():
     assert mine.encode(None).tolist() == []
 
 
+def test_encoder_asks_once_for_a_word_of_many_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(tokens.tokenizer_path())
+    mine = tokens.Encoder(tokens.tokenizer_path())
+    asked = []
+
+    class Model:
+        def tokenize(self, letters):
+            asked.append(letters)
+            return tool.model.tokenize(letters)
+
+    mine.model = Model()
+    rng = np.random.default_rng(2)
+    words = ["thndering", "ouêoich", "ǅungle", "it's", "x1", "中文"]
+    texts = [f"Zq {w}{s} {w}\nZq{s}\n{w}" for w in words for s in ("", ",", "%%%", "')", "'s", "_-", "é", "\u037e")] + [None, "", " ", "a  b", "<|endoftext|>"]
+    texts = [texts[k] for k in rng.permutation(len(texts) * 3) % len(texts)]
+    monkeypatch.setattr(tokens, "LOT_CHARS", 2000)  # several lots
+    got = mine.encode_all(texts)
+    assert [x.tolist() for x in got] == [tool.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert mine.encode_all([]) == []
+    assert max(Counter(asked).values()) <= 2  # once as a word, once as a run of a longer piece
+
+
 def ids_of(text):
     from tokenizers import Tokenizer
 
