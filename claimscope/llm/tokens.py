@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 CACHE_PIECES = 600_000
 CACHE_RUNS = 250_000
 CACHE_FRESH = 400_000
-LOT_CHARS = 1 << 24
+LOT_CHARS = 1 << 22
 PLAIN_BELOW = "\u0250"  # letters whose class no version of Unicode will change
 # Fixed value: how byte-level tokenizers of this kind split a text into runs.
 RUNS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
