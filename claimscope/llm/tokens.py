@@ -81,17 +81,15 @@ class WordEncoder:
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids as unsigned 32-bit numbers; None counts as the empty text."""
-        return self.encode_all([text])[0]
+        return next(self.encode_all([text]))
 
-    def encode_all(self, texts: Sequence[str | None]) -> list[np.ndarray]:
-        """Ids of each text, as :meth:`encode` gives them."""
-        out: list[np.ndarray] = []
+    def encode_all(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text, as :meth:`encode` gives them; those of one lot are held at a time."""
         for lot in some_at_a_time(texts, LOT_CHARS):
             marked = [self._marked(t) if t else "" for t in lot]
             by_piece = iter(self._by_piece([m for m in marked if m]))
             for text, m in zip(lot, marked, strict=True):
-                out.append(next(by_piece) if m else np.zeros(0, "<u4") if m == "" else self.whole(text))
-        return out
+                yield next(by_piece) if m else np.zeros(0, "<u4") if m == "" else self.whole(text)
 
     def _marked(self, text: str) -> str | None:
         """The text with a blank at each place where it may be cut; None if it has to be encoded whole."""
