@@ -14,22 +14,26 @@ training documents.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimscope.llm.common import id_residue, keep_freed_memory, map_arrow, shared_table
+from claimscope.llm.common import gathered, id_residue, keep_freed_memory, map_arrow, shared_table
+from claimscope.llm.tokens import strings
 
 FOLDS, HELD_OUT = 7, 2
-FLUSH_WORDS = 200_000
+FLUSH_WORDS = 500_000
+LOT_BYTES = 1 << 20
+# For tables of values that hardly come again: no dictionary is tried.
+PLAIN = {"parquet.enable.dictionary": "false"}
 BLOCK_WINDOWS = 128  # what a core's cache holds
 
 
@@ -72,8 +76,116 @@ def subwords(name: str):
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), len(ranks)
 
 
-def ascii_lower(text: str | None) -> bytes:
-    return (text or "").encode().lower()
+# --- words and subword ids ----------------------------------------------------------------
+
+
+class Lot:
+    """Words of some texts, A-Z in lower case: each different one once, and which stand where."""
+
+    def __init__(self, texts: pa.Array):
+        self.texts = pc.fill_null(pc.ascii_lower(texts), "")
+        split = pc.ascii_split_whitespace(self.texts)
+        coded = split.flatten().dictionary_encode()
+        code, count = coded.indices.to_numpy(), np.diff(split.offsets.to_numpy())
+        self.distinct = coded.dictionary
+        none = pc.index(self.distinct, "").as_py()  # what stands before or after a text's outer white space
+        if none >= 0:
+            kept = code != none
+            count = np.bincount(np.repeat(np.arange(len(count)), count)[kept], minlength=len(count))
+            code = code[kept]
+        self.code, self.count = code, count
+
+    def text_of(self) -> np.ndarray:
+        """The text of each word."""
+        return np.repeat(np.arange(len(self.count)), self.count)
+
+    def counts(self) -> pa.Table:
+        n = np.bincount(self.code, minlength=len(self.distinct))
+        return pa.table({"word": self.distinct.cast(pa.binary()), "n": n}).filter(pa.array(n > 0))
+
+
+@dataclass(frozen=True)
+class Pieces:
+    """Ids of pieces laid end to end, where those of each one end, and how many they are."""
+
+    ids: np.ndarray
+    ends: np.ndarray
+    size: np.ndarray
+
+
+class SubwordEncoder:
+    """Ids of a lot's texts, each different word encoded once; the same as ``encode_ordinary`` gives.
+
+    The tokenizer's splitting never joins a visible character to white space that follows it. So
+    a text whose words are parted by one blank or line end each is a run of pieces, and all
+    different pieces are encoded in one call. Other texts are encoded whole.
+    """
+
+    def __init__(self, name: str):
+        self.coder, self.end = subwords(name)
+        self.size = np.array([len(self.coder.decode_single_token_bytes(k)) for k in range(self.end)])
+
+    def encode(self, lot: Lot, known: Pieces | None = None, place: np.ndarray | None = None) -> list[np.ndarray]:
+        """Ids of each text; those of different word k after a blank are ``known`` where ``place[k]`` is not -1."""
+        texts = strings(lot.texts)
+        apart = np.array([self._apart(t) for t in texts], dtype=bool)
+        known = known or self.pieces(lot.distinct[:0])
+        by_piece = iter(self._by_piece(lot, apart, known, np.full(len(lot.distinct), -1) if place is None else place) if apart.any() else ())
+        return [next(by_piece) if ok else self.coder.encode_to_numpy(t) for t, ok in zip(texts, apart, strict=True)]
+
+    @staticmethod
+    def _apart(text: str) -> bool:
+        """Whether its words are parted by one blank or line end each, and nothing else is white space."""
+        if not text.replace("\n", "").isprintable() or not text or text[0] in " \n" or text[-1] in " \n":
+            return False
+        return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text)
+
+    def _by_piece(self, lot: Lot, apart: np.ndarray, known: Pieces, place: np.ndarray) -> list[np.ndarray]:
+        texts, code, count = lot.texts, lot.code, lot.count
+        if not apart.all():
+            texts, code, count = texts.filter(pa.array(apart)), code[np.repeat(apart, count)], count[apart]
+        held = np.frombuffer(texts.buffers()[2], dtype=np.uint8)
+        ends = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset :]
+        held = held[ends[0] : ends[len(texts)]]
+        first = np.cumsum(count) - count
+        bare = np.ones(len(code), dtype=bool)  # after a line end, or first in its text
+        later = np.ones(len(code), dtype=bool)
+        later[first] = False
+        bare[later] = held[(held == 0x20) | (held == 0x0A)] == 0x0A
+        # Pieces are known ones, then other words after a blank, then words after a line end.
+        size = len(lot.distinct)
+        used = np.bincount(code + np.where(bare, size, 0), minlength=2 * size).reshape(2, size) > 0
+        used[0] &= place < 0
+        new, lines = (self.pieces(lot.distinct.filter(pa.array(some)), sign) for some, sign in zip(used, " \n", strict=True))
+        flat = np.concatenate([known.ids, new.ids, lines.ids])
+        begins = np.concatenate([known.ends - known.size, new.ends - new.size + len(known.ids), lines.ends - lines.size + len(known.ids) + len(new.ids)])
+        sizes = np.concatenate([known.size, new.size, lines.size])
+        after_blank = np.where(place < 0, np.cumsum(used[0]) - 1 + len(known.size), place)
+        after_line = np.cumsum(used[1]) - 1 + len(known.size) + len(new.size)
+        piece = np.where(bare, after_line[code], after_blank[code])
+        begin, length = begins[piece], sizes[piece]
+        begin[first] += 1  # without the line end
+        length[first] -= 1
+        ends = np.cumsum(length)
+        kind = np.int32 if ends[-1] < 1 << 31 else np.int64
+        at = np.repeat((begin - ends + length).astype(kind), length)
+        at += np.arange(len(at), dtype=kind)
+        return np.split(flat[at], ends[first[1:] - 1])
+
+    def pieces(self, words: pa.Array, sign: str = " ") -> Pieces:
+        """Ids of each word after ``sign``."""
+        if not len(words):
+            return Pieces(np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        ids = self.coder.encode_to_numpy(sign + sign.join(strings(words)))
+        ends = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)
+        ends = np.searchsorted(np.cumsum(self.size[ids]), ends) + 1
+        return Pieces(ids, ends, np.diff(ends, prepend=0))
+
+
+@lru_cache(maxsize=2)
+def subword_encoder(name: str) -> SubwordEncoder:
+    """One encoder per Python worker and vocabulary."""
+    return SubwordEncoder(name)
 
 
 # --- the attention model ------------------------------------------------------------------
@@ -114,7 +226,8 @@ class Network:
         """Forward pass over (batch, time) input symbols; keeps what the gradient needs."""
         n, t = symbols.shape
         d = self.query.shape[1]
-        x = self.embed[symbols] + self.place[:t]
+        x = self.embed.take(symbols, axis=0)
+        x += self.place[:t]
         # One product for queries (scaled), keys and values.
         into = np.concatenate([self.query * np.float32(1 / math.sqrt(d)), self.key, self.value], axis=1)
         joined = (x.reshape(n * t, -1) @ into).reshape(n, t, 3 * d)
@@ -160,34 +273,39 @@ class Network:
         dl *= (share / sums)[:, None]
         dl.ravel()[at] -= share
         dz = dl @ self.top.T
-        slope = f["g"] * f["g"]
+        top, top_bias = f["g"].T @ dl, _ones(n * t) @ dl
+        del dl  # what follows then takes memory that is still in the core's cache
+        slope = f["g"] * f.pop("g")
         np.subtract(1, slope, out=slope)
         dz *= slope
         flat = lambda a: a.reshape(n * t, -1)
         dh = dz @ self.inner.T
-        dmixed = (dh @ self.out.T).reshape(n, t, d)
+        inner, inner_bias = flat(f.pop("h")).T @ dz, _ones(n * t) @ dz
+        del slope, dz
+        dmixed, out = (dh @ self.out.T).reshape(n, t, d), flat(f["mixed"]).T @ dh
         # The gradient through the attention weights: the mean over a row is a product of short rows.
         ds = np.matmul(dmixed, f["v"].transpose(0, 2, 1))
-        ds -= ((dmixed * f["mixed"]).reshape(n * t, d) @ _ones(d)).reshape(n, t, 1)
+        ds -= ((dmixed * f.pop("mixed")).reshape(n * t, d) @ _ones(d)).reshape(n, t, 1)
         ds *= f["weight"]
         back = np.empty((n, t, 3 * d), dtype=np.float32)
         np.matmul(ds, f["k"], out=back[:, :, :d])
         np.matmul(ds.transpose(0, 2, 1), f["q"], out=back[:, :, d : 2 * d])
-        np.matmul(f["weight"].transpose(0, 2, 1), dmixed, out=back[:, :, 2 * d :])
+        np.matmul(f.pop("weight").transpose(0, 2, 1), dmixed, out=back[:, :, 2 * d :])
+        del ds
         back = flat(back)
         dx = back @ f["into"].T
         dx += dh
         x = flat(f["x"])
         into = x.T @ back
         into[:, :d] *= np.float32(1 / math.sqrt(d))
-        cell = symbols.reshape(-1, 1) * d + np.arange(d)
+        del back
+        cell = _cells(*self.embed.shape).take(symbols, axis=0)
         embed = np.bincount(cell.ravel(), weights=dx.ravel(), minlength=self.embed.size).reshape(self.embed.shape).astype(self.embed.dtype)
         place = np.zeros_like(self.place)
         place[:t] = dx.reshape(n, t, -1).sum(axis=0)
         return loss, {
             "embed": embed, "place": place, "query": into[:, :d], "key": into[:, d : 2 * d], "value": into[:, 2 * d :],
-            "out": flat(f["mixed"]).T @ dh, "inner": flat(f["h"]).T @ dz, "inner_bias": _ones(n * t) @ dz,
-            "top": f["g"].T @ dl, "top_bias": _ones(n * t) @ dl,
+            "out": out, "inner": inner, "inner_bias": inner_bias, "top": top, "top_bias": top_bias,
         }
 
 
@@ -197,6 +315,12 @@ def _ones(size: int) -> np.ndarray:
     return np.ones(size, dtype=np.float32)
 
 
+@lru_cache(maxsize=4)
+def _cells(rows: int, width: int) -> np.ndarray:
+    """Numbers of the cells of a table, row by row."""
+    return np.arange(rows * width).reshape(rows, width)
+
+
 @lru_cache(maxsize=64)
 def _causal(t: int) -> np.ndarray:
     return np.tri(t, dtype=np.float32)
@@ -255,7 +379,10 @@ def windows(lengths: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, n
 def _laid_out(texts: list[np.ndarray], end: int, s: Settings) -> Iterator[tuple[np.ndarray, ...]]:
     """Blocks of windows over texts: text, inputs, goals, mask, each (windows, window)."""
     lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-    stream = np.concatenate([np.concatenate([[end], t, [end]]).astype(np.int32) for t in texts]) if texts else np.zeros(0, np.int32)
+    stop, after = np.array([end], dtype=np.int32), np.full(s.window, end, dtype=np.int32)
+    stream = np.concatenate([*(part for t in texts for part in (stop, t, stop)), after]).astype(np.int32, copy=False)
+    # What a window holds beyond its text is masked, and no position looks ahead.
+    spans = np.lib.stride_tricks.sliding_window_view(stream, s.window + 1)
     origin = np.cumsum(lengths + 1) - (lengths + 1)
     text, first, fresh = windows(lengths, s)
     # First windows of texts, then later ones, so that those of a block are scored from one place on.
@@ -264,10 +391,10 @@ def _laid_out(texts: list[np.ndarray], end: int, s: Settings) -> Iterator[tuple[
     step = np.arange(s.window)
     for k in range(0, len(text), BLOCK_WINDOWS):
         w = slice(k, k + BLOCK_WINDOWS)
-        at = first[w, None] + step
-        inside = at < lengths[text[w], None]
-        place = origin[text[w], None] + np.where(inside, at, 0)
-        yield text[w], stream[place], stream[place + 1], inside & (step >= fresh[w, None])
+        span = spans[origin[text[w]] + first[w]]
+        mask = step < (lengths[text[w]] - first[w])[:, None]
+        mask &= step >= fresh[w, None]
+        yield text[w], span[:, :-1], span[:, 1:], mask
 
 
 # --- the fitted model ---------------------------------------------------------------------
@@ -288,13 +415,22 @@ class Model:
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each text of ids, its end included."""
         sums = np.zeros(len(texts))
-        scorer = Scorer(self.network)
+        scorer, size = self.scorer, len(self.kind)
         for text, inputs, goals, mask in _laid_out(texts, self.end, self.settings):
-            goal, before = goals[mask], self.kind[inputs[mask]]
-            got = scorer.log10_classes(self.symbol[inputs], mask, self.kind[goal]) + self.within[before, goal]
-            sums += np.bincount(np.repeat(text, mask.sum(axis=1)), weights=got, minlength=len(texts))
+            # Windows of a block ask from one place on, and none of them beyond the longest.
+            asked = np.flatnonzero(mask.any(axis=0))
+            ask, t = int(asked[0]), int(asked[-1]) + 1
+            inputs, goal, mask = inputs[:, :t], goals[:, ask:t], mask[:, ask:t]
+            got = scorer.log10_classes(self.symbol.take(inputs), ask, self.kind.take(goal))
+            got += self.within.take(self.kind.take(inputs[:, ask:]) * np.int64(size) + goal)
+            got *= mask
+            sums += np.bincount(text, weights=got.sum(axis=1), minlength=len(texts))
         return sums
 
+    @cached_property
+    def scorer(self) -> Scorer:
+        return Scorer(self.network)
+
 
 class Scorer:
     """The network's forward pass with all products of embeddings and weights made beforehand.
@@ -315,32 +451,46 @@ class Scorer:
         self.mixed_to_hidden = (net.out @ net.inner).astype(np.float32)
         self.top, self.top_bias = net.top, net.top_bias
         self.steep = net.steep()
+        # exp(logit + bias) as a product: the bias comes in with the sum over the classes.
+        self.weight_of = np.ones_like(self.top_bias) if self.steep else np.exp(self.top_bias)
         self.causal = np.tri(len(net.place), dtype=np.float32)
 
-    def log10_classes(self, symbols: np.ndarray, mask: np.ndarray, goal: np.ndarray) -> np.ndarray:
-        """Base-10 log-probability of the class that follows each masked position.
+    def _rows(self, part: int, symbols: np.ndarray, first: int) -> np.ndarray:
+        rows = self.by_symbol[part].take(symbols, axis=0)
+        rows += self.by_place[part][first : first + symbols.shape[1]]
+        return rows
 
-        Positions before the first masked one of all windows ask for nothing; they are only
-        looked back at.
+    def log10_classes(self, symbols: np.ndarray, ask: int, goal: np.ndarray) -> np.ndarray:
+        """Base-10 log-probability of each window's goal classes, those after the positions from ``ask`` on.
+
+        Positions before are only looked back at.
         """
-        ask = int(mask.any(axis=0).argmax())
-        q = self.by_symbol[0][symbols[:, ask:]] + self.by_place[0][ask:]
-        k, v = (self.by_symbol[i][symbols] + self.by_place[i] for i in (1, 2))
+        n, t = symbols.shape
+        q = self._rows(0, symbols[:, ask:], ask)
+        k, v = (self._rows(i, symbols, 0) for i in (1, 2))
         weight = np.matmul(q, k.transpose(0, 2, 1))
         np.minimum(weight, 30, out=weight)
         np.exp(weight, out=weight)
-        weight *= self.causal[ask:]
-        mixed = np.matmul(weight, v)[mask[:, ask:]]
-        hidden = self.by_symbol[3][symbols[mask]] + self.by_place[3][np.nonzero(mask)[1]]
-        hidden += (mixed[:, :-1] / mixed[:, -1:]) @ self.mixed_to_hidden
+        weight *= self.causal[ask:t, :t]
+        # Columns first: sums and values of all windows lie side by side.
+        mixed = np.empty((v.shape[2], n, t - ask), dtype=np.float32)
+        np.matmul(v.transpose(0, 2, 1), weight.transpose(0, 2, 1), out=mixed.transpose(1, 0, 2))
+        mixed = mixed.reshape(len(mixed), -1)
+        mixed = mixed[:-1] / mixed[-1]
+        hidden = self._rows(3, symbols[:, ask:], ask).reshape(n * (t - ask), -1)
+        hidden += mixed.T @ self.mixed_to_hidden
         np.tanh(hidden, out=hidden)
         logits = hidden @ self.top
-        logits += self.top_bias
+        goal = goal.ravel()
         if self.steep:
+            logits += self.top_bias
             logits -= logits.max(axis=1, keepdims=True)
-        chosen = logits[np.arange(len(goal)), goal]
+        chosen = logits.ravel().take(np.arange(0, logits.size, logits.shape[1]) + goal)
+        if not self.steep:
+            chosen += self.top_bias.take(goal)
         np.exp(logits, out=logits)
-        return (chosen - np.log(logits @ _ones(logits.shape[1]))).astype(np.float64) / math.log(10)
+        chosen -= np.log(logits @ self.weight_of)
+        return chosen.astype(np.float64).reshape(n, t - ask) / math.log(10)
 
 
 def _by_count(counts: np.ndarray) -> np.ndarray:
@@ -422,21 +572,24 @@ def word_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """word (bytes, A-Z in lower case) and n over all training texts, stored."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        held: list[pa.Table] = []
+        for batch in gathered(batches, LOT_BYTES):
+            held.append(Lot(batch.column(0)).counts())
+            if sum(map(len, held)) > FLUSH_WORDS:
+                held = [_summed(held)]
+                if len(held[0]) > FLUSH_WORDS // 2:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from _summed(held).to_batches()
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+    train_texts = _columns(docs, text, doc_id).where("not held_out and text is not null").select("text")
+    return shared_table(map_arrow(train_texts, count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words", **PLAIN)
 
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                held.update(ascii_lower(t).split())
-            if len(held) > FLUSH_WORDS:
-                yield out()
-                held.clear()
-        yield out()
 
-    train_texts = _columns(docs, text, doc_id).where("not held_out and text is not null").select("text")
-    return shared_table(map_arrow(train_texts, count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    if len(tables) == 1:
+        return tables[0]
+    return pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
 
 def _head(words: DataFrame, most: int) -> tuple[int, dict[bytes, int]]:
@@ -463,35 +616,30 @@ def _prepared(docs: DataFrame, head: dict[bytes, int], total: int, distinct: int
     Stored, so that row ids, ids and sums agree in all later steps.
     """
     bottom = total + distinct + 1
-    shared = docs.sparkSession.sparkContext.broadcast({w: math.log10((c + 1) / bottom) for w, c in head.items()})
+    known_words = [w.decode() for w in head]
+    pieces = subword_encoder(s.vocabulary).pieces(pa.array(known_words, pa.string()))
+    terms_ = np.array([math.log10((c + 1) / bottom) for c in head.values()] + [math.nan])  # the last for all others
+    shared = docs.sparkSession.sparkContext.broadcast(({w: k for k, w in enumerate(known_words)}, terms_, pieces))
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        coder, _ = subwords(s.vocabulary)
-        for batch in batches:
-            n_tokens, n_known, sums, ids = [], [], [], []
-            rare, times, ends = [], [], [0]
-            for t in batch.column(2).to_pylist():
-                lower = ascii_lower(t)
-                words = Counter(lower.split())
-                seen, base = 0, 0.0
-                for word, k in words.items():
-                    term = known.get(word)
-                    if term is None:
-                        rare.append(word)
-                        times.append(k)
-                    else:
-                        seen += k
-                        base += k * term
-                n_tokens.append(words.total() + 1)
-                n_known.append(seen)
-                sums.append(base)
-                ids.append(np.array(coder.encode_ordinary(lower.decode()), dtype="<u4").astype("<u2" if coder.n_vocab < 65_535 else "<u4").tobytes())
-                ends.append(len(rare))
-            tail = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["word", "k"])
+        (known, terms_of, known_pieces), coder = shared.value, subword_encoder(s.vocabulary)
+        bits = "<u2" if coder.end < 65_535 else "<u4"
+        for batch in gathered(batches, LOT_BYTES):
+            lot = Lot(batch.column(2))
+            text, size = lot.text_of(), batch.num_rows
+            found = np.array([known.get(w, -1) for w in strings(lot.distinct)], dtype=np.int64)
+            terms = terms_of[found][lot.code]
+            rare = np.isnan(terms)
+            sums = np.bincount(text[~rare], weights=terms[~rare], minlength=size)
+            seen = np.bincount(text[~rare], minlength=size)
+            # The other words of each text, each once and how often.
+            key, times = np.unique(text[rare] * len(found) + lot.code[rare], return_counts=True)
+            ends = np.searchsorted(key, np.arange(size + 1) * len(found))
+            tail = pa.StructArray.from_arrays([lot.distinct.cast(pa.binary()).take(pa.array(key % max(1, len(found)))), pa.array(times, pa.int64())], ["word", "k"])
             tails = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tail)
+            ids = pa.array([x.astype(bits).tobytes() for x in coder.encode(lot, known_pieces, found)], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(ids, pa.binary()), tails],
+                [*batch.columns[:2], pa.array(lot.count + 1, pa.int64()), pa.array(seen, pa.int64()), pa.array(sums, pa.float64()), ids, tails],
                 ["doc_id", "held_out", "n_tokens", "head_known", "head_sum", "ids", "tail"],
             )
 
@@ -508,7 +656,7 @@ def _prepared(docs: DataFrame, head: dict[bytes, int], total: int, distinct: int
         ]
     )
     rows = map_arrow(columns, prepare, schema)
-    return shared_table(rows.withColumn("rid", F.monotonically_increasing_id()), "lm")
+    return shared_table(rows.withColumn("rid", F.monotonically_increasing_id()), "lm", **PLAIN)
 
 
 def _some_at_a_time(texts: list[np.ndarray]) -> Iterator[list[np.ndarray]]:

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from itertools import zip_longest
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -369,6 +370,47 @@ def test_windows_score_each_target_once():
         assert scored == list(range(n))
 
 
+def odd_texts():
+    """Runs of words, signs and white space of every kind, as they come."""
+    rng = np.random.default_rng(5)
+    parts = ["a", "B", "é", "中", "12", "'s", "!", "_", " the", "Word", "😀", "<|endoftext|>", "\x00", "\x1c", "\u2003", "\xa0", "\t", "\x0b", "\r", " \n", *" \n" * 4]
+    return ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(4_000)] + [*TEXTS, "\n", "a b\nc d\ne"]
+
+
+def test_words_of_a_lot():
+    texts = odd_texts()
+    lot = lm.Lot(pa.array(texts))
+    words, ends = lot.distinct.take(pa.array(lot.code)).to_pylist(), np.cumsum(lot.count)
+    for k, text in enumerate(texts):
+        assert words[ends[k] - lot.count[k] : ends[k]] == WORDS.findall(lower(text or "")), text
+    want = Counter(words)
+    assert dict(zip(*(c.to_pylist() for c in lot.counts().columns), strict=True)) == {w.encode(): n for w, n in want.items()}
+
+
+def test_subwords_of_a_lot_ask_once_for_a_word(monkeypatch):
+    coder = lm.SubwordEncoder(lm.Settings().vocabulary)
+    texts = odd_texts()
+    want = [coder.coder.encode_ordinary(lower(t or "")) for t in texts]
+    lot = lm.Lot(pa.array(texts))
+    assert [x.tolist() for x in coder.encode(lot)] == want
+    known = ["a", "b", "the", "not there"]
+    place = np.array([known.index(w) if w in known else -1 for w in lot.distinct.to_pylist()])
+    assert [x.tolist() for x in coder.encode(lot, coder.pieces(pa.array(known)), place)] == want
+    # Words that come again are not encoded again, nor those that are known.
+    asked = []
+
+    class Asked:
+        def encode_to_numpy(self, text, real=coder.coder):
+            asked.append(text)
+            return real.encode_to_numpy(text)
+
+    many = lm.Lot(pa.array(["zebra quilt zebra", "quilt zebra\nquilt the"] * 500))
+    pieces = coder.pieces(pa.array(["the"]))
+    monkeypatch.setattr(coder, "coder", Asked())
+    coder.encode(many, pieces, np.array([0 if w == "the" else -1 for w in many.distinct.to_pylist()]))
+    assert sum(map(len, asked)) < 40
+
+
 def small_lm():
     return lm.Settings(steps=150, sample_windows=2_000, head_words=40)
 
