@@ -451,8 +451,6 @@ class Scorer:
         self.mixed_to_hidden = (net.out @ net.inner).astype(np.float32)
         self.top, self.top_bias = net.top, net.top_bias
         self.steep = net.steep()
-        # exp(logit + bias) as a product: the bias comes in with the sum over the classes.
-        self.weight_of = np.ones_like(self.top_bias) if self.steep else np.exp(self.top_bias)
         self.causal = np.tri(len(net.place), dtype=np.float32)
 
     def _rows(self, part: int, symbols: np.ndarray, first: int) -> np.ndarray:
@@ -472,24 +470,18 @@ class Scorer:
         np.minimum(weight, 30, out=weight)
         np.exp(weight, out=weight)
         weight *= self.causal[ask:t, :t]
-        # Columns first: sums and values of all windows lie side by side.
-        mixed = np.empty((v.shape[2], n, t - ask), dtype=np.float32)
-        np.matmul(v.transpose(0, 2, 1), weight.transpose(0, 2, 1), out=mixed.transpose(1, 0, 2))
-        mixed = mixed.reshape(len(mixed), -1)
-        mixed = mixed[:-1] / mixed[-1]
+        mixed = np.matmul(weight, v).reshape(n * (t - ask), -1)
+        mixed = mixed[:, :-1] / mixed[:, -1:]
         hidden = self._rows(3, symbols[:, ask:], ask).reshape(n * (t - ask), -1)
-        hidden += mixed.T @ self.mixed_to_hidden
+        hidden += mixed @ self.mixed_to_hidden
         np.tanh(hidden, out=hidden)
         logits = hidden @ self.top
-        goal = goal.ravel()
+        logits += self.top_bias
         if self.steep:
-            logits += self.top_bias
             logits -= logits.max(axis=1, keepdims=True)
-        chosen = logits.ravel().take(np.arange(0, logits.size, logits.shape[1]) + goal)
-        if not self.steep:
-            chosen += self.top_bias.take(goal)
+        chosen = logits.ravel().take(np.arange(0, logits.size, logits.shape[1]) + goal.ravel())
         np.exp(logits, out=logits)
-        chosen -= np.log(logits @ self.weight_of)
+        chosen -= np.log(logits @ _ones(logits.shape[1]))
         return chosen.astype(np.float64).reshape(n, t - ask) / math.log(10)
 
 
