@@ -35,6 +35,7 @@ LOT_BYTES = 1 << 20
 # For tables of values that hardly come again: no dictionary is tried.
 PLAIN = {"parquet.enable.dictionary": "false"}
 BLOCK_WINDOWS = 128  # what a core's cache holds
+LEAST_SUM, MOST_SUM = 1e-34, 1e13  # of attention weights before they are shares: exp takes such logits as they are
 
 
 @dataclass(frozen=True)
@@ -236,7 +237,12 @@ class Network:
         np.minimum(weight, 30, out=weight)
         np.exp(weight, out=weight)
         weight *= _causal(t)  # a position sees itself and what is before
-        weight /= np.matmul(weight, _ones(t))[:, :, None]
+        sums = np.matmul(weight, _ones(t))
+        off = _off(sums)
+        if off is not None:
+            weight[off] = _shares(q, k, 0)[off]
+            sums[off] = weight[off].sum(axis=1)
+        weight /= sums[:, :, None]
         mixed = np.matmul(weight, v)
         h = x + (mixed.reshape(n * t, d) @ self.out).reshape(x.shape)
         z = h.reshape(n * t, -1) @ self.inner
@@ -326,6 +332,22 @@ def _causal(t: int) -> np.ndarray:
     return np.tri(t, dtype=np.float32)
 
 
+def _off(sums: np.ndarray) -> np.ndarray | None:
+    """Which sums of attention weights are out of range, if any: of logits that are cut off or underflow."""
+    if sums.min() >= LEAST_SUM and sums.max() <= MOST_SUM:
+        return None
+    return (sums < LEAST_SUM) | (sums > MOST_SUM)
+
+
+def _shares(q: np.ndarray, k: np.ndarray, first: int) -> np.ndarray:
+    """Attention weights of the positions from ``first`` on, their largest in a row 1: exact for any logits."""
+    n, t, _ = k.shape
+    logits = np.matmul(q, k.transpose(0, 2, 1))
+    logits[:, _causal(t)[first:] == 0] = -np.inf
+    logits -= logits.max(axis=2, keepdims=True)
+    return np.exp(logits, out=logits)
+
+
 class Trainer:
     """Adam on a copy of a network: windows of symbols, classes as goals, and where there is a goal."""
 
@@ -470,7 +492,12 @@ class Scorer:
         np.minimum(weight, 30, out=weight)
         np.exp(weight, out=weight)
         weight *= self.causal[ask:t, :t]
-        mixed = np.matmul(weight, v).reshape(n * (t - ask), -1)
+        mixed = np.matmul(weight, v)
+        off = _off(mixed[:, :, -1])
+        if off is not None:
+            weight[off] = _shares(q, k, ask)[off]
+            mixed = np.matmul(weight, v)
+        mixed = mixed.reshape(n * (t - ask), -1)
         mixed = mixed[:, :-1] / mixed[:, -1:]
         hidden = self._rows(3, symbols[:, ask:], ask).reshape(n * (t - ask), -1)
         hidden += mixed @ self.mixed_to_hidden

@@ -361,6 +361,29 @@ def test_gradients_match_differences():
         assert grads[name][at] == pytest.approx((up - down) / 2e-4, rel=1e-3, abs=1e-7), name
 
 
+@pytest.mark.parametrize("scale", [-400, 400])
+def test_attention_weights_are_shares_however_large_the_logits_are(scale):
+    s = lm.Settings(window=6, stride=4, width=4, hidden=5, classes=7)
+    net = lm.Network.start(9, s)
+    net.key = scale * net.query  # a position's own logit, all that the first one sees, then lies far from zero
+    rng = np.random.default_rng(5)
+    symbols, goal, mask = rng.integers(0, 9, (3, 6)), rng.integers(0, 7, (3, 6)), np.ones((3, 6), dtype=bool)
+    x = (net.embed[symbols] + net.place).astype(np.float64)
+    logits = (x @ net.query / 2) @ (x @ net.key).transpose(0, 2, 1)
+    assert abs(logits[:, 0, 0]).min() > 110
+    logits[:, np.tri(6) == 0] = -np.inf
+    want = np.exp(logits - logits.max(axis=2, keepdims=True))
+    found = net.attend(symbols)
+    np.testing.assert_allclose(found["weight"], want / want.sum(axis=2, keepdims=True), atol=1e-3)
+    loss, grads = net.gradients(symbols, goal, mask)
+    assert math.isfinite(loss) and all(np.isfinite(g).all() for g in grads.values())
+    scores = np.take_along_axis(net.log_classes(found["g"]).reshape(3, 6, 7), goal[:, :, None], axis=2)[:, 2:, 0]
+    np.testing.assert_allclose(lm.Scorer(net).log10_classes(symbols, 2, goal[:, 2:]), scores / math.log(10), atol=1e-3)
+    trainer = lm.Trainer(net, s, 0.01, 1)
+    trainer.learn(symbols, goal, mask)
+    assert np.isfinite(trainer.flat).all()
+
+
 def test_windows_score_each_target_once():
     s = lm.Settings(window=8, stride=5)
     lengths = np.array([1, 7, 8, 9, 13, 14, 40])
