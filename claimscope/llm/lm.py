@@ -14,6 +14,7 @@ training documents.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import cached_property, lru_cache
@@ -32,6 +33,9 @@ from claimscope.llm.tokens import strings
 FOLDS, HELD_OUT = 7, 2
 FLUSH_WORDS = 500_000
 LOT_BYTES = 1 << 20
+LONG_BLANK = 100_000
+# Fixed value: what the tokenizer takes as white space, as a regular expression.
+BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 # For tables of values that hardly come again: no dictionary is tried.
 PLAIN = {"parquet.enable.dictionary": "false"}
 BLOCK_WINDOWS = 128  # what a core's cache holds
@@ -132,7 +136,26 @@ class SubwordEncoder:
         apart = np.array([self._apart(t) for t in texts], dtype=bool)
         known = known or self.pieces(lot.distinct[:0])
         by_piece = iter(self._by_piece(lot, apart, known, np.full(len(lot.distinct), -1) if place is None else place) if apart.any() else ())
-        return [next(by_piece) if ok else self.coder.encode_to_numpy(t) for t, ok in zip(texts, apart, strict=True)]
+        return [next(by_piece) if ok else self._whole(t) for t, ok in zip(texts, apart, strict=True)]
+
+    def _whole(self, text: str) -> np.ndarray:
+        """Ids of a text by the tokenizer itself, whose splitting fails on a million white-space characters in a row."""
+        try:
+            return self.coder.encode_to_numpy(text)
+        except ValueError:
+            return self._beside_blanks(text, LONG_BLANK)
+
+    def _beside_blanks(self, text: str, least: int) -> np.ndarray:
+        """The same, with runs of ``least`` white-space characters or more taken as the single pieces that they are.
+
+        The last character of a run goes with what follows, unless it ends the text.
+        """
+        parts, at = [], 0
+        for run in re.finditer(f"{BLANK}{{{least},}}", text):
+            end = run.end() - (run.end() < len(text))
+            parts += [self.coder.encode_to_numpy(text[at : run.start()]), np.array(self.coder._encode_single_piece(text[run.start() : end]), dtype=np.uint32)]
+            at = end
+        return np.concatenate([*parts, self.coder.encode_to_numpy(text[at:])])
 
     @staticmethod
     def _apart(text: str) -> bool:
@@ -177,7 +200,7 @@ class SubwordEncoder:
         """Ids of each word after ``sign``."""
         if not len(words):
             return Pieces(np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        ids = self.coder.encode_to_numpy(sign + sign.join(strings(words)))
+        ids = self._whole(sign + sign.join(strings(words)))
         ends = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)
         ends = np.searchsorted(np.cumsum(self.size[ids]), ends) + 1
         return Pieces(ids, ends, np.diff(ends, prepend=0))

@@ -434,6 +434,21 @@ def test_subwords_of_a_lot_ask_once_for_a_word(monkeypatch):
     assert sum(map(len, asked)) < 40
 
 
+def test_subwords_beside_long_white_space():
+    coder = lm.SubwordEncoder(lm.Settings().vocabulary)
+    rng = np.random.default_rng(3)
+    for least in (2, 3):
+        for _ in range(300):
+            text = "".join(rng.choice(["a", "word", ".", "7", "'s", " ", " ", "\n", "\t", "\r\n", "\xa0", "\u3000", "\x85", "\x1c"], rng.integers(0, 14)))
+            assert coder._beside_blanks(text, least).tolist() == coder.coder.encode_ordinary(text), repr(text)
+    # More than the tokenizer's own splitting takes.
+    blanks = " " * 1_200_000
+    texts = ["one" + blanks + "two", "\n" + blanks]
+    got = coder.encode(lm.Lot(pa.array(texts)))
+    assert got[0].tolist() == [*coder.coder.encode_ordinary("one"), *coder.coder._encode_single_piece(blanks[1:]), *coder.coder.encode_ordinary(" two")]
+    assert coder.coder.decode(got[1].tolist()) == texts[1]
+
+
 def small_lm():
     return lm.Settings(steps=150, sample_windows=2_000, head_words=40)
 
